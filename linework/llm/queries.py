@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from linework.llm import mixing, sharding, urlfilter
+from linework.llm import jaccard, mixing, sharding, urlfilter
 
 QUERIES = {
+    "op3_jaccard": jaccard.op3_jaccard,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_urlfilter": urlfilter.op7_urlfilter,
 }
 
 ORACLES = {
+    "op3_jaccard": jaccard.OP3_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_urlfilter": urlfilter.OP7_SQL,
