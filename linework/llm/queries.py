@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linework.llm import jaccard, mixing, sharding, urlfilter
+from linework.llm import decontaminate, jaccard, mixing, sharding, urlfilter
 
 QUERIES = {
     "op3_jaccard": jaccard.op3_jaccard,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_urlfilter": urlfilter.op7_urlfilter,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLES = {
@@ -16,4 +17,5 @@ ORACLES = {
     "op5_sharding": sharding.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_urlfilter": urlfilter.OP7_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
 }
