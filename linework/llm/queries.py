@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from linework.llm import decontaminate, jaccard, mixing, sharding, urlfilter
+from linework.llm import decontaminate, jaccard, mixing, quality, sharding, urlfilter, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_warc": warc.op2_warc,
     "op3_jaccard": jaccard.op3_jaccard,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op3_jaccard": jaccard.OP3_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
