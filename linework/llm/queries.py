@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linework.llm import decontaminate, jaccard, mixing, quality, sharding, urlfilter, warc
+from linework.llm import decontaminate, jaccard, mixing, quality, sharding, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_urlfilter": urlfilter.op7_urlfilter,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
