@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from linework.llm import decontaminate, jaccard, mixing, quality, sharding, toxicity, urlfilter, warc
+from linework.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_warc": warc.op2_warc,
     "op3_jaccard": jaccard.op3_jaccard,
+    "op4_licenses": licenses.op4_licenses,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_urlfilter": urlfilter.op7_urlfilter,
