@@ -209,7 +209,8 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     number = F.pmod(F.xxhash64("id"), F.col("blocks"))
     members = written(members.join(sizes, "group").select("id", F.xxhash64("group", number).alias("block")), "members")
     # A key of several rows with different texts has a row for each here; the sets of one id are all its own.
-    texts = docs.join(members, "id")
+    # Always a merge join: a broadcast of the members would be right for small inputs only.
+    texts = docs.join(members.hint("merge"), "id")
     held = token_sets(texts.select("block", "id", "text"), k, lower).where(F.length("tokens") > 0)
     grouped = written(held.groupBy("block").agg(F.collect_set(F.struct("id", "tokens")).alias("m")).select("block", F.col("m.id").alias("ids"), F.col("m.tokens").alias("tokens")), "blocks")
     inside = block_links(grouped.where(F.size("ids") > 1).select("ids", "tokens"), num, den)
