@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linework.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, toxicity, urlfilter, warc
+from linework.llm import decontaminate, jaccard, licenses, mixing, quality, repeats, sharding, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_urlfilter": urlfilter.op7_urlfilter,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES = {
