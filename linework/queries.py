@@ -1,6 +1,614 @@
-"""Registered queries of the raster drawing operators and their DuckDB SQL."""
+"""Registered queries of the raster drawing operators and their DuckDB SQL.
+
+Lines come from fixtures.segments, pixels from fixtures.pixels in tiles of 32, so
+that the small drawings have several tiles.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linework import fixtures
+from linework.fixtures import DUCK_PIX, DUCK_SEG
+from linework.functions import geometry as geo
+from linework.operators import chords, grid, links, runs, scoring
+from linework.params import DEFAULTS
+from linework.plans import connect, lines
+from linework.schema import TILE
+from linework.sources import catalog, images
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+TILE_SIZE, GRID, EPS = 32, 1000, 3
+PARAMS = replace(DEFAULTS, tile=TILE_SIZE)
+T = "image_id, tile_r, tile_c"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seg(spark, d):
+    return connect.with_rgb(fixtures.segments(spark, d))
+
+
+def colored(spark, d):
+    return connect.drop_black_lines(seg(spark, d))
+
+
+def tiles(spark, d):
+    return runs.assign_tiles(fixtures.pixels(spark, d), TILE_SIZE)
+
+
+def contour(spark, d):
+    return runs.contour_pixels(tiles(spark, d).repartition(*TILE))
+
+
+def elines(spark, d):
+    return runs.extract_elines(tiles(spark, d))
+
+
+# Building blocks of the SQL side, each with what it needs before it.
+SEG = f"WITH RECURSIVE {DUCK_SEG}, lines AS (SELECT *, r * 65536 + g * 256 + b AS rgb FROM seg), col AS (SELECT * FROM lines WHERE rgb <> 0)"
+PIX = f"WITH {DUCK_PIX}, px AS (SELECT image_id, row // {TILE_SIZE} AS tile_r, col // {TILE_SIZE} AS tile_c, row % {TILE_SIZE} AS row, col % {TILE_SIZE} AS col, rgb FROM pix)"
+CT = f"""{PIX}, nb AS (SELECT {", ".join("p." + c for c in (*TILE, "row", "col"))}, count(q.rgb) AS k FROM px p CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc)
+  LEFT JOIN px q ON q.image_id = p.image_id AND q.tile_r = p.tile_r AND q.tile_c = p.tile_c AND q.row = p.row + o.dr AND q.col = p.col + o.dc AND q.rgb = p.rgb GROUP BY ALL),
+ct AS (SELECT px.* FROM px JOIN nb USING ({T}, row, col) WHERE k < 4)"""
+RUNS = f"""{CT}, hr AS (SELECT {T}, row AS r1, min(col) AS c1, row AS r2, max(col) AS c2, rgb FROM (SELECT *, col - row_number() OVER (PARTITION BY {T}, row, rgb ORDER BY col) AS isl FROM ct) GROUP BY {T}, row, rgb, isl),
+vr AS (SELECT {T}, min(row) AS r1, col AS c1, max(row) AS r2, col AS c2, rgb FROM (SELECT *, row - row_number() OVER (PARTITION BY {T}, col, rgb ORDER BY row) AS isl FROM ct) GROUP BY {T}, col, rgb, isl),
+dots AS (SELECT * FROM hr WHERE c1 = c2 INTERSECT SELECT * FROM vr WHERE r1 = r2),
+runs AS (SELECT *, 0 AS rank FROM vr WHERE r1 < r2 UNION ALL SELECT *, 1 FROM hr WHERE c1 < c2 UNION ALL SELECT *, 2 FROM dots)"""
+TOUCH = f"""{RUNS}, corner AS (SELECT *, unnest([{{'row': r1 - 1, 'col': c1 - 1, 'pos': true}}, {{'row': r2 + 1, 'col': c2 + 1, 'pos': true}}, {{'row': r2 + 1, 'col': c1 - 1, 'pos': false}}, {{'row': r1 - 1, 'col': c2 + 1, 'pos': false}}]) AS k FROM runs),
+touched AS (SELECT r.{", r.".join(TILE)}, r1, c1, r2, c2, r.rgb, rank, coalesce(bool_or(q.rgb IS NOT NULL AND k.pos), false) AS dir_pos, coalesce(bool_or(q.rgb IS NOT NULL AND NOT k.pos), false) AS dir_neg
+  FROM corner r LEFT JOIN ct q ON q.image_id = r.image_id AND q.tile_r = r.tile_r AND q.tile_c = r.tile_c AND q.row = k.row AND q.col = k.col AND q.rgb = r.rgb GROUP BY ALL)"""
+ELINES = f"""{TOUCH}, copies AS (SELECT *, unnest(CASE WHEN dir_pos AND dir_neg THEN [0, 1] ELSE [-1] END) AS copy FROM touched),
+el AS (SELECT {T}, row_number() OVER (PARTITION BY {T} ORDER BY rank, CASE WHEN rank = 0 THEN c1 ELSE r1 END, CASE WHEN rank = 0 THEN r1 ELSE c1 END, copy) - 1 AS eline_id,
+  CASE WHEN r1 = r2 AND c1 = c2 THEN 'dot' ELSE 'line' END AS kind, c1 AS x1, r1 AS y1, c2 AS x2, r2 AS y2, c2 - c1 AS k1, r2 - r1 AS k2, rgb, greatest(c2 - c1, r2 - r1) + 1 AS volume,
+  CASE WHEN copy = 1 THEN false ELSE dir_pos END AS dir_pos, CASE WHEN copy = 0 THEN false ELSE dir_neg END AS dir_neg FROM copies)"""
+ELINE = ", ".join(runs.ELINE)
+INNER = f"""inner_px AS (SELECT DISTINCT {T}, CASE WHEN y1 = y2 THEN y1 ELSE y1 + p END AS row, CASE WHEN x1 = x2 THEN x1 ELSE x1 + p END AS col FROM (SELECT *, unnest(range(1, volume - 1)) AS p FROM el WHERE volume > 2))"""
+TRIMMED = f"""{ELINES}, {INNER}, hit AS (SELECT el.*, CASE WHEN a.row IS NOT NULL THEN 1 WHEN b.row IS NOT NULL THEN 2 ELSE 0 END AS m FROM el
+  LEFT JOIN inner_px a ON a.image_id = el.image_id AND a.tile_r = el.tile_r AND a.tile_c = el.tile_c AND a.row = y1 AND a.col = x1
+  LEFT JOIN inner_px b ON b.image_id = el.image_id AND b.tile_r = el.tile_r AND b.tile_c = el.tile_c AND b.row = y2 AND b.col = x2),
+tr AS (SELECT {T}, eline_id, kind, CASE WHEN m = 1 AND x1 <> x2 THEN x1 + 1 ELSE x1 END AS x1, CASE WHEN m = 1 AND x1 = x2 AND y1 <> y2 THEN y1 + 1 ELSE y1 END AS y1,
+  CASE WHEN m > 0 AND kind = 'dot' THEN x2 - 1 WHEN m = 2 AND x1 <> x2 THEN x2 - 1 ELSE x2 END AS x2, CASE WHEN m = 2 AND x1 = x2 AND y1 <> y2 THEN y2 - 1 ELSE y2 END AS y2, k1, k2, rgb, volume, dir_pos, dir_neg FROM hit)"""
+LINKED = f"""{TRIMMED}, ends AS (SELECT {T}, eline_id, x1 AS x, y1 AS y FROM tr UNION ALL SELECT {T}, eline_id, x2, y2 FROM tr), own AS (SELECT {T}, x, y, max(eline_id) AS dst FROM ends GROUP BY {T}, x, y),
+lk AS (SELECT DISTINCT e.{", e.".join(TILE)}, eline_id AS src, dst FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM ends) e CROSS JOIN (VALUES (-1), (0), (1)) o(dy) JOIN own ON own.image_id = e.image_id AND own.tile_r = e.tile_r AND own.tile_c = e.tile_c AND own.x = e.x + e.dx AND own.y = e.y + dy WHERE eline_id <> dst),
+attr AS (SELECT lk.*, a.volume AS va, b.volume AS vb, a.rgb AS ca, b.rgb AS cb, a.dir_pos = b.dir_pos AND a.dir_neg = b.dir_neg AS dirs, a.k1 + b.k2 <> 0 AND b.k1 + a.k2 <> 0 AS turned
+  FROM lk JOIN tr a ON a.image_id = lk.image_id AND a.tile_r = lk.tile_r AND a.tile_c = lk.tile_c AND a.eline_id = src JOIN tr b ON b.image_id = lk.image_id AND b.tile_r = lk.tile_r AND b.tile_c = lk.tile_c AND b.eline_id = dst)"""
+
+
+def linked(spark, d):
+    trimmed = links.trim_overlaps(elines(spark, d))
+    return links.with_ends(links.link_endpoints(trimmed, TILE, "eline_id", 1), trimmed, TILE, "eline_id")
+
+
+# Cells: a walk from crossing to crossing in SQL would be slow, so crossings are counted as in the operator, but by join instead of arrays.
+CELLS = f"""{SEG}, ext AS (SELECT image_id, min(least(x1, x2)) AS min_x, min(least(y1, y2)) AS min_y, max(greatest(x1, x2)) AS max_x, max(greatest(y1, y2)) AS max_y FROM col GROUP BY image_id),
+shp AS (SELECT image_id, CAST(ceil(max_x / {GRID}.0) AS BIGINT) AS nx, CAST(ceil(max_y / {GRID}.0) AS BIGINT) AS ny FROM ext),
+e0 AS (SELECT col.*, greatest(least(x1 // {GRID}, nx - 1), 0) AS i0, greatest(least(x2 // {GRID}, nx - 1), 0) AS i1, greatest(least(y1 // {GRID}, ny - 1), 0) AS j0, greatest(least(y2 // {GRID}, ny - 1), 0) AS j1, abs(x2 - x1) AS adx, abs(y2 - y1) AS ady FROM col JOIN shp USING (image_id)),
+ax AS (SELECT image_id, line_id, k, abs((i0 + CASE WHEN i1 >= i0 THEN 1 + k ELSE -k END) * {GRID} - x1) AS xa FROM (SELECT *, unnest(range(abs(i1 - i0))) AS k FROM e0)),
+ay AS (SELECT image_id, line_id, k, abs((j0 + CASE WHEN j1 >= j0 THEN 1 + k ELSE -k END) * {GRID} - y1) AS yb FROM (SELECT *, unnest(range(abs(j1 - j0))) AS k FROM e0)),
+cells AS (SELECT image_id, j0 AS cell_r, i0 AS cell_c, line_id FROM e0
+  UNION SELECT e0.image_id, j0 + CASE WHEN j1 >= j0 THEN 1 ELSE -1 END * (SELECT count(*) FROM ay WHERE ay.image_id = e0.image_id AND ay.line_id = e0.line_id AND yb * adx <= xa * ady), i0 + CASE WHEN i1 >= i0 THEN 1 ELSE -1 END * (ax.k + 1), e0.line_id FROM e0 JOIN ax USING (image_id, line_id)
+  UNION SELECT e0.image_id, j0 + CASE WHEN j1 >= j0 THEN 1 ELSE -1 END * (ay.k + 1), i0 + CASE WHEN i1 >= i0 THEN 1 ELSE -1 END * (SELECT count(*) FROM ax WHERE ax.image_id = e0.image_id AND ax.line_id = e0.line_id AND xa * ady < yb * adx), e0.line_id FROM e0 JOIN ay USING (image_id, line_id))"""
+PAIRS = f"""{CELLS}, ctr AS (SELECT DISTINCT c.image_id, cell_r + dr AS cr, cell_c + dc AS cc, line_id FROM cells c CROSS JOIN (VALUES (0, 0), (0, -1), (1, 0), (0, 1), (-1, 0)) o(dr, dc)),
+occ AS (SELECT DISTINCT image_id, cell_r AS cr, cell_c AS cc FROM cells), here AS (SELECT ctr.* FROM ctr SEMI JOIN occ USING (image_id, cr, cc)),
+cand AS (SELECT DISTINCT a.image_id, a.line_id AS src, b.line_id AS dst FROM here a JOIN here b USING (image_id, cr, cc) WHERE a.line_id < b.line_id),
+both_l AS (SELECT cand.*, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, a.rgb AS argb, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.rgb AS brgb FROM cand JOIN col a ON a.image_id = cand.image_id AND a.line_id = src JOIN col b ON b.image_id = cand.image_id AND b.line_id = dst)"""
+
+
+def _end_near(px: str, py: str, s: str) -> str:
+    """SQL: the point is nearer than EPS to the segment s, without division."""
+    dx, dy = f"({s}x2 - {s}x1)", f"({s}y2 - {s}y1)"
+    t, n, c = f"(({px} - {s}x1) * {dx} + ({py} - {s}y1) * {dy})", f"({dx} * {dx} + {dy} * {dy})", f"(({px} - {s}x1) * {dy} - ({py} - {s}y1) * {dx})"
+    ends = f"least(({px} - {s}x1) ** 2 + ({py} - {s}y1) ** 2, ({px} - {s}x2) ** 2 + ({py} - {s}y2) ** 2)"
+    return f"CASE WHEN {t} > 0 AND {t} < {n} THEN {c} * {c} < {EPS * EPS} * {n} ELSE {ends} < {EPS * EPS} END"
+
+
+NEAR = " OR ".join(f"({_end_near(*p)})" for p in (("ax1", "ay1", "b"), ("ax2", "ay2", "b"), ("bx1", "by1", "a"), ("bx2", "by2", "a")))
+EDGES = f"{PAIRS}, edges AS (SELECT image_id, src, dst FROM both_l WHERE argb = brgb AND ({NEAR}))"
+COMPONENTS = f"""{EDGES}, sym AS (SELECT image_id, src AS u, dst AS v FROM edges UNION SELECT image_id, dst, src FROM edges),
+reach(image_id, x, y) AS (SELECT image_id, line_id, line_id FROM col UNION SELECT r.image_id, r.x, s.v FROM reach r JOIN sym s ON s.image_id = r.image_id AND s.u = r.y),
+comp AS (SELECT image_id, x AS line_id, min(y) AS component FROM reach GROUP BY image_id, x)"""
+
+
+# Sources and sinks
+
+
+@query("""WITH f AS (SELECT 'root/' || event_type || '/' || event_id || '.png' AS path, event_type AS class_name FROM events)
+SELECT path, class_name, CAST(dense_rank() OVER (ORDER BY class_name) - 1 AS INT) AS label FROM f""")
+def a3_label_from_path(spark, d):
+    files = read(spark, d, "events").select(F.concat(F.lit("root/"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".png")).alias("path"))
+    return images.label_from_path(files).select("path", "class_name", "label")
+
+
+@query(f"{SEG} SELECT image_id, line_id, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, CAST(x2 AS INT) AS x2, CAST(y2 AS INT) AS y2, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM lines")
+def a4_lines_round_trip(spark, d):
+    one = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2", "r", "g", "b")])
+    rows = seg(spark, d).select("image_id", "line_id", catalog.lines_to_json(F.array(one)).alias("json"))
+    return rows.select("image_id", "line_id", F.explode(catalog.lines_from_json(F.col("json"))).alias("l")).select("image_id", "line_id", "l.*")
+
+
+@query("""SELECT doc_id, source || '_' || doc_id || '.png' || '(' || CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE '(0, ' || n_chars || ')' END || ', ' || CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE '(5, ' || n_chars || ')' END || ')' AS key FROM documents""")
+def a5_catalog_key(spark, d):
+    crop = lambda c: F.when(F.col("doc_id") % 2 != 0, c)
+    path = F.concat(F.lit("/drawings/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".png"))
+    end = F.col("n_chars")
+    return read(spark, d, "documents").select("doc_id", catalog.catalog_key(path, crop(F.lit(0)), crop(end), crop(F.lit(5)), crop(end)).alias("key"))
+
+
+@query(f"{ELINES} SELECT {T}, CASE WHEN y1 = y2 THEN y1 ELSE y1 + p END AS row, CASE WHEN x1 = x2 THEN x1 ELSE x1 + p END AS col FROM (SELECT *, unnest(range(volume)) AS p FROM el)")
+def a6_lines_to_pixels(spark, d):
+    return runs.lines_to_pixels(elines(spark, d))
+
+
+# Projections, filters, predicates
+
+
+@query(f"{PIX} SELECT image_id, row - 10 AS row, col - 20 AS col, rgb FROM pix WHERE row >= 10 AND row < 60 AND col >= 20 AND col < 70")
+def b1_crop_roi(spark, d):
+    return runs.crop_roi(fixtures.pixels(spark, d), 10, 60, 20, 70)
+
+
+@query(f"{PIX} SELECT * FROM px")
+def b2_assign_tiles(spark, d):
+    return tiles(spark, d)
+
+
+@query(f"{ELINES} SELECT {T}, eline_id, x1 + tile_c * 32 AS x1, y1 + tile_r * 32 AS y1, x2 + tile_c * 32 AS x2, y2 + tile_r * 32 AS y2 FROM el")
+def b3_untile_lines(spark, d):
+    return lines.untile_lines(elines(spark, d).select(*TILE, "eline_id", "x1", "y1", "x2", "y2"), TILE_SIZE)
+
+
+@query("SELECT l_orderkey, l_linenumber, c FROM (SELECT l_orderkey, l_linenumber, CAST((l_partkey * 97 + l_suppkey * 31) % 256 * 65536 + l_suppkey % 256 * 256 + 255 AS INT) AS c FROM lineitem) WHERE (c >> 16) + ((c >> 8) & 255) + (c & 255) <= 762")
+def b4_nonwhite(spark, d):
+    c = ((F.col("l_partkey") * 97 + F.col("l_suppkey") * 31) % 256 * 65536 + F.col("l_suppkey") % 256 * 256 + 255).cast("int")
+    return runs.nonwhite(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("rgb"))).withColumnRenamed("rgb", "c")
+
+
+@query("SELECT l_orderkey, l_linenumber, c FROM (SELECT l_orderkey, l_linenumber, CAST((l_partkey * 97 + l_suppkey * 31) % 256 * 65536 + (200 + l_suppkey % 56) * 256 + 255 AS INT) AS c FROM lineitem) WHERE 114 * (c >> 16) + 587 * ((c >> 8) & 255) + 299 * (c & 255) < 245500")
+def b5_ink_mask(spark, d):
+    c = ((F.col("l_partkey") * 97 + F.col("l_suppkey") * 31) % 256 * 65536 + (200 + F.col("l_suppkey") % 56) * 256 + 255).cast("int")
+    return runs.ink_mask(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("rgb"))).withColumnRenamed("rgb", "c")
+
+
+@query(f"{ELINES} SELECT {ELINE} FROM el WHERE (x2 - x1) ** 2 + (y2 - y1) ** 2 > 9")
+def b6_drop_short_lines(spark, d):
+    return links.drop_short_lines(elines(spark, d))
+
+
+@query(f"{SEG} SELECT * FROM col")
+def b7_drop_black_lines(spark, d):
+    return colored(spark, d)
+
+
+@query(f"""{PIX}, box AS (SELECT image_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM pix GROUP BY image_id), o AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc)),
+wide AS (SELECT DISTINCT image_id, row + dr AS row, col + dc AS col FROM pix JOIN box USING (image_id), o WHERE row + dr BETWEEN r0 AND r1 AND col + dc BETWEEN c0 AND c1),
+held AS (SELECT w.image_id, row + dr AS row, col + dc AS col, count(*) AS n FROM wide w, o GROUP BY ALL)
+SELECT image_id, row, col FROM held JOIN box USING (image_id) WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 AND n = (least(row + 1, r1) - greatest(row - 1, r0) + 1) * (least(col + 1, c1) - greatest(col - 1, c0) + 1)
+EXCEPT SELECT image_id, row, col FROM pix""")
+def b8_thin_mask(spark, d):
+    return runs.thin_mask(fixtures.pixels(spark, d).select("image_id", "row", "col"))
+
+
+# Joins
+
+
+@query(f"{CT} SELECT * FROM ct")
+def c1_contour_pixels(spark, d):
+    return contour(spark, d)
+
+
+@query(f"{TOUCH} SELECT {T}, r1, c1, r2, c2, rgb, dir_pos, dir_neg FROM touched")
+def c2_diagonal_touch(spark, d):
+    edge = contour(spark, d)
+    found = runs.all_runs(runs.horizontal_runs(edge), runs.vertical_runs(edge))
+    return runs.diagonal_touch(found, edge).drop("rank")
+
+
+@query(f"{TRIMMED} SELECT {ELINE} FROM tr")
+def c3_trim_overlaps(spark, d):
+    return links.trim_overlaps(elines(spark, d))
+
+
+@query(f"{LINKED} SELECT {T}, src, dst FROM lk")
+def c4_link_endpoints(spark, d):
+    return links.link_endpoints(links.trim_overlaps(elines(spark, d)), TILE, "eline_id", 1)
+
+
+@query(f"{LINKED} SELECT {T}, src, dst FROM attr WHERE va BETWEEN 1 AND 5 AND va = vb AND ca = cb AND dirs AND (va = 1 OR turned)")
+def c5_same_stroke_edges(spark, d):
+    return links.same_stroke_edges(linked(spark, d))
+
+
+@query(f"{LINKED} SELECT {T}, src, dst FROM attr WHERE abs(va - vb) <= 1 AND ca = cb AND dirs AND (va = 1 OR turned)")
+def c6_mixed_stroke_edges(spark, d):
+    return links.mixed_stroke_edges(linked(spark, d))
+
+
+@query(f"""{ELINES}, big AS (SELECT {T}, eline_id AS line_id, x1, y1, x2, y2, rgb FROM el WHERE volume > 3), small AS (SELECT * FROM el WHERE volume <= 3),
+own AS (SELECT {T}, x, y, max(line_id) AS line_id FROM (SELECT {T}, line_id, x1 AS x, y1 AS y FROM big UNION ALL SELECT {T}, line_id, x2, y2 FROM big) GROUP BY {T}, x, y),
+ends AS (SELECT {T}, eline_id, rgb, x1 AS x, y1 AS y FROM small UNION ALL SELECT {T}, eline_id, rgb, x2, y2 FROM small)
+SELECT e.{", e.".join(TILE)}, eline_id, own.line_id, count(*) AS times FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM ends) e CROSS JOIN (VALUES (-1), (0), (1)) o(dy)
+JOIN own ON own.image_id = e.image_id AND own.tile_r = e.tile_r AND own.tile_c = e.tile_c AND own.x = e.x + e.dx AND own.y = e.y + dy
+JOIN big b ON b.image_id = e.image_id AND b.tile_r = e.tile_r AND b.tile_c = e.tile_c AND b.line_id = own.line_id AND b.rgb = e.rgb GROUP BY ALL""")
+def c7_leftover_hits(spark, d):
+    all_of = elines(spark, d)
+    return links.leftover_hits(all_of.where("volume <= 3"), all_of.where("volume > 3").withColumnRenamed("eline_id", "line_id"))
+
+
+SLOPE = "CASE WHEN {0}x1 = {0}x2 THEN 'inf'::DOUBLE ELSE ({0}y2 - {0}y1)::DOUBLE / ({0}x2 - {0}x1) END"
+ANGLE = """CASE WHEN m1 * m2 = -1 THEN 90.0::DOUBLE ELSE degrees(atan(abs((m1 - m2) / (1 + m1 * m2)))) END"""
+APART = "(least(ax1, ax2) > greatest(bx1, bx2) OR greatest(ax1, ax2) < least(bx1, bx2) OR least(ay1, ay2) > greatest(by1, by2) OR greatest(ay1, ay2) < least(by1, by2))"
+
+
+@query(f"""{SEG}, ends AS (SELECT image_id, line_id, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, line_id, x2, y2 FROM lines), own AS (SELECT image_id, x, y, max(line_id) AS dst FROM ends GROUP BY ALL),
+lk AS (SELECT DISTINCT e.image_id, line_id AS src, dst FROM (SELECT *, unnest(range(-3, 4)) AS dx FROM ends) e CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) o JOIN own ON own.image_id = e.image_id AND own.x = e.x + e.dx AND own.y = e.y + dy WHERE line_id <> dst),
+p AS (SELECT lk.*, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, a.rgb AS ca, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.rgb AS cb FROM lk JOIN lines a ON a.image_id = lk.image_id AND a.line_id = src JOIN lines b ON b.image_id = lk.image_id AND b.line_id = dst),
+s AS (SELECT *, {SLOPE.format("a")} AS sa, {SLOPE.format("b")} AS sb FROM p), m AS (SELECT *, CASE WHEN isinf(sa) THEN 99999999999 ELSE sa END AS m1, CASE WHEN isinf(sb) THEN 99999999999 ELSE sb END AS m2 FROM s)
+SELECT image_id, src, dst FROM m WHERE ca = cb AND {ANGLE} < 1 AND {APART} AND CASE WHEN isinf(sa) THEN ax1 = bx1 WHEN sa = 0 THEN ay1 = by1 ELSE true END""")
+def c8_collinear_merge_edges(spark, d):
+    return links.collinear_merge_edges(seg(spark, d))
+
+
+@query(f"{CELLS} SELECT image_id, cell_r, cell_c, line_id FROM cells")
+def c9_lines_to_cells(spark, d):
+    return grid.lines_to_cells(colored(spark, d), GRID)
+
+
+@query(f"{PAIRS} SELECT * FROM cand")
+def c10_grid_candidates(spark, d):
+    return grid.grid_candidates(colored(spark, d), GRID)
+
+
+@query(f"{EDGES} SELECT * FROM edges")
+def c11_connect_pairs(spark, d):
+    return connect.connect_pairs(colored(spark, d))
+
+
+@query(f"{PAIRS} SELECT image_id, src, dst FROM both_l WHERE ax1 = bx1 AND argb <> brgb")
+def c12_pair_join(spark, d):
+    return grid.pair_join(colored(spark, d), GRID, lambda a, b: (F.col(f"{a}.x1") == F.col(f"{b}.x1")) & (F.col(f"{a}.rgb") != F.col(f"{b}.rgb")))
+
+
+@query(f"{PAIRS} SELECT image_id, src, dst, EXISTS (SELECT 1 FROM cells a JOIN cells b USING (image_id, cell_r, cell_c) WHERE a.image_id = c.image_id AND a.line_id = src AND b.line_id = dst) AS overlap FROM cand c")
+def c13_cells_overlap(spark, d):
+    own = colored(spark, d)
+    of = grid.lines_to_cells(own, GRID).groupBy("image_id", "line_id").agg(F.collect_list(F.struct("cell_r", "cell_c")).alias("cells"))
+    a, b = (of.select("image_id", F.col("line_id").alias(n), F.col("cells").alias(f"{n}_cells")) for n in ("src", "dst"))
+    pairs = grid.grid_candidates(own, GRID).join(a, ["image_id", "src"]).join(b, ["image_id", "dst"])
+    return pairs.select("image_id", "src", "dst", grid.cells_overlap(F.col("src_cells"), F.col("dst_cells")).alias("overlap"))
+
+
+def requests(spark, d):
+    return read(spark, d, "documents").select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("key"), (F.col("n_chars") % 10 == 0).alias("forced"), (F.col("n_chars") % 2 == 0).alias("done"))
+
+
+REQUESTS = "WITH q AS (SELECT source || '_' || doc_id AS key, n_chars % 10 = 0 AS forced, n_chars % 2 = 0 AS done FROM documents)"
+
+
+@query(f"{REQUESTS} SELECT key, forced FROM q WHERE forced OR key NOT IN (SELECT key FROM q WHERE done)")
+def c14_missing_work(spark, d):
+    asked = requests(spark, d)
+    return catalog.missing_work(asked.select("key", "forced"), asked.where("done").select("key"))
+
+
+@query(f"{REQUESTS} SELECT key, forced FROM q WHERE NOT forced AND key IN (SELECT key FROM q WHERE done)")
+def c15_reuse_results(spark, d):
+    asked = requests(spark, d)
+    return catalog.reuse_results(asked.select("key", "forced"), asked.where("done").select("key"))
+
+
+# Aggregations
+
+
+@query(f"{CELLS} SELECT * FROM ext")
+def d1_extent(spark, d):
+    return grid.extent(colored(spark, d))
+
+
+@query(f"{CELLS} SELECT image_id, nx AS grid_x, ny AS grid_y FROM shp")
+def d2_grid_shape(spark, d):
+    return grid.grid_shape(colored(spark, d), GRID)
+
+
+@query(f"{CELLS} SELECT image_id, cell_r, cell_c, list(line_id ORDER BY line_id) AS lines, count(*) AS n FROM cells GROUP BY image_id, cell_r, cell_c")
+def d3_cell_index(spark, d):
+    return grid.cell_index(grid.lines_to_cells(colored(spark, d), GRID))
+
+
+@query(f"""{RUNS}, spans AS (SELECT *, unnest(range(greatest(r2 - r1, c2 - c1) + 1)) AS p FROM hr), c AS (SELECT s.{", s.".join(TILE)}, r1, c1, r2, c2, px.rgb, count(*) AS n, min(p) AS f FROM spans s JOIN px ON px.image_id = s.image_id AND px.tile_r = s.tile_r AND px.tile_c = s.tile_c AND px.row = r1 AND px.col = c1 + p GROUP BY ALL)
+SELECT {T}, r1, c1, r2, c2, arg_max(rgb, n * 1000 - f) AS rgb FROM c GROUP BY ALL""")
+def d4_dominant_color(spark, d):
+    return runs.dominant_color(runs.horizontal_runs(contour(spark, d)), tiles(spark, d))
+
+
+@query(f"{ELINES} SELECT image_id, volume, count(*) AS n FROM el GROUP BY image_id, volume")
+def d5_volume_histogram(spark, d):
+    return runs.volume_histogram(elines(spark, d))
+
+
+@query(f"{SEG} SELECT image_id, x, y, max(line_id) AS owner FROM (SELECT image_id, line_id, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, line_id, x2, y2 FROM lines) GROUP BY image_id, x, y")
+def d6_endpoint_owner(spark, d):
+    return links.endpoint_owner(seg(spark, d), ["image_id"], "line_id")
+
+
+@query(f"{COMPONENTS}, z AS (SELECT *, count(*) OVER (PARTITION BY image_id, component) AS size FROM comp) SELECT image_id, line_id, size >= 3 AS long FROM z")
+def d7_split_by_size(spark, d):
+    grouped = connect.detect_connect(seg(spark, d), neighbourhood="plus")
+    sized = grouped.join(connect.component_sizes(grouped).withColumnRenamed("n", "size"), ["image_id", "component"])
+    long, rest = lines.split_by_size(sized, 3)
+    return long.select("image_id", "line_id", F.lit(True).alias("long")).unionByName(rest.select("image_id", "line_id", F.lit(False).alias("long")))
+
+
+@query(f"""{SEG}, p AS (SELECT DISTINCT image_id, rgb, x, y FROM (SELECT image_id, rgb, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, rgb, x2, y2 FROM lines)),
+d AS (SELECT a.image_id, a.rgb, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.image_id = b.image_id AND a.rgb = b.rgb AND (a.x, a.y) <= (b.x, b.y))
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY image_id, rgb ORDER BY d2 DESC, x1, y1, x2, y2) = 1""")
+def d8_hull_chord(spark, d):
+    return chords.hull_chord(links.end_points(seg(spark, d), ["image_id", "rgb"], "line_id").select("image_id", "rgb", "x", "y"), ["image_id", "rgb"])
+
+
+@query()
+def d9_hull(spark, d):
+    return chords.hull(links.end_points(seg(spark, d), ["image_id", "rgb"], "line_id").select("image_id", "rgb", "x", "y"), ["image_id", "rgb"])
+
+
+@query(f"{COMPONENTS} SELECT image_id, component, count(*) AS n, list(line_id ORDER BY line_id) AS lines FROM comp GROUP BY image_id, component")
+def d10_group_members(spark, d):
+    return connect.group_members(connect.detect_connect(seg(spark, d)))
+
+
+@query(f"{COMPONENTS} SELECT image_id, u AS node, list(v ORDER BY v) AS neighbours, count(*) AS degree FROM sym GROUP BY image_id, u")
+def d11_neighbor_lists(spark, d):
+    return connect.neighbor_lists(connect.connect_pairs(colored(spark, d)))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def d12_class_counts(spark, d):
+    return scoring.class_counts(read(spark, d, "embeddings"))
+
+
+LOGITS = """WITH v AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), w AS (SELECT label AS class, dim, avg(v) AS w FROM v GROUP BY ALL),
+lg AS (SELECT v.vec_id, any_value(v.label) AS label, class, sum(v.v * w.w) AS logit FROM v JOIN w USING (dim) GROUP BY v.vec_id, class),
+ls AS (SELECT vec_id, any_value(label) AS label, list(logit ORDER BY class) AS logits FROM lg GROUP BY vec_id)"""
+
+
+def class_weights(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("label").alias("class"), F.posexplode("embedding").alias("dim", "v")).groupBy("class", "dim").agg(F.avg(F.col("v").cast("double")).alias("w"))
+
+
+def logits(spark, d):
+    vectors = read(spark, d, "embeddings")
+    values = vectors.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("dim", "v")).select("image_id", "dim", F.col("v").cast("double").alias("value"))
+    scored = scoring.collect_logits(scoring.linear_head(values, class_weights(vectors)))
+    return scored.join(vectors.select(F.col("vec_id").alias("image_id"), "label"), "image_id")
+
+
+CE = "ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) + list_max(logits) - logits[label + 1]"
+
+
+@query(f"""{LOGITS}, b AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 16 AS batch, {CE} AS loss, list_position(logits, list_max(logits)) - 1 = label AS ok FROM ls), p AS (SELECT batch, avg(loss) AS loss, sum(ok::INT) AS k, count(*) AS n FROM b GROUP BY batch)
+SELECT round(avg(loss), 4) AS loss, round(sum(k) * 100.0::DOUBLE / sum(n), 4) AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM p""")
+def d13_classification_metrics(spark, d):
+    return scoring.classification_metrics(logits(spark, d)).select(F.round("loss", 4).alias("loss"), F.round(F.col("accuracy").cast("double"), 4).alias("accuracy"), "n")
+
+
+# Windows
+
+
+@query(f"{RUNS} SELECT * FROM hr")
+def w1_horizontal_runs(spark, d):
+    return runs.horizontal_runs(contour(spark, d))
+
+
+@query(f"{RUNS} SELECT * FROM vr")
+def w2_vertical_runs(spark, d):
+    return runs.vertical_runs(contour(spark, d))
+
+
+@query("""WITH b AS (SELECT user_id % 5 AS epoch, event_id // 50 AS batch_id, sum((event_type = 'click')::INT)::BIGINT AS "right", count(*) AS n FROM events GROUP BY ALL)
+SELECT *, round(sum("right") OVER w * 100.0::DOUBLE / sum(n) OVER w, 4) AS accuracy FROM b WINDOW w AS (PARTITION BY epoch ORDER BY batch_id)""")
+def w3_running_accuracy(spark, d):
+    rows = read(spark, d, "events").groupBy((F.col("user_id") % 5).alias("epoch"), F.expr("event_id div 50").alias("batch_id"))
+    per = rows.agg(F.sum((F.col("event_type") == "click").cast("long")).alias("right"), F.count("*").alias("n"))
+    return scoring.running_accuracy(per).withColumn("accuracy", F.round(F.col("accuracy").cast("double"), 4))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('split-1:' || event_id), event_id) <= (count(*) OVER ()) * 8 // 10 AS training FROM events")
+def w4_exact_split(spark, d):
+    return scoring.exact_split(read(spark, d, "events").select("event_id"), "event_id")
+
+
+@query(f"{ELINES} SELECT {T}, eline_id, kind, x1, y1, x2, y2 FROM el")
+def w5_number_elines(spark, d):
+    return elines(spark, d).select(*TILE, "eline_id", "kind", "x1", "y1", "x2", "y2")
+
+
+# Sort, limit, top-k
+
+
+@query(f"{SEG} SELECT image_id, line_id, x1, y1, x2, y2 FROM lines QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY line_id) <= 6")
+def s2_preview(spark, d):
+    w = Window.partitionBy("image_id").orderBy("line_id")
+    return seg(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 6").select("image_id", "line_id", "x1", "y1", "x2", "y2")
+
+
+@query(f"{LOGITS} SELECT vec_id AS image_id, CAST(list_position(logits, list_max(logits)) - 1 AS INT) AS prediction, round(list_max(logits), 4) AS score FROM ls")
+def s3_top1(spark, d):
+    return scoring.top1(logits(spark, d)).select("image_id", "prediction", F.round("score", 4).alias("score"))
+
+
+# Sets
+
+
+@query(f"{RUNS} SELECT * FROM dots")
+def u1_isolated_dots(spark, d):
+    edge = contour(spark, d)
+    return runs.isolated_dots(runs.horizontal_runs(edge), runs.vertical_runs(edge))
+
+
+@query(f"{RUNS} SELECT * FROM runs")
+def u2_all_runs(spark, d):
+    edge = contour(spark, d)
+    return runs.all_runs(runs.horizontal_runs(edge), runs.vertical_runs(edge))
+
+
+@query(f"""{ELINES} SELECT * FROM ct ANTI JOIN (SELECT {T}, CASE WHEN y1 = y2 THEN y1 ELSE y1 + p END AS row, CASE WHEN x1 = x2 THEN x1 ELSE x1 + p END AS col FROM (SELECT *, unnest(range(volume)) AS p FROM el WHERE volume > 2)) USING ({T}, row, col)""")
+def u3_residue_pixels(spark, d):
+    return runs.residue_pixels(contour(spark, d), elines(spark, d).where("volume > 2"))
+
+
+# Graph
+
+
+@query(f"{COMPONENTS} SELECT image_id, line_id AS node, component FROM comp WHERE (image_id, line_id) IN (SELECT (image_id, u) FROM sym)")
+def g1_connected_components(spark, d):
+    return connect.line_components(connect.connect_pairs(colored(spark, d)))
+
+
+@query(f"{COMPONENTS} SELECT image_id, src, dst, a.component = b.component AS connected FROM cand JOIN comp a USING (image_id) JOIN comp b USING (image_id) WHERE a.line_id = src AND b.line_id = dst")
+def g2_same_component(spark, d):
+    rows = seg(spark, d)
+    return connect.same_component(grid.grid_candidates(connect.drop_black_lines(rows), GRID), connect.detect_connect(rows)).select("image_id", "src", "dst", "connected")
+
+
+@query(f"{COMPONENTS} SELECT image_id, component, count(*) AS n FROM comp GROUP BY image_id, component")
+def g3_component_sizes(spark, d):
+    return connect.component_sizes(connect.detect_connect(seg(spark, d)))
+
+
+# Scalar functions, on pairs of lines that share a cell neighbourhood
+
+
+def line_pairs(spark, d):
+    own = colored(spark, d)
+    return links.with_ends(grid.grid_candidates(own, GRID), own, ["image_id"], "line_id")
+
+
+@query(f"""{PAIRS}, s AS (SELECT *, {SLOPE.format("a")} AS sa, {SLOPE.format("b")} AS sb FROM both_l), m AS (SELECT *, CASE WHEN isinf(sa) THEN 99999999999 ELSE sa END AS m1, CASE WHEN isinf(sb) THEN 99999999999 ELSE sb END AS m2 FROM s)
+SELECT image_id, src, dst, round(sa, 4) AS slope, round(CASE WHEN isinf(sa) THEN sa ELSE ay1 - sa * ax1 END, 4) AS intercept, round({ANGLE}, 4) AS angle, NOT {APART} AS overlap, round(sqrt(((ax2 - ax1) ** 2 + (ay2 - ay1) ** 2)::DOUBLE), 4) AS length,
+  (ax2 - ax1) * (by1 - ay1) - (ay2 - ay1) * (bx1 - ax1) AS cross_product FROM m""")
+def h_lines(spark, d):
+    a, b = geo.segment("a"), geo.segment("b")
+    return line_pairs(spark, d).select(
+        "image_id", "src", "dst", F.round(geo.slope(a), 4).alias("slope"), F.round(geo.intercept(a), 4).alias("intercept"), F.round(geo.angle_between(a, b), 4).alias("angle"),
+        geo.boxes_overlap(a, b).alias("overlap"), F.round(geo.length(a), 4).alias("length"), geo.cross_product(a[0], a[1], a[2], a[3], b[0], b[1]).alias("cross_product"),
+    )
+
+
+@query(f"""{PAIRS}, t AS (SELECT *, (bx2 - bx1)::DOUBLE AS dx, (by2 - by1)::DOUBLE AS dy FROM both_l), u AS (SELECT *, least(greatest(coalesce(((ax1 - bx1) * dx + (ay1 - by1) * dy) / nullif(dx * dx + dy * dy, 0), 0), 0), 1) AS t FROM t),
+x AS (SELECT *, (ax1 - ax2) * (by1 - by2) - (bx1 - bx2) * (ay1 - ay2) AS den FROM u)
+SELECT image_id, src, dst, round(sqrt((ax1 - (bx1 + t * dx)) ** 2 + (ay1 - (by1 + t * dy)) ** 2), 4) AS distance,
+  den <> 0 AND sign((ax2 - ax1) * (by1 - ay1) - (ay2 - ay1) * (bx1 - ax1)) * sign((ax2 - ax1) * (by2 - ay1) - (ay2 - ay1) * (bx2 - ax1)) <= 0
+  AND sign((bx2 - bx1) * (ay1 - by1) - (by2 - by1) * (ax1 - bx1)) * sign((bx2 - bx1) * (ay2 - by1) - (by2 - by1) * (ax2 - bx1)) <= 0 AS crossing FROM x""")
+def h_points(spark, d):
+    a, b = geo.segment("a"), geo.segment("b")
+    return line_pairs(spark, d).select("image_id", "src", "dst", F.round(geo.point_segment_distance(a[0], a[1], b), 4).alias("distance"), geo.segments_cross(a, b).alias("crossing"))
+
+
+@query(f"{LINKED} SELECT {T}, src, dst, turned FROM attr")
+def h9_same_orientation(spark, d):
+    return linked(spark, d).select(*TILE, "src", "dst", geo.same_orientation(F.col("a.k1"), F.col("a.k2"), F.col("b.k1"), F.col("b.k2")).alias("turned"))
+
+
+@query(f"{RUNS} SELECT {T}, r1, c1, r2, c2, rgb, c2 - c1 AS k1, r2 - r1 AS k2, greatest(c2 - c1, r2 - r1) + 1 AS volume, CASE WHEN r1 = r2 AND c1 = c2 THEN 'dot' ELSE 'line' END AS kind FROM runs")
+def h10_run_attributes(spark, d):
+    edge = contour(spark, d)
+    found = runs.run_attributes(runs.all_runs(runs.horizontal_runs(edge), runs.vertical_runs(edge)))
+    return found.select(*TILE, "r1", "c1", "r2", "c2", "rgb", "k1", "k2", "volume", "kind")
+
+
+CHANNELS = "ch AS (SELECT image_id, row, col, unnest([0, 1, 2]) AS channel, unnest([rgb >> 16, (rgb >> 8) & 255, rgb & 255]) AS v FROM pix)"
+
+
+def channel_values(spark, d):
+    a, b, c = runs.channels(F.col("rgb"))
+    return fixtures.pixels(spark, d).select("image_id", "row", "col", F.posexplode(F.array(a, b, c)).alias("channel", "v"))
+
+
+@query(f"{PIX}, {CHANNELS} SELECT image_id, row, col, CAST(channel AS INT) AS channel, round((v / 255.0::DOUBLE - ([0.485, 0.456, 0.406])[channel + 1]::DOUBLE) / ([0.229, 0.224, 0.225])[channel + 1]::DOUBLE, 4) AS value FROM ch")
+def h11_to_unit_normalize(spark, d):
+    return channel_values(spark, d).select("image_id", "row", "col", "channel", F.round(images.to_unit_normalize(F.col("v"), F.col("channel")), 4).alias("value"))
+
+
+@query(f"{CELLS} SELECT image_id, line_id, i0, j0, i1, j1 FROM e0")
+def h12_clamp_to_grid(spark, d):
+    rows = colored(spark, d)
+    rows = rows.join(grid.grid_shape(rows, GRID), "image_id")
+    at = lambda v, n, out: grid.cell_of(F.col(v), F.col(n), GRID).alias(out)
+    return rows.select("image_id", "line_id", at("x1", "grid_x", "i0"), at("y1", "grid_y", "j0"), at("x2", "grid_x", "i1"), at("y2", "grid_y", "j1"))
+
+
+@query(f"{LOGITS} SELECT vec_id AS image_id, round({CE}, 4) AS loss, round(exp(logits[1] - list_max(logits)) / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))), 4) AS first FROM ls")
+def h13_softmax_cross_entropy(spark, d):
+    rows = logits(spark, d)
+    return rows.select("image_id", F.round(scoring.cross_entropy(F.col("logits"), F.col("label")), 4).alias("loss"), F.round(scoring.softmax(F.col("logits"))[0], 4).alias("first"))
+
+
+# Image classification
+
+
+@query(f"{PIX} SELECT image_id, (row // 16) * 8 + col // 16 AS patch_id, list(rgb ORDER BY row % 16 * 16 + col % 16) AS values FROM pix GROUP BY ALL")
+def m1_patchify(spark, d):
+    return images.patchify(fixtures.pixels(spark, d).withColumnRenamed("rgb", "v"), 128)
+
+
+@query("WITH v AS (SELECT label AS image_id, unnest(embedding) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim FROM embeddings) SELECT CAST(image_id AS BIGINT) AS image_id, dim, round(avg(v::DOUBLE), 4) AS value FROM v GROUP BY ALL")
+def m2_mean_pool(spark, d):
+    tokens = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("image_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return scoring.mean_pool(tokens).withColumn("value", F.round("value", 4))
+
+
+@query("""WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), w AS (SELECT label AS class, dim, avg(v) AS w FROM v GROUP BY ALL),
+n AS (SELECT vec_id, dim, (v - avg(v) OVER (PARTITION BY vec_id)) / sqrt(var_pop(v) OVER (PARTITION BY vec_id) + 1e-5) AS v FROM v)
+SELECT vec_id AS image_id, CAST(class AS INT) AS class, round(sum(n.v * w.w), 3) + 0.0 AS logit FROM n JOIN w USING (dim) GROUP BY ALL""")
+def m3_linear_head(spark, d):
+    vectors = read(spark, d, "embeddings")
+    values = vectors.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("dim", "v")).select("image_id", "dim", F.col("v").cast("double").alias("value"))
+    scored = scoring.linear_head(scoring.layer_norm(values), class_weights(vectors))
+    return scored.select("image_id", F.col("class").cast("int").alias("class"), F.round("logit", 3).alias("logit"))
+
+
+# Jobs
+
+
+@query(f"{ELINES} SELECT {ELINE} FROM el")
+def extract_elines(spark, d):
+    return elines(spark, d)
+
+
+@query()
+def detect_lines(spark, d):
+    return lines.detect_lines(fixtures.pixels(spark, d), PARAMS)
+
+
+@query(f"{COMPONENTS} SELECT image_id, line_id, x1, y1, x2, y2, rgb, component FROM comp JOIN col USING (image_id, line_id)")
+def detect_connect(spark, d):
+    return connect.detect_connect(seg(spark, d)).select("image_id", "line_id", "x1", "y1", "x2", "y2", "rgb", "component")
+
+
+@query(f"{PAIRS} SELECT image_id, src, dst FROM both_l WHERE {NEAR}")
+def detect_pairs(spark, d):
+    return connect.detect_pairs(colored(spark, d), lambda a, b: geo.connected(geo.segment(a), geo.segment(b), EPS))
+
+
+@query(f"{LOGITS}, p AS (SELECT vec_id, label, list_position(logits, list_max(logits)) - 1 AS p FROM ls) SELECT CAST(label AS INT) AS label, count(*) AS n, CAST(sum((p = label)::INT) AS BIGINT) AS correct FROM p GROUP BY label")
+def evaluate_by_label(spark, d):
+    rows = scoring.top1(logits(spark, d))
+    return rows.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("label")).cast("long")).alias("correct"))
