@@ -34,6 +34,8 @@ MIN_EXAMPLES = 3
 MIN_CHI_SQUARE = 25.0
 NEIGHBOURS = 25
 BLOCK = 64
+#: Bytes of text handled at once: a word has up to seven terms, so the arrays are many times the text.
+TEXT_BYTES = 256 << 10
 #: Every FOLDS-th row by checksum of its key is held out from fitting.
 FOLDS = 5
 #: Share of the raw vote in the score, so that documents of one calibration step keep an order.
@@ -174,7 +176,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     sample = written(docs.join(F.broadcast(picked), "id"), "examples")
 
     def partial(batches):
-        for part, data, offsets in blocks(batches, "text"):
+        for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
             value, row, _, _ = features(Words(data, offsets, WORD_ALNUM, lower=True))
             y = part.column(part.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
             distinct, number = np.unique(value, return_inverse=True)
@@ -195,7 +197,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def spelled(batches):
         wanted = np.sort(best.view(np.uint64))
-        for part, data, offsets in blocks(batches, "text"):
+        for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
             words = Words(data, offsets, WORD_ALNUM, lower=True)
             value, _, start, end = features(words)
             value, at = np.unique(value, return_index=True)
@@ -216,7 +218,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def frequencies(batches):
         total, seen = np.zeros(len(order), dtype=np.int64), 0
-        for part, data, offsets in blocks(batches, "text"):
+        for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
             _, term, _ = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, order)
             total += np.bincount(term, minlength=len(order))
             seen += part.num_rows
@@ -226,7 +228,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     idf = np.array([math.log((1 + seen[-1]) / (1 + seen[t])) + 1 for t in range(len(order))])
 
     def vectors(batches):
-        for part, data, offsets in blocks(batches, "text"):
+        for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
             row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, order)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
             spans = [slice(a, b) for a, b in zip(at[:-1], at[1:])]
@@ -253,7 +255,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFram
     def run(batches):
         model = shared.value
         known: dict[tuple, tuple] = {}
-        for part, data, offsets in blocks(batches, text):
+        for part, data, offsets in blocks(batches, text, TEXT_BYTES):
             row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.places)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
             scores, terms, evidence = [], [], []
