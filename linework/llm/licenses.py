@@ -92,7 +92,7 @@ class TemplateClass:
             return []
         nth = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         start = first[:-1][row] + nth * self.step
-        same = [row[t:] == row[: len(row) - t] for t in range(self.blocks)]
+        same = [row[t:] == row[: len(row) - t] for t in range(min(self.blocks, len(row)))]
         low = self.low(values)
         found: set[tuple[int, int]] = set()
         for b in range(self.bands):
