@@ -172,7 +172,7 @@ def meet(runs: DataFrame, width: int) -> DataFrame:
 
 
 def run_texts(docs: DataFrame, wanted: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(bucket, doc, print, start, text) of the runs to compare; those of split owners once per second least hash."""
+    """(bucket, owner, doc, print, start, text) of the runs to compare; those of split owners once per second least hash."""
     asked = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end", "owner", "split")).alias("asked"))
     # Always a merge join, so that the plan does not change with the size.
     rows = docs.join(asked.hint("merge"), ["doc", "print"])
@@ -188,18 +188,23 @@ def run_texts(docs: DataFrame, wanted: DataFrame, buckets: int, width: int) -> D
                     for s, e, o, many in zip(np.frombuffer(a["start"], np.int32).tolist(), ends, owners, split):
                         piece = data[offsets[d] + s : offsets[d] + e]
                         if not many:
-                            out.append((o % buckets, d, s, piece.tobytes()))
+                            out.append((o, d, s, piece.tobytes()))
                             continue
                         g, _ = anchor_hashes(piece)
                         g = np.where(g == np.uint64(o), np.iinfo(np.uint64).max, g)
                         second = np.lib.stride_tricks.sliding_window_view(g, span).min(axis=1)
                         cuts = np.flatnonzero(np.concatenate([[True], second[1:] != second[:-1]])).tolist()
                         for x, y in zip(cuts, [*cuts[1:], len(second)]):
-                            out.append((int(mix(second[x : x + 1] + np.uint64(o))[0] % np.uint64(buckets)), d, s + x, piece[x : y - 1 + width].tobytes()))
+                            out.append((int(mix(second[x : x + 1] + np.uint64(o))[0]), d, s + x, piece[x : y - 1 + width].tobytes()))
             at = pa.array([o[1] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), doc.take(at), seal.take(at), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())], names=["bucket", "doc", "print", "start", "text"])
+            owner = np.array([o[0] for o in out], dtype=np.uint64)
+            bucket = (owner % np.uint64(buckets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.array(owner.view(np.int64)), doc.take(at), seal.take(at), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())],
+                names=["bucket", "owner", "doc", "print", "start", "text"],
+            )
 
-    return rows.select("doc", "print", "text", "asked").mapInArrow(run, "bucket long, doc long, print long, start int, text binary")
+    return rows.select("doc", "print", "text", "asked").mapInArrow(run, "bucket long, owner long, doc long, print long, start int, text binary")
 
 
 class Transform:
@@ -279,8 +284,23 @@ def compare(texts: DataFrame, width: int) -> DataFrame:
     """Spans that go: windows of the texts that an earlier window equals."""
 
     def bucket(_key, table):
-        doc, seal, start = (table.column(c).to_numpy() for c in ("doc", "print", "start"))
-        interval, text, place = repeated_windows(table.column("text").to_pylist(), width)
+        owner, doc, seal, start = (table.column(c).to_numpy() for c in ("owner", "doc", "print", "start"))
+        content = table.column("text").to_pylist()
+        # Parts of split owners meet here for the first time: equal texts collapse, owners of one text drop out.
+        codes: dict[bytes, int] = {}
+        code = np.array([codes.setdefault(t, len(codes)) for t in content], dtype=np.int64)
+        size = np.array([len(t) for t in content], dtype=np.int32)
+        order = np.lexsort((start, seal, doc, code))
+        new, moved = later_copies(order, (code,), (doc, seal, start))
+        gone = order[moved]
+        copies = spans(doc[gone], seal[gone], start[gone], start[gone] + size[gone], 0)
+        heads = order[new]
+        _, of, count = np.unique(owner[heads], return_inverse=True, return_counts=True)
+        heads = heads[count[of] > 1]
+        doc, seal, start, content = doc[heads], seal[heads], start[heads], [content[i] for i in heads]
+        if not content:
+            return pa.Table.from_batches([copies])
+        interval, text, place = repeated_windows(content, width)
         at = start[text] + place
         order = np.lexsort((at, seal[text], doc[text], interval))
         _, moved = later_copies(order, (interval,), (doc[text], seal[text], at))
@@ -292,7 +312,7 @@ def compare(texts: DataFrame, width: int) -> DataFrame:
         new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (a[1:] > a[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(a)) - 1
-        return pa.Table.from_batches([spans(d[first], s[first], a[first], a[last] + width, 0)])
+        return pa.Table.from_batches([copies, spans(d[first], s[first], a[first], a[last] + width, 0)])
 
     return texts.groupBy("bucket").applyInArrow(bucket, SPAN_SCHEMA)
 
