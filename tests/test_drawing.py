@@ -218,3 +218,14 @@ def test_groups_do_not_depend_on_ids(spark):
             groups.setdefault(r["component"], set()).add((r["x1"], r["y1"]))
         sets.append(sorted(map(sorted, groups.values())))
     assert sets[0] == sets[1] and len(sets[0]) == 2
+
+
+def test_stream_computes_each_drawing_once(spark, tmp_path):
+    from linework.sources.catalog import read_lines
+    from linework.streaming.incremental import detect_stream
+
+    source, folder, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for _ in range(2):
+        pixel_rows(spark, {(3, c) for c in range(20)}).coalesce(1).write.mode("append").parquet(source)
+        detect_stream(spark, source, folder, state, Params(tile=64)).awaitTermination()
+    assert read_lines(spark, folder, "line", "image_id long, x1 long, x2 long").count() == 1
