@@ -35,7 +35,7 @@ ANCHOR = 32
 BUCKET_RUNS = 400_000
 #: Bytes of text in one bucket of step 3, on average, and in one of its shards.
 BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 512 << 10
+SHARD_BYTES = 1 << 20
 #: An owner with more different texts than this is split.
 SPLIT_TEXTS = 64
 #: Window starts handled at once; positions within fit the low bits of a key.
@@ -217,20 +217,25 @@ class Transform:
         inside = np.ones(len(symbols), dtype=bool)
         inside[np.cumsum(sizes) - 1] = False
         symbols[inside] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
-        rank, step, n = symbols.copy(), 1, len(symbols)
+        # The first ranks are those of seven symbols of nine bits; then their reach doubles.
+        n, step = len(symbols), 7
+        key, at = np.zeros(n, dtype=np.int64), np.arange(n)
+        for k in range(step):
+            key = (key << 9) | np.where(at + k < stop, symbols[np.minimum(at + k, n - 1)], 0)
+        _, rank = np.unique(key, return_inverse=True)
         while step < depth:
-            behind = np.arange(n) + step
-            key = rank * (n + 258) + np.where(behind < stop, rank[np.minimum(behind, n - 1)] + 1, 0)
+            key = rank * (n + 2) + np.where(at + step < stop, rank[np.minimum(at + step, n - 1)] + 1, 0)
             _, rank = np.unique(key, return_inverse=True)
             step *= 2
         # Terminators keep the order of the strings; ties of longer suffixes keep the order of their places.
-        self.order = np.lexsort((np.arange(n), rank))
+        self.order = np.argsort(rank, kind="stable")
         before = np.concatenate([[0], symbols[:-1]])
-        self.symbols = before[self.order].astype(np.uint16)
-        self.left = stop - np.arange(n) - 1
+        # UTF-8 has no byte of 255, so eight bits do, and a pass by symbol is cheap.
+        self.symbols = before[self.order].astype(np.uint8 if symbols.max(initial=0) < 256 else np.uint16)
+        self.left = stop - at - 1
         self.strings = len(texts)
         self.string = np.repeat(np.arange(len(texts)), sizes)
-        self.place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.place = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +249,7 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     ends = int(sum(s.strings for s in shards))
     terminators = np.repeat(np.arange(len(shards)), [s.strings for s in shards]).astype(np.int16)
     interval = np.zeros(len(which), dtype=np.int32)
-    symbols = np.empty(len(which), dtype=np.uint16)
+    symbols = np.empty(len(which), dtype=max((s.symbols.dtype for s in shards), key=lambda t: t.itemsize))
     for _ in range(depth):
         for k, s in enumerate(shards):
             symbols[which == k] = s.symbols
