@@ -15,6 +15,7 @@ from linework import fixtures
 from linework.fixtures import DUCK_PIX, DUCK_SEG
 from linework.functions import geometry as geo
 from linework.operators import chords, grid, links, runs, scoring
+from linework.operators.components import written
 from linework.params import DEFAULTS
 from linework.plans import connect, lines
 from linework.schema import TILE
@@ -93,9 +94,13 @@ attr AS (SELECT lk.*, a.volume AS va, b.volume AS vb, a.rgb AS ca, b.rgb AS cb,
   FROM lk JOIN tr a ON a.image_id = lk.image_id AND a.tile_r = lk.tile_r AND a.tile_c = lk.tile_c AND a.eline_id = src JOIN tr b ON b.image_id = lk.image_id AND b.tile_r = lk.tile_r AND b.tile_c = lk.tile_c AND b.eline_id = dst)"""
 
 
+def trimmed(spark, d):
+    return written(links.trim_overlaps(written(elines(spark, d), "strokes")), "elines")
+
+
 def linked(spark, d):
-    trimmed = links.trim_overlaps(elines(spark, d))
-    return links.with_ends(links.link_endpoints(trimmed, TILE, "eline_id", 1), trimmed, TILE, "eline_id")
+    own = trimmed(spark, d)
+    return links.with_ends(links.link_endpoints(own, TILE, "eline_id", 1), own, TILE, "eline_id")
 
 
 # Cells: a walk from crossing to crossing in SQL would be slow, so crossings are counted as in the operator, but by join instead of arrays.
@@ -224,12 +229,12 @@ def c2_diagonal_touch(spark, d):
 
 @query(f"{TRIMMED} SELECT {ELINE} FROM tr")
 def c3_trim_overlaps(spark, d):
-    return links.trim_overlaps(elines(spark, d))
+    return links.trim_overlaps(written(elines(spark, d), "strokes"))
 
 
 @query(f"{LINKED} SELECT {T}, src, dst FROM lk")
 def c4_link_endpoints(spark, d):
-    return links.link_endpoints(links.trim_overlaps(elines(spark, d)), TILE, "eline_id", 1)
+    return links.link_endpoints(trimmed(spark, d), TILE, "eline_id", 1)
 
 
 @query(f"{LINKED} SELECT {T}, src, dst FROM attr WHERE va BETWEEN 1 AND 5 AND va = vb AND ca = cb AND dirs AND (va = 1 OR turned)")
