@@ -31,13 +31,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, out: str, total: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, out: str, total: str, per_key: DataFrame | None = None) -> DataFrame:
     """Adds out, the sum of value over the rows of the same keys that come earlier in order, and total, the sum over all rows of the keys.
 
     keys are columns without nulls.  bucket is an integer that never falls along
     order.  Sums by (keys, bucket) are summed up first, so that a window holds
     the rows of one bucket, and a hot key is spread over as many tasks as it has
-    buckets.
+    buckets.  The columns of per_key, a row per keys, come along with the sums: joined
+    to the rows by keys alone, a hot key would be one task.
     """
     b, v, before = (free_name(df, x) for x in ("bucket__", "value__", "before__"))
     df = df.withColumns({b: bucket, v: value})
@@ -45,6 +46,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     earlier = whole.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys, b).agg(F.sum(v).alias(before))
     sums = sums.select(*keys, b, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before), F.sum(before).over(whole).alias(total))
+    if per_key is not None:
+        sums = sums.join(per_key, keys)
     own = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(sums, [*keys, b])
     return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(own), F.lit(0))).drop(b, v, before)
