@@ -1,17 +1,19 @@
 """Operator 8: toxicity by the nearest labelled examples.
 
-A bounded sample of labelled documents is the set of examples.  Terms that tell
-the labels apart (chi square on the sample) are weighted by tf-idf, document
-frequencies being counted over all documents.  The most similar examples by
-exact cosine are found with a block-max inverted index: examples are numbered,
-cut in blocks, and each term has its largest weight in each block; blocks are
-opened in the order of their bounds until none can reach the k-th best.  The
-examples vote, weighted by similarity, and isotonic regression on leave-one-out
-votes makes the share of votes a probability.
+A bounded sample of labelled documents is the set of examples.  They are indexed
+over all their words, weighted by tf-idf, document frequencies being counted over
+all documents; words and word beginnings that tell the labels apart (chi square on
+the sample) weigh more.  The most similar examples by exact cosine are found with a
+block-max inverted index: examples are numbered, cut in blocks, and each term has
+its largest weight in each block; blocks are opened in the order of their bounds
+until none can reach the k-th best.  The examples vote, weighted by similarity, a
+copy most, and isotonic regression on leave-one-out votes makes the share of votes
+a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -20,20 +22,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linework.llm.common import table, written
-from linework.llm.textkernel import WORD_ALNUM, Words, blocks
+from linework.llm.textkernel import WORD_ALNUM, Words, blocks, list_array
 
-#: Examples of each label, at most; bounds what the driver and the tasks hold (with TERMS, about 30 MB).
+#: Examples of each label, at most; bounds what the driver and the tasks hold (with 300 different words each, about 50 MB).
 SAMPLE_PER_LABEL = 2000
+#: Words and word beginnings that weigh more, at most.
 TERMS = 512
-#: Words and word beginnings of which the terms are picked.
+#: Words and word beginnings of which these are picked.
 CANDIDATES = 4096
 #: Lengths in bytes of the word beginnings that are terms too: many languages put an ending to an insult.
 PREFIXES = range(3, 9)
-#: A term is used if it occurs in so many examples and its chi square is so high (p about 6e-7).
+#: A term weighs more if it occurs in so many examples and its chi square is so high (p about 6e-7).
 MIN_EXAMPLES = 3
 MIN_CHI_SQUARE = 25.0
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks opened at first; each later round opens up to four times as many.
+FIRST_BLOCKS = 8
+#: What the distance 1 - cosine is raised by in a vote of cosine / distance.
+NEAR = 1e-3
+#: Different texts whose scores a task remembers.
+KNOWN = 4096
 #: Bytes of text handled at once: a word has up to seven terms, so the arrays are many times the text.
 TEXT_BYTES = 256 << 10
 #: Every FOLDS-th row by checksum of its key is held out from fitting.
@@ -61,51 +70,97 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return words.spans(start, end) + prefix.astype(np.uint64), np.concatenate(docs), start, end
 
 
-def term_counts(words: Words, vocabulary: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) of the vocabulary's terms in each row; vocabulary is sorted hashes, places their numbers."""
-    if not len(vocabulary):
-        return (np.zeros(0, np.int64),) * 3
-    value, row, _, _ = features(words)
-    at = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
-    held = vocabulary[at] == value
-    pair, count = np.unique(row[held] * len(vocabulary) + places[at[held]], return_counts=True)
-    return pair // len(vocabulary), pair % len(vocabulary), count
+def places_in(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are held, and the places of those."""
+    if not len(sorted_values):
+        return np.zeros(len(values), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    held = sorted_values[at] == values
+    return held, at[held]
+
+
+def term_counts(words: Words, vocabulary: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) in each row of the vocabulary's words (numbered from 0) and the prefixes (from there on); both are sorted hashes."""
+    held, word = places_in(vocabulary, words.hash)
+    rows, terms = [words.doc[held]], [word]
+    if len(prefixes):
+        value, row, _, _ = features(words)
+        value, row = value[len(words.hash) :], row[len(words.hash) :]
+        held, prefix = places_in(prefixes, value)
+        rows.append(row[held])
+        terms.append(len(vocabulary) + prefix)
+    total = max(1, len(vocabulary) + len(prefixes))
+    pair, count = np.unique(np.concatenate(rows) * total + np.concatenate(terms), return_counts=True)
+    return pair // total, pair % total, count
+
+
+def as_arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a vector, given so or as a dict."""
+    if isinstance(vector, dict):
+        return np.array(list(vector), dtype=np.int64), np.array(list(vector.values()), dtype=np.float64)
+    return vector
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0]..end[0] - 1, start[1]..end[1] - 1 and so on."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class BlockMaxIndex:
-    """Examples as rows of normalised tf-idf weights, and the postings of each term with their block maxima."""
+    """Examples as rows of normalised weights, and the postings of each term, cut by block, with the largest weight of each piece."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
+    def __init__(self, vectors: list, terms: int):
+        vectors = [as_arrays(v) for v in vectors]
         self.n = len(vectors)
         self.blocks = -(-self.n // BLOCK) if self.n else 0
-        postings: list[list] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-        self.rows = [np.array([i for i, _ in p], dtype=np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.most = np.zeros((terms, self.blocks))
-        self.bounds = []
-        for t in range(terms):
-            np.maximum.at(self.most[t], self.rows[t] // BLOCK, self.weights[t])
-            self.bounds.append(np.searchsorted(self.rows[t], np.arange(self.blocks + 1) * BLOCK))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
+        none = [(np.zeros(0, np.int64), np.zeros(0))]
+        term = np.concatenate([t for t, _ in vectors or none])
+        weight = np.concatenate([w for _, w in vectors or none])
+        row = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        order = np.lexsort((row, term))
+        term, self.rows, self.weights = term[order], row[order].astype(np.int32), weight[order]
+        piece = term * max(1, self.blocks) + self.rows // BLOCK
+        start = np.flatnonzero(np.diff(piece, prepend=-1))
+        self.bounds = np.append(start, len(term))
+        self.block = (self.rows[start] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(term[start], np.arange(terms + 1))
+
+    def nearest(self, query, k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k examples of the highest positive cosine; ties go to the lower number."""
-        if not query or not self.n:
+        term, weight = as_arrays(query)
+        if not len(term) or not self.n:
             return []
-        bound = sum(w * self.most[t] for t, w in query.items())
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12):
+        piece = ranges(self.first[term], self.first[term + 1])
+        times = np.repeat(weight, self.first[term + 1] - self.first[term])
+        block = self.block[piece]
+        bound = np.bincount(block, weights=times * self.most[piece], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        at, size = 0, FIRST_BLOCKS
+        while at < self.blocks:
+            least = scores[-1] - 1e-12 if len(scores) >= k else 0.0
+            now = order[at : at + size]
+            now = now[(bound[now] > 0) & (bound[now] >= least)]
+            if not len(now):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in query.items():
-                a, z = self.bounds[t][b], self.bounds[t][b + 1]
-                scores[self.rows[t][a:z] - b * BLOCK] += w * self.weights[t][a:z]
-            best += [(-round(float(scores[i]), 12), int(b) * BLOCK + int(i)) for i in np.flatnonzero(scores > 0) if b * BLOCK + i != without]
-            best = sorted(best)[:k]
-        return [(i, -s) for s, i in best]
+            at, size = at + size, size * 4
+            opened = np.zeros(self.blocks, dtype=bool)
+            opened[now] = True
+            mine = opened[block]
+            p = piece[mine]
+            post = ranges(self.bounds[p], self.bounds[p + 1])
+            score = np.bincount(self.rows[post], weights=np.repeat(times[mine], self.bounds[p + 1] - self.bounds[p]) * self.weights[post], minlength=self.n)
+            score = np.round(score, 12)
+            found = np.flatnonzero(score > 0)
+            found = found[found != without]
+            if len(found) > k:
+                found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
+            rows, scores = np.concatenate([rows, found]), np.concatenate([scores, score[found]])
+            best = np.lexsort((rows, -scores))[:k]
+            rows, scores = rows[best], scores[best]
+        return list(zip(rows.tolist(), scores.tolist()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,34 +184,37 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Scorer:
-    """Vocabulary, idf, index, votes and calibration."""
-
-    def __init__(self, terms: list[str], hashes: np.ndarray, idf: np.ndarray, examples: list[tuple], share: dict[int, float]):
-        """examples: (id, label, {term: count}); share: how many labelled documents an example of a label stands for."""
-        order = np.argsort(hashes, kind="stable")
-        self.terms, self.idf, self.vocabulary, self.places = terms, idf, hashes[order], order
-        full = sorted(((max(c, key=lambda t: (self.idf[t], t)), i, y, c) for i, y, c in examples if c), key=lambda e: (e[0], e[1]))
-        self.ids, self.labels = [e[1] for e in full], np.array([e[2] for e in full], dtype=np.int64)
-        vectors = [self.vector(e[3]) for e in full]
-        self.index = BlockMaxIndex(vectors, len(terms))
-        empty = [y for _, y, c in examples if not c]
-        weight = sum(share.get(y, 1.0) for y in empty)
-        self.prior = (sum(share.get(y, 1.0) for y in empty if y) + 0.5) / (weight + 1) if examples else 0.0
+    """Vocabulary, weights, index, votes and calibration."""
+
+    def __init__(self, vocabulary: np.ndarray, prefixes: np.ndarray, names: dict[int, str], weights: np.ndarray, examples: list[tuple], share: dict[int, float]):
+        """names: the spellings of the terms that tell the labels apart; examples: (id, label, (terms, counts)); share: how many labelled documents an example of a label stands for."""
+        self.vocabulary, self.prefixes, self.names, self.weights = vocabulary, prefixes, names, weights
+        self.telling = np.zeros(len(weights), dtype=bool)
+        self.telling[list(names)] = True
+        full = [(i, y, self.vector(*c)) for i, y, c in examples if len(c[0])]
+        full.sort(key=lambda e: (int(e[2][0][np.argmax(e[2][1])]), e[0]))
+        self.ids, self.labels = [e[0] for e in full], np.array([e[1] for e in full], dtype=np.int64)
+        vectors = [e[2] for e in full]
+        self.index = BlockMaxIndex(vectors, len(weights))
+        # A text without any known term has the share of toxic documents among such examples, or, where they are few, among all.
+        of = {y: share.get(y, 1.0) for y in (0, 1)}
+        have, empty = [[sum(of[y] for _, y, c in examples if y == label and not (only and len(c[0]))) for label in (0, 1)] for only in (False, True)]
+        self.prior = (empty[1] + have[1] / sum(have)) / (sum(empty) + 1) if examples else 0.0
         raw = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)])
-        w = np.array([share.get(int(y), 1.0) for y in self.labels])
+        w = np.array([of[int(y)] for y in self.labels])
         self.steps = isotonic(raw, self.labels, w) if len(raw) else (np.zeros(1), np.zeros(1))
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in sorted(counts.items())}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in v.items()}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(counts)) * self.weights[terms]
+        return terms, v / math.sqrt(float((v * v).sum()))
 
     def vote(self, near: list[tuple[int, float]]) -> float:
-        total = sum(s for _, s in near)
-        return sum(s for i, s in near if self.labels[i]) / total if total else 0.0
+        votes = [(i, s / (1 + NEAR - min(s, 1.0))) for i, s in near]
+        total = sum(v for _, v in votes)
+        return sum(v for i, v in votes if self.labels[i]) / total if total else 0.0
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS) if counts else []
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        near = self.index.nearest(self.vector(terms, counts), NEIGHBOURS) if len(terms) else []
         if not near:
             return self.prior * (1 - RAW_SHARE), []
         raw = self.vote(near)
@@ -193,7 +251,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     under = (a + b).cast("double") * (c + d) * p * (n - p)
     chi = F.when(under > 0, n * F.pow((a * d - b * c).cast("double"), F.lit(2)) / under).otherwise(0.0)
     chosen = by_term.where(F.col("df") >= MIN_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI_SQUARE)
-    best = np.array([r["hash"] for r in chosen.orderBy(F.desc("chi"), "hash").limit(CANDIDATES).collect()], dtype=np.int64)
+    top = chosen.orderBy(F.desc("chi"), "hash").limit(CANDIDATES).collect()
+    best, chi_of = np.array([r["hash"] for r in top], dtype=np.int64), {r["hash"]: r["chi"] for r in top}
 
     def spelled(batches):
         wanted = np.sort(best.view(np.uint64))
@@ -206,47 +265,62 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array([low[start[i] : end[i]] for i in at[keep]], pa.binary())], names=["hash", "name"])
 
     spellings = {r["hash"]: bytes(r["name"]) for r in sample.mapInArrow(spelled, "hash long, name binary").distinct().collect()} if len(best) else {}
-    names, hashes = [], []
+    names, hashes = [], []  # of the terms that weigh more
     for h in best.tolist():
         # What only extends a term that tells the labels apart better adds nothing.
         if len(names) < terms and not any(spellings[h].startswith(w) for w in names):
             names.append(spellings[h])
             hashes.append(h)
+
+    def different(batches):
+        for _, data, offsets in blocks(batches, "text", TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(Words(data, offsets, WORD_ALNUM, lower=True).hash).view(np.int64))], names=["hash"])
+
+    distinct = sample.mapInArrow(different, "hash long").distinct().toArrow()
+    vocabulary = np.sort(distinct.column("hash").to_numpy().view(np.uint64))
     hashes = np.array(hashes, dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    vocabulary = hashes[order]
+    is_word, word = places_in(vocabulary, hashes)
+    prefixes = np.sort(hashes[~is_word])
+    number = np.zeros(len(hashes), dtype=np.int64)
+    number[is_word], number[~is_word] = word, len(vocabulary) + np.searchsorted(prefixes, hashes[~is_word])
+    size = len(vocabulary) + len(prefixes)
 
     def frequencies(batches):
-        total, seen = np.zeros(len(order), dtype=np.int64), 0
+        total, seen = np.zeros(size, dtype=np.int64), 0
         for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
-            _, term, _ = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, order)
-            total += np.bincount(term, minlength=len(order))
+            _, term, _ = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, prefixes)
+            total += np.bincount(term, minlength=size)
             seen += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(order))), pa.array(np.concatenate([[seen], total]))], names=["term", "n"])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(total[found], seen))], names=["term", "n"])
 
-    seen = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + seen[-1]) / (1 + seen[t])) + 1 for t in range(len(order))])
+    counted = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(size + 1, dtype=np.int64)
+    seen[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # the number of documents, of term -1, comes last
+    weights = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+    weights[number] *= [1 + math.sqrt(chi_of[h]) for h in hashes.view(np.int64).tolist()]
 
     def vectors(batches):
         for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
-            row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, order)
+            row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, prefixes)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
-            spans = [slice(a, b) for a, b in zip(at[:-1], at[1:])]
             ids = [part.column(part.schema.get_field_index(c)) for c in ("id", "y")]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array([v[s].tolist() for s in spans], pa.list_(pa.int64())) for v in (term, count)]], names=["id", "y", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([*ids, *[list_array(v, at, pa.int64()) for v in (term, count)]], names=["id", "y", "terms", "counts"])
 
-    rows = sample.mapInArrow(vectors, "id long, y int, terms array<long>, counts array<long>").collect()
-    examples = sorted(((r["id"], r["y"], dict(zip(r["terms"], r["counts"]))) for r in rows), key=lambda e: (e[0], e[1], sorted(e[2].items())))
+    rows = sample.mapInArrow(vectors, "id long, y int, terms array<long>, counts array<long>").toArrow()
+    lists = [[x.values.to_numpy() for x in rows.column(c)] for c in ("terms", "counts")]
+    examples = list(zip(rows.column("id").to_pylist(), rows.column("y").to_pylist(), zip(*lists)))
+    examples.sort(key=lambda e: (e[0], e[1], e[2][0].tolist(), e[2][1].tolist()))
     have = {y: sum(1 for e in examples if e[1] == y) for y in (0, 1)}
     share = {y: totals.get(y, 0) / have[y] for y in (0, 1) if have[y]}
-    return Scorer([n.decode("utf-8", "replace") for n in names], hashes, idf, examples, share)
+    return Scorer(vocabulary, prefixes, {t: n.decode("utf-8", "replace") for t, n in zip(number.tolist(), names)}, weights, examples, share)
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """docs with score, predicted, terms (those found) and evidence: the nearest examples (id, label, similarity).
+    """docs with score, predicted, terms (those found that tell the labels apart) and evidence: the nearest examples (id, label, similarity).
 
-    A null text is an empty one; a text without known terms gets the share of
-    toxic documents among such examples.  Without labelled documents every score
+    A null text is an empty one; a text that shares no word with any example gets
+    the share of toxic documents among such examples.  Without labelled documents every score
     is 0.  Columns of docs called like the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -254,18 +328,19 @@ def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFram
 
     def run(batches):
         model = shared.value
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for part, data, offsets in blocks(batches, text, TEXT_BYTES):
-            row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.places)
+            row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.prefixes)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
             scores, terms, evidence = [], [], []
             for d in range(part.num_rows):
-                vector = tuple(zip(term[at[d] : at[d + 1]].tolist(), count[at[d] : at[d + 1]].tolist()))
+                own, times = term[at[d] : at[d + 1]], count[at[d] : at[d + 1]]
+                vector = hashlib.sha256(own.tobytes() + times.tobytes()).digest()
                 if vector not in known:
-                    if len(known) > 100_000:
+                    if len(known) >= KNOWN:
                         known.clear()
-                    score, near = model.score(dict(vector))
-                    known[vector] = score, [model.terms[t] for t, _ in vector], [{"id": model.ids[i], "label": int(model.labels[i]), "similarity": s} for i, s in near]
+                    score, near = model.score(own, times)
+                    known[vector] = score, [model.names[t] for t in own[model.telling[own]].tolist()], [{"id": model.ids[i], "label": int(model.labels[i]), "similarity": s} for i, s in near]
                 score, found, near = known[vector]
                 scores.append(score)
                 terms.append(found)

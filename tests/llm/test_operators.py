@@ -272,6 +272,21 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs, none).agg(F.max("score")).first()[0] == 0
 
 
+def test_copy_of_an_example_is_its_nearest(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
+    scorer = toxicity.fit_scorer(docs, marks)
+    got = {r["doc_id"]: r for r in toxicity.score_texts(docs, scorer).collect()}
+    toxic = [i for i in scorer.ids if i % 10 == 0]
+    assert len(toxic) > 10 and not scorer.names
+    for i in toxic:
+        near = got[i]["evidence"][0]
+        assert (near["id"], near["label"]) == (i, 1) and abs(near["similarity"] - 1) < 1e-9
+
+
 def test_index_against_brute_force():
     rng = np.random.default_rng(2)
     vectors = []
