@@ -14,7 +14,9 @@ A byte goes if a string of `width` bytes that covers it also starts earlier.
    passes over the transforms, no suffix being sorted again.  Rows that are still
    together after `width` rounds have a common prefix of that length: they are
    the repeated intervals, and all but the earliest of each go.
-Owners whose texts are very many are split by the second least hash, too.
+Owners whose texts are very many are split by the second least hash, too.  Where
+the texts of one key are still too many bytes for a task, their windows are compared
+one by one: each by hashes of its halves, with the least place of each.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 #: An owner with more different texts than this is split.
 SPLIT_TEXTS = 64
+#: Texts of one key of step 3 with more bytes than this are compared by window.
+OWNER_BYTES = 1 << 20
+#: Windows that occur more often than this are looked up by a broadcast join, as one key is one task of a shuffle.
+HOT_COPIES = 10_000
 #: Window starts handled at once; positions within fit the low bits of a key.
 PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -114,7 +120,7 @@ def later_copies(order: np.ndarray, group: tuple, place: tuple) -> tuple[np.ndar
 
 
 def run_table(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Runs of docs (doc, print, text), packed by bucket of their owner; copies within a block are marked gone already."""
+    """Runs of docs (doc, print, text), packed by bucket of their owner; copies within a block are marked gone already and dealt by document."""
 
     def run(batches):
         for part, data, offsets in blocks(batches, "text"):
@@ -122,7 +128,7 @@ def run_table(docs: DataFrame, buckets: int, width: int) -> DataFrame:
             doc, seal = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[r["row"]] for c in ("doc", "print"))
             order = np.lexsort((r["start"], seal, doc, r["text"], r["owner"]))
             _, moved = later_copies(order, (r["owner"], r["text"]), (doc, seal, r["start"]))
-            bucket = (r["owner"] % np.uint64(buckets)).astype(np.int64)[order]
+            bucket = (np.where(moved, mix(doc[order].astype(np.uint64)), r["owner"][order]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             order, moved, bucket = order[by], moved[by], bucket[by]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -156,13 +162,14 @@ def meet(runs: DataFrame, width: int) -> DataFrame:
     def bucket(_key, table):
         r = {k: np.concatenate([np.frombuffer(v.as_buffer(), dtype=t) for v in table.column(k)]) for k, t in RUN_FIELDS}
         end = r["start"] + r["more"].astype(np.int32) + width
-        order = np.lexsort((r["gone"], r["start"], r["print"], r["doc"], r["text"], r["owner"]))
-        new, moved = later_copies(order, (r["owner"], r["text"]), (r["doc"], r["print"], r["start"]))
-        gone = order[moved]
+        order = np.lexsort((r["start"], r["print"], r["doc"], r["text"], r["owner"]))
+        order = order[~r["gone"][order]]
+        new, moved = later_copies(order, (r["owner"], r["text"]), (r["doc"], r["print"], r["start"])) if len(order) else (np.zeros(0, bool),) * 2
+        gone = np.concatenate([order[moved], np.flatnonzero(r["gone"])])
         out = spans(r["doc"][gone], r["print"][gone], r["start"][gone], end[gone], 0)
         heads = order[new]
         owner = r["owner"][heads]
-        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
         texts = np.repeat(np.diff(np.append(begin, len(owner))), np.diff(np.append(begin, len(owner))))
         pick = heads[texts > 1]
         more = spans(r["doc"][pick], r["print"][pick], r["start"][pick], end[pick], 1, r["owner"][pick], texts[texts > 1] > SPLIT_TEXTS)
@@ -285,6 +292,17 @@ def repeated_windows(texts: list[bytes], width: int, shard_bytes: int = SHARD_BY
     return interval[at], text[at], place[at]
 
 
+def window_spans(d, s, a, width: int) -> pa.RecordBatch:
+    """The windows from a on as spans that go, those that follow each other as one."""
+    order = np.lexsort((a, s, d))
+    d, s, a = d[order], s[order], a[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (a[1:] > a[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a))[: len(first)] - 1
+    return spans(d[first], s[first], a[first], a[last] + width, 0)
+
+
 def compare(texts: DataFrame, width: int) -> DataFrame:
     """Spans that go: windows of the texts that an earlier window equals."""
 
@@ -310,18 +328,45 @@ def compare(texts: DataFrame, width: int) -> DataFrame:
         order = np.lexsort((at, seal[text], doc[text], interval))
         _, moved = later_copies(order, (interval,), (doc[text], seal[text], at))
         gone = order[moved]
-        d, s, a = doc[text][gone], seal[text][gone], at[gone]
-        order = np.lexsort((a, s, d))
-        d, s, a = d[order], s[order], a[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (a[1:] > a[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(a)) - 1
-        return pa.Table.from_batches([copies, spans(d[first], s[first], a[first], a[last] + width, 0)])
+        return pa.Table.from_batches([copies, window_spans(doc[text][gone], seal[text][gone], at[gone], width)])
 
     return texts.groupBy("bucket").applyInArrow(bucket, SPAN_SCHEMA)
 
 
+def compare_windows(texts: DataFrame, width: int) -> DataFrame:
+    """compare() by the windows themselves, dealt by the hashes of their halves, however many texts have one key."""
+    half = width // 2
+
+    def cut(batches):
+        for part, data, offsets in blocks(batches, "text"):
+            n = len(data)
+            up, down = powers(n)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(BYTE_VALUES[data] * up[:n], out=sums[1:])
+            many = np.maximum(np.diff(offsets) - width + 1, 0)
+            row = np.repeat(np.arange(part.num_rows), many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = offsets[row] + place
+            left, right = mix((sums[at + half] - sums[at]) * down[at]), mix((sums[at + width] - sums[at + half]) * down[at + half])
+            doc, seal, start = (part.column(part.schema.get_field_index(c)).to_numpy()[row] for c in ("doc", "print", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(doc), pa.array(seal), pa.array((start + place).astype(np.int32))], names=["left", "right", "doc", "print", "at"])
+
+    windows = texts.select("doc", "print", "start", "text").mapInArrow(cut, "left long, right long, doc long, print long, at int")
+    place = F.struct("doc", "print", "at")
+    least = windows.groupBy("left", "right").agg(F.min(place).alias("least"), F.count("*").alias("n"))
+    least = written(least.where("n > 1"), "windows")
+    hot, cold = least.where(F.col("n") > HOT_COPIES), least.where(F.col("n") <= HOT_COPIES)
+    dealt = windows.join(F.broadcast(hot.drop("n")), ["left", "right"], "left")
+    rest = dealt.where("least IS NULL").drop("least").join(cold.drop("n").hint("merge"), ["left", "right"])
+    gone = dealt.where("least IS NOT NULL").unionByName(rest).where(place != F.col("least")).select("doc", "print", "at")
+
+    def join_up(batches):
+        for part in batches:
+            yield window_spans(*(part.column(part.schema.get_field_index(c)).to_numpy() for c in ("doc", "print", "at")), width)
+
+    return gone.mapInArrow(join_up, SPAN_SCHEMA)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, removed (maximal spans of bytes) and kept_sha256 of the bytes that stay.
 
@@ -339,7 +384,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     wanted = met.where("kind = 1")
     size = wanted.agg(F.sum(F.octet_length("start") / 4)).first()[0] or 0
     texts = run_texts(slim, wanted, int(size * (2 * width - ANCHOR) // BUCKET_BYTES) + 1, width)
-    gone = met.where("kind = 0").select("doc", "print", "start", "end").unionByName(compare(texts, width).select("doc", "print", "start", "end"))
+    texts = written(texts, "texts")
+    # At most one row per OWNER_BYTES of text.
+    full = written(texts.groupBy("owner").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > OWNER_BYTES).select("owner"), "full")
+    found = compare(texts.join(F.broadcast(full), "owner", "left_anti"), width)
+    if not full.isEmpty():
+        found = found.unionByName(compare_windows(texts.join(F.broadcast(full), "owner", "left_semi"), width))
+    gone = met.where("kind = 0").select("doc", "print", "start", "end").unionByName(found.select("doc", "print", "start", "end"))
     gone = gone.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     joined = rows.join(gone.hint("merge"), ["doc", "print"], "left").drop("doc", "print")
     names = [c for c in joined.columns if c != "gone"]

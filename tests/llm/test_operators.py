@@ -366,6 +366,23 @@ def test_repeats(spark, width, texts, monkeypatch):
     assert got == brute_repeats(rows, width)
 
 
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_repeats_no_task_gets_an_over_full_owner(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "OWNER_BYTES", 4000)
+    monkeypatch.setattr(repeats, "HOT_COPIES", hot)
+    met, plain = [], repeats.compare
+    monkeypatch.setattr(repeats, "compare", lambda texts, width: met.append(texts) or plain(texts, width))
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = noise(80), noise(190)
+    rows = [(i, noise(120) + (line if i % 2 else passage) + noise(120), None) for i in range(300)]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, removed string").repartition(3), 100)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), r["kept_sha256"]) for r in found.collect()}
+    assert got == brute_repeats(rows, 100)
+    most = met[0].groupBy("owner").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0]
+    assert (most or 0) <= 4000
+
+
 def test_repeats_empty_and_repeated_rows(spark, empty):
     assert repeats.remove_repeats(empty).count() == 0
     rng = random.Random(1)
