@@ -222,6 +222,22 @@ class Scorer:
         return float(y[max(0, np.searchsorted(x, raw, side="right") - 1)]) * (1 - RAW_SHARE) + RAW_SHARE * raw, near
 
 
+def telling(candidates: list[tuple[bytes, bool]], terms: int) -> list[int]:
+    """Places of up to terms candidates (spelling, whether a whole word), without those that only occur where a kept word beginning does.
+
+    A word beginning fires on longer words alone, and a whole word on itself, so
+    only a beginning that is shorter makes a candidate superfluous.
+    """
+    kept: list[int] = []
+    beginnings: set[bytes] = set()
+    for k, (name, word) in enumerate(candidates):
+        if len(kept) < terms and not any(name[:n] in beginnings for n in range(1, len(name))):
+            kept.append(k)
+            if not word:
+                beginnings.add(name)
+    return kept
+
+
 def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, terms: int = TERMS) -> Scorer:
     """Fitted on up to per_label documents of each label (those of the least key hashes) outside the held-out fold."""
     rows = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
@@ -265,12 +281,6 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array([low[start[i] : end[i]] for i in at[keep]], pa.binary())], names=["hash", "name"])
 
     spellings = {r["hash"]: bytes(r["name"]) for r in sample.mapInArrow(spelled, "hash long, name binary").distinct().collect()} if len(best) else {}
-    names, hashes = [], []  # of the terms that weigh more
-    for h in best.tolist():
-        # What only extends a term that tells the labels apart better adds nothing.
-        if len(names) < terms and not any(spellings[h].startswith(w) for w in names):
-            names.append(spellings[h])
-            hashes.append(h)
 
     def different(batches):
         for _, data, offsets in blocks(batches, "text", TEXT_BYTES):
@@ -278,7 +288,9 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     distinct = sample.mapInArrow(different, "hash long").distinct().toArrow()
     vocabulary = np.sort(distinct.column("hash").to_numpy().view(np.uint64))
-    hashes = np.array(hashes, dtype=np.int64).view(np.uint64)
+    is_word, _ = places_in(vocabulary, best.view(np.uint64))
+    kept = telling([(spellings[h], bool(w)) for h, w in zip(best.tolist(), is_word)], terms)
+    names, hashes = [spellings[h] for h in best[kept].tolist()], best[kept].view(np.uint64)
     is_word, word = places_in(vocabulary, hashes)
     prefixes = np.sort(hashes[~is_word])
     number = np.zeros(len(hashes), dtype=np.int64)

@@ -272,6 +272,23 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs, none).agg(F.max("score")).first()[0] == 0
 
 
+@pytest.mark.parametrize("strong, weak, clean", [(["ass"], "asshole", ["assume", "assembly"]), (["vilexx", "vileyy", "vilezz"], "vil", ["fine"])])
+def test_a_term_does_not_hide_what_it_does_not_fire_on(spark, strong, weak, clean):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bcdfg") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        own = [weak if i % 12 == 0 else rng.choice(strong)] if i % 3 == 0 else [rng.choice(clean)]
+        rows.append((i, " ".join([rng.choice(words) for _ in range(20)] + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    scorer = toxicity.fit_scorer(docs, marks)
+    alone = toxicity.score_texts(spark.createDataFrame([(1, weak)], "doc_id long, text string"), scorer).first()
+    assert weak in alone["terms"] or any(weak.startswith(t) and len(t) < len(weak) for t in alone["terms"])
+    assert alone["predicted"] == 1
+    assert toxicity.telling([(b"ass", True), (b"asshole", True), (b"asshole", False), (b"vil", False), (b"vil", True), (b"vile", True)], 9) == [0, 1, 2, 3, 4]
+
+
 def test_copy_of_an_example_is_its_nearest(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
