@@ -31,10 +31,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def hidden(df: DataFrame) -> list[Column]:
+    """The columns of df under the names in__0, in__1 and so on, which no column added to them can clash with."""
+    return [F.col(f"`{c}`").alias(f"in__{i}") for i, c in enumerate(df.columns)]
+
+
+def shown(columns: list[str], replaced: tuple[str, ...] = ()) -> list[Column]:
+    """The columns that hidden() renamed, by their own names, without those replaced (in any case)."""
+    gone = {c.lower() for c in replaced}
+    return [F.col(f"in__{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in gone]
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, out: str, total: str, per_key: DataFrame | None = None) -> DataFrame:
     """Adds out, the sum of value over the rows of the same keys that come earlier in order, and total, the sum over all rows of the keys.
 
-    keys are columns without nulls.  bucket is an integer that never falls along
+    keys are columns without nulls.  bucket is a value that never falls along
     order.  Sums by (keys, bucket) are summed up first, so that a window holds
     the rows of one bucket, and a hot key is spread over as many tasks as it has
     buckets.  The columns of per_key, a row per keys, come along with the sums: joined
@@ -53,6 +64,26 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(own), F.lit(0))).drop(b, v, before)
 
 
+#: A key of more rows than this is joined by a broadcast; there is at most one for each HOT_ROWS rows.
+HOT_ROWS = 50_000
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, spread: str) -> DataFrame:
+    """rows left-joined with per_key, which has a row per keys and in count how many of rows have them.
+
+    Keys of more than HOT_ROWS rows are joined by broadcast and their rows, dealt by
+    the column spread, pass through the shuffle join of the others, so that no task
+    gets all rows of a key.
+    """
+    values = F.struct(*[c for c in per_key.columns if c not in (*keys, count)])
+    hot = per_key.where(F.col(count) > HOT_ROWS).select(*keys, values.alias("hot__"))
+    cold = per_key.where(F.col(count) <= HOT_ROWS).select(*keys, F.lit(0).cast("long").alias("deal__"), values.alias("cold__"))
+    dealt = rows.join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("deal__", F.when(F.col("hot__").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 40))).cast("long"))
+    out = dealt.join(cold.hint("merge"), [*keys, "deal__"], "left").withColumn("hot__", F.coalesce("hot__", "cold__"))
+    return out.select(*rows.columns, "hot__.*")
+
+
 def crc(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
