@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import local_fs, scratch, table, written
+from linework.llm.common import hidden, join_counted, local_fs, scratch, shown, table, written
 
 #: Bytes of a chunk: what is read, hashed and sent at once.
 CHUNK_BYTES = 64 << 10
@@ -42,15 +42,18 @@ CHUNK_SCHEMA = "record_id string, chunk_no int, offset long, data binary, digest
 def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """pages with sha1 (hex) and refers_to: the largest key among the rows of an equal payload, null for that row itself.
 
-    A null payload is empty.  Rows that share the largest key are all responses,
-    and so is a row with a null key.
+    Equal means equal in SHA-1, SHA-256 and size.  A null payload is empty.  Rows
+    that share the largest key are all responses, and so is a row with a null key.
+    Columns of pages called sha1 or refers_to (in any
+    case) are replaced, all others keep their values.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    rows = pages.withColumns({"sha1": F.sha1(body), "bytes__": F.octet_length(body)})
-    same = rows.groupBy("sha1", "bytes__").agg(F.max(key).alias("first__"), F.count("*").alias("n__"))
-    same = same.where((F.col("n__") > 1) & (F.col("bytes__") >= min_bytes)).drop("n__")
-    rows = rows.join(same, ["sha1", "bytes__"], "left")
-    return rows.withColumn("refers_to", F.when(F.col(key) != F.col("first__"), F.col("first__"))).drop("first__", "bytes__")
+    rows = pages.select(*hidden(pages), F.col(key).alias("key__"), F.sha1(body).alias("sha1__"), F.sha2(body, 256).alias("sha2__"), F.octet_length(body).alias("bytes__"))
+    digests = ["sha1__", "sha2__", "bytes__"]
+    same = rows.groupBy(*digests).agg(F.max("key__").alias("first__"), F.count("*").alias("n__"))
+    same = same.where((F.col("n__") > 1) & (F.col("bytes__") >= min_bytes))
+    rows = join_counted(rows, same, digests, "n__", "key__")
+    return rows.select(*shown(pages.columns, ("sha1", "refers_to")), F.col("sha1__").alias("sha1"), F.when(F.col("key__") != F.col("first__"), F.col("first__")).alias("refers_to"))
 
 
 def header(kind: str, record: str, uri: str, sha1: str, refers_to: str | None, size: int, date: str) -> tuple[bytes, bytes]:
@@ -187,7 +190,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = write_archives(marked(pages), scratch(spark, "warc"))
     ends = read_chunks(manifest).where("last")
-    return ends.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.coalesce("intact", F.lit(True)).alias("intact"))
+    return ends.select(F.nullif("record_id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.coalesce("intact", F.lit(True)).alias("intact"))
 
 
 OP2_SQL = """
