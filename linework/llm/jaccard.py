@@ -3,14 +3,18 @@
 1. A document's set is its distinct shingles of k words, as 64-bit hashes.
    Documents with equal sets are one set from here on.
 2. Sets that share a MinHash band are put in groups; a group is cut in blocks of
-   bounded total size.  The number of bands is such that a pair at the
-   threshold shares none with a probability under MISS.
+   bounded total size, like sets in one block.  The number of bands is such that a
+   pair at the threshold shares none with a probability under MISS, were the hashes
+   (multiply-shift of mixed 64-bit tokens) fully random.
 3. A row of the matrix is a block with its members and the union of their
    tokens.  A query set is compared with a block only if the block's union holds
    at least threshold * |set| of its tokens; a block is opened for the sets that
    pass this bound and for no others, and an open block gives exact
    intersections.
-4. Links within and between blocks that share a band go to connected components.
+4. Links within blocks, and between each block and the block of its group's least
+   set, go to connected components.  Only bands whose sets are then still in several
+   components have their other pairs of blocks compared; the links found there are
+   added.
 Tasks see one or two blocks at a time, so a group of any size is spread over
 many tasks, and only spanning links leave a task.
 """
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import table, written
+from linework.llm.common import join_counted, table, written
 from linework.llm.textkernel import Words, binary_array, blocks, constants, distinct_by_row, list_array, mix, shingles
 from linework.operators.components import connected_components
 
@@ -50,23 +54,24 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def band_keys(tokens: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(non-empty sets, bands) MinHash band keys."""
     starts = offsets[:-1][np.diff(offsets) > 0]
-    low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    flips, factors = constants(bands * rows, 11).astype(np.uint32), constants(bands * rows, 13).astype(np.uint32) | np.uint32(1)
+    flips, factors = constants(bands * rows, 11), constants(bands * rows, 13)
     keys = np.empty((len(starts), bands), dtype=np.uint64)
     weights = constants(rows, 17)
-    work = np.empty_like(low)
+    wide, work = np.empty_like(tokens), np.empty(len(tokens), dtype=np.uint32)
+    high = work.view() if not len(tokens) else wide.view(np.uint32)[1::2]
     for b in range(bands):
         key = np.full(len(starts), b + 1, dtype=np.uint64)
         for r in range(rows):
-            np.bitwise_xor(low, flips[b * rows + r], out=work)
-            np.multiply(work, factors[b * rows + r], out=work)
+            np.bitwise_xor(tokens, flips[b * rows + r], out=wide)
+            np.multiply(wide, factors[b * rows + r], out=wide)
+            np.copyto(work, high)  # the upper half of each product
             key += np.minimum.reduceat(work, starts).astype(np.uint64) * weights[r] if len(starts) else np.uint64(0)
         keys[:, b] = mix(key)
     return keys
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, lower: bool) -> DataFrame:
-    """(id, n, f1, f2, bands) of each row of docs (id, text): set size, a 128-bit print of the set, and its band keys."""
+    """(id, print, n, node, bands) of each row of docs (id, print, text): set size, a 64-bit hash of the set, and its band keys."""
 
     def run(batches):
         for part, data, offsets in blocks(batches, "text"):
@@ -75,18 +80,18 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, lower: bool) -> D
             full = np.diff(at) > 0
             keys = band_keys(tokens, at, bands, rows)
             ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))])
+            node = mix(segment_sums(mix(tokens + np.uint64(1)), at) ^ mix(segment_sums(mix(tokens ^ np.uint64(0x5BD1E995A5A5A5A5)), at) + np.diff(at).astype(np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(part.schema.get_field_index("id")),
+                    *[part.column(part.schema.get_field_index(c)) for c in ("id", "print")],
                     pa.array(np.diff(at).astype(np.int64)),
-                    pa.array(segment_sums(mix(tokens + np.uint64(1)), at).view(np.int64)),
-                    pa.array(segment_sums(mix(tokens ^ np.uint64(0x5BD1E995A5A5A5A5)), at).view(np.int64)),
+                    pa.array(node.view(np.int64)),
                     list_array(keys.reshape(-1).view(np.int64), ends, pa.int64()),
                 ],
-                names=["id", "n", "f1", "f2", "bands"],
+                names=["id", "print", "n", "node", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, print long, n long, node long, bands array<long>")
 
 
 def token_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
@@ -185,45 +190,72 @@ def block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True, key: str = "doc_id", text: str = "text", rows: int = BAND_ROWS) -> DataFrame:
-    """(id, n_shingles, component) of each row of docs with a non-null key.
+def shared_bands(pairs: DataFrame) -> DataFrame:
+    """pairs (band, id) whose band has several ids, with leader, the least id of the band.
 
-    Two documents link when den * |A & B| >= num * |A | B|; component is the
-    least id reachable by links.  Null and blank texts have an empty set, link
-    with nothing and are their own component.  A text of fewer than k words has
-    its whole word sequence as its one shingle.  A key on several rows stands
-    for one document per row, all with one id.
+    A band of many ids is cut by a hash of the id before its least id is taken, and
+    joined by broadcast (join_counted), so that no task gets a whole band.
     """
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    cut = pairs.groupBy("band", F.pmod("id", F.lit(64)).alias("cut")).agg(F.count("*").alias("n"), F.min("id").alias("leader"))
+    meeting = cut.groupBy("band").agg(F.sum("n").alias("n"), F.min("leader").alias("leader")).where("n > 1")
+    return join_counted(pairs, meeting, ["band"], "n", "id").where("leader IS NOT NULL")
+
+
+def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True, key: str = "doc_id", text: str = "text", rows: int = BAND_ROWS) -> DataFrame:
+    """(id, print, n_shingles, class, component) of each row of docs.
+
+    Two documents link when den * |A & B| >= num * |A | B|.  class is the same for
+    rows that links lead to each other, and null for null and blank texts, which
+    have an empty set and link with nothing; component is the least id of the
+    class, its own id for an empty set.  id is the key, of any orderable type; a null
+    key is no candidate for component, so a class of such rows alone has a null one.
+    A text of fewer than k words has its whole word sequence as its one shingle.
+    Rows of equal keys are documents of their own; rows equal in key and text, which
+    have the same print (a hash of both), are in one class unless empty.  Other
+    columns of docs take no part.  No rows give no rows.  A set is known by a 64-bit
+    hash of its shingles, so among 10^9 different sets two share one with a
+    probability of about 3 %.
+    """
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    docs = docs.withColumn("print", F.xxhash64("id", "text"))
     bands = bands_for(num / den, rows)
     signed = written(signatures(docs, k, bands, rows, lower), "signatures")
-    sets = signed.where("n > 0")
-    reps = sets.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "bands")).alias("rep"))
-    reps = written(reps.select("n", "f1", "f2", F.col("rep.id").alias("rep"), F.col("rep.bands").alias("bands")), "sets")
-    banded = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    meeting = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").drop("n")
-    shared = written(banded.join(meeting, "band"), "meeting")
+    sets = signed.where("n > 0").groupBy("node").agg(F.min(F.struct("print", "bands")).alias("rep"), F.min("id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    sets = written(sets.select("node", "least", "n", "copies", F.col("rep.print").alias("print"), F.col("rep.bands").alias("bands")), "sets")
+    shared = written(shared_bands(sets.select(F.col("node").alias("id"), F.explode("bands").alias("band"))), "meeting")
     members = shared.groupBy("id").agg(F.min("leader").alias("group"))
-    members = members.join(reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id")
-    sizes = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
-    number = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    members = written(members.join(sizes, "group").select("id", F.xxhash64("group", number).alias("block")), "members")
-    # A key of several rows with different texts has a row for each here; the sets of one id are all its own.
+    members = members.join(sets.select(F.col("node").alias("id"), "n", "print", F.element_at("bands", 1).alias("near")), "id")
+    sizes = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"), F.count("*").alias("n_sets"))
+    # Sets alike in their first band fall in one block as far as blocks of even size allow: half of the spread is left to the set itself.
+    number = F.pmod(F.xxhash64("near") + F.pmod("id", F.greatest(F.lit(1), F.floor(F.col("blocks") / 2))), F.col("blocks"))
+    members = join_counted(members, sizes, ["group"], "n_sets", "id")
+    members = written(members.select("id", "print", "group", F.xxhash64("group", number).alias("block"), F.when(F.col("id") == F.col("group"), F.xxhash64("group", number)).alias("first")), "members")
     # Always a merge join: a broadcast of the members would be right for small inputs only.
-    texts = docs.join(members.hint("merge"), "id")
+    texts = docs.select("print", "text").join(members.select("print", "id", "block").hint("merge"), "print")
     held = token_sets(texts.select("block", "id", "text"), k, lower).where(F.length("tokens") > 0)
     grouped = written(held.groupBy("block").agg(F.collect_set(F.struct("id", "tokens")).alias("m")).select("block", F.col("m.id").alias("ids"), F.col("m.tokens").alias("tokens")), "blocks")
+    right = grouped.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("tokens").alias("tokens2"))
     inside = block_links(grouped.where(F.size("ids") > 1).select("ids", "tokens"), num, den)
-    touching = shared.select("band", "id").join(members, "id").select("band", "block").distinct()
-    several = touching.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    touching = touching.join(several, "band")
+    of_group = members.groupBy("group", "block").agg(F.max("first").alias("first"))
+    stars = of_group.join(of_group.where("first IS NOT NULL").select("group", F.col("first").alias("block2")), "group").where("block <> block2").select("block", "block2")
+    early = written(inside.unionByName(block_links(stars.join(grouped, "block").join(right, "block2").select("ids", "tokens", "ids2", "tokens2"), num, den)), "links")
+    settled = connected_components(early).select(F.col("node").alias("id"), "component")
+    touching = shared.select("band", "id").join(members.select("id", "block"), "id").join(settled, "id", "left")
+    touching = touching.groupBy("band", "block").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high"))
+    several = touching.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("n > 1 AND low <> high").select("band")
+    touching = touching.select("band", "block").join(several, "band")
     cells = touching.alias("a").join(touching.alias("b"), "band").where("a.block < b.block").select(F.col("a.block").alias("block"), F.col("b.block").alias("block2")).distinct()
-    right = grouped.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("tokens").alias("tokens2"))
+    cells = cells.join(stars.select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")), ["block", "block2"], "left_anti")
     across = block_links(cells.join(grouped, "block").join(right, "block2").select("ids", "tokens", "ids2", "tokens2"), num, den)
-    found = connected_components(inside.unionByName(across))
-    classes = reps.select("n", "f1", "f2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    found = connected_components(early.unionByName(across)).withColumnRenamed("component", "class")
+    classes = sets.select("node", "least", "copies").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    # The least id of a class is taken over its sets; a set that links to no other has its own.
+    linked = classes.groupBy("class").agg(F.min("least").alias("component"), F.count("*").alias("n_sets"))
+    classes = join_counted(classes, linked.where("n_sets > 1"), ["class"], "n_sets", "node")
+    classes = written(classes.select("node", "copies", "class", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "classes")
+    full = join_counted(signed.where("n > 0").select("id", "print", "n", "node"), classes, ["node"], "copies", "print")
+    full = full.select("id", "print", F.col("n").alias("n_shingles"), "class", "component")
+    return full.unionByName(signed.where("n = 0").select("id", "print", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("id").alias("component")))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
