@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import crc, table, written
+from linework.llm.common import crc, free_name, table, written
 from linework.llm.decontaminate import contamination, is_contaminated
 from linework.llm.jaccard import similarity_classes
 from linework.llm.mixing import mix, training_order
@@ -30,12 +30,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles the least doc_id stays.
 
-    Rows of equal doc_id and text are one document; rows without doc_id stay.
+    Of rows equal in doc_id and text one stays; rows without doc_id come last in
+    that order, and of a class of such rows alone that of the least hash stays.
+    Blank and null texts are in no class and stay.  No rows give no rows.
     """
     classes = similarity_classes(docs, k=5, num=80)
-    first = classes.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    # A row of a class and its text have one print, so each class keeps the print of its least row.
+    order = F.struct(F.col("id").isNull(), "id", "print")
+    first = classes.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.print").alias("print"))
+    marked = docs.withColumn(free_name(docs, "print__"), F.xxhash64("doc_id", "text"))
+    name = marked.columns[-1]
+    kept = marked.join(first.select(F.col("print").alias(name)).hint("merge"), name, "left_semi").dropDuplicates([name])
+    blank = docs.where("text IS NULL OR NOT text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return kept.select(*docs.columns).unionByName(blank)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
