@@ -6,14 +6,18 @@ A byte goes if a string of `width` bytes that covers it also starts earlier.
    strings in it, so equal windows have equal owners.  Consecutive windows of
    one owner are a run; its text is at most 2 width - ANCHOR bytes.
 2. Runs meet by owner.  An owner found once repeats nothing.  Runs of equal text
-   collapse to the earliest, the others being repeats as a whole.
+   collapse to the earliest, the others being repeats as a whole.  Where a block of
+   text has many different runs of an owner, they are dealt by their text instead,
+   and a mark tells the owner's bucket so.
 3. Owners left with different texts are where passages begin or end.  Their texts
    are dealt to buckets by owner, each bucket is cut in shards, each shard gets
    its own transform, and the transforms are merged by iterative interleave
-   refinement: round h orders all rows by their first h symbols with stable
-   passes over the transforms, no suffix being sorted again.  Rows that are still
-   together after `width` rounds have a common prefix of that length: they are
-   the repeated intervals, and all but the earliest of each go.
+   refinement: round h orders the rows by their first h symbols with stable
+   passes over the transforms, no suffix being sorted again.  A row that is alone
+   in its interval after some round is alone for good and is retired, and so is one
+   that cannot grow to `width` symbols.  Rows that are still together after `width`
+   rounds have a common prefix of that length: they are the repeated intervals, and
+   all but the earliest of each go.
 Owners whose texts are very many are split by the second least hash, too.  Where
 the texts of one key are still too many bytes for a task, their windows are compared
 one by one: each by hashes of its halves, with the least place of each.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import table, written
+from linework.llm.common import hidden, shown, table, written
 from linework.llm.textkernel import BYTE_VALUES, blocks, mix, powers
 
 WIDTH = 100
@@ -40,6 +44,8 @@ BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 #: An owner with more different texts than this is split.
 SPLIT_TEXTS = 64
+#: An owner with more different texts than this in one block of text has them dealt by text.
+SPREAD_TEXTS = 8
 #: Texts of one key of step 3 with more bytes than this are compared by window.
 OWNER_BYTES = 1 << 20
 #: Windows that occur more often than this are looked up by a broadcast join, as one key is one task of a shuffle.
@@ -101,7 +107,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.n
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-RUN_FIELDS = (("owner", np.uint64), ("text", np.uint64), ("doc", np.int64), ("print", np.int64), ("start", np.int32), ("more", np.uint8), ("gone", np.bool_))
+RUN_FIELDS = (("owner", np.uint64), ("text", np.uint64), ("doc", np.int64), ("print", np.int64), ("start", np.int32), ("more", np.uint8), ("state", np.uint8))
+#: States of a run: dealt by owner; a copy; dealt by text; the mark of an owner some of whose runs are dealt by text.
+OWNED, COPY, SPREAD, MARK = range(4)
 RUN_SCHEMA = "bucket long, " + ", ".join(f"{name} binary" for name, _ in RUN_FIELDS)
 
 
@@ -120,20 +128,29 @@ def later_copies(order: np.ndarray, group: tuple, place: tuple) -> tuple[np.ndar
 
 
 def run_table(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Runs of docs (doc, print, text), packed by bucket of their owner; copies within a block are marked gone already and dealt by document."""
+    """Runs of docs (doc, print, text), packed by bucket; copies within a block are known already and dealt by document."""
 
     def run(batches):
         for part, data, offsets in blocks(batches, "text"):
             r = runs_of(data, offsets, width)
             doc, seal = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[r["row"]] for c in ("doc", "print"))
             order = np.lexsort((r["start"], seal, doc, r["text"], r["owner"]))
-            _, moved = later_copies(order, (r["owner"], r["text"]), (doc, seal, r["start"]))
-            bucket = (np.where(moved, mix(doc[order].astype(np.uint64)), r["owner"][order]) % np.uint64(buckets)).astype(np.int64)
+            new, moved = later_copies(order, (r["owner"], r["text"]), (doc, seal, r["start"]))
+            owner = r["owner"][order]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
+            texts = np.add.reduceat(new.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            many = np.repeat(texts > SPREAD_TEXTS, np.diff(np.append(first, len(order))))
+            state = np.where(moved, COPY, np.where(many, SPREAD, OWNED)).astype(np.uint8)
+            # The first run of a spread owner comes again as its mark.
+            marks = first[texts > SPREAD_TEXTS]
+            order, state = np.concatenate([order, order[marks]]), np.concatenate([state, np.full(len(marks), MARK, np.uint8)])
+            deal = np.where(state == COPY, mix(doc[order].astype(np.uint64)), np.where(state == SPREAD, mix(r["text"][order]), r["owner"][order]))
+            bucket = (deal % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            order, moved, bucket = order[by], moved[by], bucket[by]
+            order, state, bucket = order[by], state[by], bucket[by]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             values = {"owner": r["owner"], "text": r["text"], "doc": doc, "print": seal, "start": r["start"], "more": r["more"]}
-            packed = {k: values[k][order].astype(t) if k in values else moved for k, t in RUN_FIELDS}
+            packed = {k: values[k][order].astype(t) if k in values else state for k, t in RUN_FIELDS}
             ends = np.append(cuts[1:], len(order))
             columns = [pa.array([packed[k][a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for k, _ in RUN_FIELDS]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *columns], names=["bucket", *[k for k, _ in RUN_FIELDS]])
@@ -157,22 +174,28 @@ def spans(doc, seal, start, end, kind: int, owner=None, split=None) -> pa.Record
 
 
 def meet(runs: DataFrame, width: int) -> DataFrame:
-    """Spans that go because a run of equal text is earlier, and the earliest runs of owners with several texts."""
+    """Spans that go because a run of equal text is earlier, and the earliest runs of owners with several texts.
+
+    A bucket gets at most SPREAD_TEXTS runs and a mark of an owner from each block
+    of text.  Texts of a spread owner are all kept for step 3, where those that met
+    here in different buckets meet.
+    """
 
     def bucket(_key, table):
         r = {k: np.concatenate([np.frombuffer(v.as_buffer(), dtype=t) for v in table.column(k)]) for k, t in RUN_FIELDS}
         end = r["start"] + r["more"].astype(np.int32) + width
         order = np.lexsort((r["start"], r["print"], r["doc"], r["text"], r["owner"]))
-        order = order[~r["gone"][order]]
+        order = order[np.isin(r["state"][order], (OWNED, SPREAD))]
         new, moved = later_copies(order, (r["owner"], r["text"]), (r["doc"], r["print"], r["start"])) if len(order) else (np.zeros(0, bool),) * 2
-        gone = np.concatenate([order[moved], np.flatnonzero(r["gone"])])
+        gone = np.concatenate([order[moved], np.flatnonzero(r["state"] == COPY)])
         out = spans(r["doc"][gone], r["print"][gone], r["start"][gone], end[gone], 0)
         heads = order[new]
         owner = r["owner"][heads]
         begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
         texts = np.repeat(np.diff(np.append(begin, len(owner))), np.diff(np.append(begin, len(owner))))
-        pick = heads[texts > 1]
-        more = spans(r["doc"][pick], r["print"][pick], r["start"][pick], end[pick], 1, r["owner"][pick], texts[texts > 1] > SPLIT_TEXTS)
+        spread = (r["state"][heads] == SPREAD) | np.isin(owner, r["owner"][r["state"] == MARK])
+        pick = (texts > 1) | spread
+        more = spans(*(r[k][heads[pick]] for k in ("doc", "print", "start")), end[heads[pick]], 1, owner[pick], (texts > SPLIT_TEXTS)[pick] | spread[pick])
         return pa.Table.from_batches([out, more])
 
     return runs.groupBy("bucket").applyInArrow(bucket, SPAN_SCHEMA)
@@ -215,7 +238,11 @@ def run_texts(docs: DataFrame, wanted: DataFrame, buckets: int, width: int) -> D
 
 
 class Transform:
-    """Burrows-Wheeler transform of a shard of strings, each ended by a terminator (symbol 0; bytes are 1 to 256)."""
+    """Burrows-Wheeler transform of a shard of strings, each ended by a terminator (symbol 0; bytes are 1 to 256).
+
+    symbols[i] precedes suffix i in the sorted order, and before[i] is the row of the
+    suffix that begins with it.
+    """
 
     def __init__(self, texts: list[bytes], depth: int):
         sizes = np.array([len(t) + 1 for t in texts])
@@ -224,51 +251,70 @@ class Transform:
         inside = np.ones(len(symbols), dtype=bool)
         inside[np.cumsum(sizes) - 1] = False
         symbols[inside] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
-        # The first ranks are those of seven symbols of nine bits; then their reach doubles.
-        n, step = len(symbols), 7
-        key, at = np.zeros(n, dtype=np.int64), np.arange(n)
+        # The first order is by seven symbols of nine bits; then the reach of those still together doubles.
+        n, step, at = len(symbols), 7, np.arange(len(symbols))
+        key = np.zeros(n, dtype=np.int64)
         for k in range(step):
             key = (key << 9) | np.where(at + k < stop, symbols[np.minimum(at + k, n - 1)], 0)
-        _, rank = np.unique(key, return_inverse=True)
+        order = np.argsort(key)
+        new = np.ones(n, dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, at, 0))
         while step < depth:
-            key = rank * (n + 2) + np.where(at + step < stop, rank[np.minimum(at + step, n - 1)] + 1, 0)
-            _, rank = np.unique(key, return_inverse=True)
+            # Rows alone in their interval keep their place; the others are ordered by what follows.
+            alone = new & np.append(new[1:], True)
+            rows = np.flatnonzero(~alone)
+            if not len(rows):
+                break
+            here = order[rows]
+            ahead = np.where(here + step < stop[here], rank[np.minimum(here + step, n - 1)] + 1, 0)
+            by = np.argsort(rank[here] * (n + 2) + ahead)
+            here, ahead = here[by], ahead[by]
+            order[rows] = here
+            new[rows] = np.concatenate([[True], (rank[here][1:] != rank[here][:-1]) | (ahead[1:] != ahead[:-1])])
+            rank[here] = rows[np.maximum.accumulate(np.where(new[rows], np.arange(len(rows)), 0))]
             step *= 2
-        # Terminators keep the order of the strings; ties of longer suffixes keep the order of their places.
-        self.order = np.argsort(rank, kind="stable")
-        before = np.concatenate([[0], symbols[:-1]])
-        # UTF-8 has no byte of 255, so eight bits do, and a pass by symbol is cheap.
-        self.symbols = before[self.order].astype(np.uint8 if symbols.max(initial=0) < 256 else np.uint16)
-        self.left = stop - at - 1
-        self.strings = len(texts)
-        self.string = np.repeat(np.arange(len(texts)), sizes)
-        self.place = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, interval) of the rows of the merged transform: rows of one interval share their first depth symbols.
-
-    Each round reads the shards' transforms in the interleave so far and places
-    their rows stably by symbol, which orders one symbol more; an interval ends
-    where the symbols or the intervals of the round before differ.
+        # Suffixes that agree in depth symbols or to their ends keep any order.
+        self.order = order
+        self.symbols = np.concatenate([[0], symbols[:-1]])[order].astype(np.uint16)
+        row = np.empty(n, dtype=np.int32)
+        row[order] = at
+        self.before = row[order - 1]
+        self.string = np.repeat(np.arange(len(texts)), sizes)[order]
+        self.place = (at - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+
+
+def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interval, shard, row) of the repeated intervals of the merged transform: rows of one interval share their first depth symbols.
+
+    The interleave holds the rows in the order of their first h symbols, cut in
+    intervals of equal ones.  A round reads the shards' transforms in that order and
+    places the rows before stably by symbol, which orders one symbol more; an
+    interval ends where the symbols or the intervals of the round before differ.
+    Rows alone in their interval are retired.  The first interleave has the suffixes
+    with depth symbols before them, as no others grow to that length.
     """
-    which = np.repeat(np.arange(len(shards)), [len(s.symbols) for s in shards]).astype(np.int16)
-    ends = int(sum(s.strings for s in shards))
-    terminators = np.repeat(np.arange(len(shards)), [s.strings for s in shards]).astype(np.int16)
-    interval = np.zeros(len(which), dtype=np.int32)
-    symbols = np.empty(len(which), dtype=max((s.symbols.dtype for s in shards), key=lambda t: t.itemsize))
+    base = np.concatenate([[0], np.cumsum([len(s.symbols) for s in shards])])
+    symbols = np.concatenate([s.symbols for s in shards])
+    if symbols.max(initial=0) < 256:  # UTF-8 has no byte of 255, so eight bits do, and a pass by symbol is cheap
+        symbols = symbols.astype(np.uint8)
+    before = np.concatenate([s.before + b for s, b in zip(shards, base)]).astype(np.int32)
+    rows = np.flatnonzero(np.concatenate([s.place for s in shards]) >= depth).astype(np.int32)
+    interval = np.zeros(len(rows), dtype=np.int32)
     for _ in range(depth):
-        for k, s in enumerate(shards):
-            symbols[which == k] = s.symbols
-        order = np.argsort(symbols, kind="stable")
-        moved = order[ends:]  # the first rows are those whose symbol is a terminator
-        lead = symbols[moved]
-        held = interval[moved]
-        new = np.ones(len(moved), dtype=bool)
-        new[1:] = (lead[1:] != lead[:-1]) | (held[1:] != held[:-1])
-        which = np.concatenate([terminators, which[moved]])
-        interval = np.concatenate([np.zeros(ends, np.int32), np.cumsum(new, dtype=np.int32)])
-    return which, interval
+        if not len(rows):
+            break
+        lead = symbols[rows]
+        order = np.argsort(lead, kind="stable")
+        lead, held = lead[order], interval[order]
+        new = np.ones(len(order) + 1, dtype=bool)
+        new[1:-1] = (lead[1:] != lead[:-1]) | (held[1:] != held[:-1])
+        together = ~(new[:-1] & new[1:])
+        rows = before[rows[order[together]]]
+        interval = np.cumsum(new[:-1][together], dtype=np.int32)
+    shard = np.searchsorted(base, rows, side="right") - 1
+    return interval, shard, rows - base[shard]
 
 
 def repeated_windows(texts: list[bytes], width: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,15 +327,12 @@ def repeated_windows(texts: list[bytes], width: int, shard_bytes: int = SHARD_BY
             shards.append(Transform([texts[j] for j in now], width))
             numbers.append(np.array(now))
             now, size = [], 0
-    which, interval = merge(shards, width)
-    text, place, full = (np.zeros(len(which), dtype=t) for t in (np.int64, np.int64, bool))
+    interval, shard, row = merge(shards, width)
+    text, place = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
     for k, s in enumerate(shards):
-        rows = which == k
-        text[rows], place[rows], full[rows] = numbers[k][s.string[s.order]], s.place[s.order], s.left[s.order] >= width
-    at = np.flatnonzero(full)
-    count = np.bincount(interval[at], minlength=int(interval.max(initial=0)) + 1)
-    at = at[count[interval[at]] > 1]
-    return interval[at], text[at], place[at]
+        own = shard == k
+        text[own], place[own] = numbers[k][s.string[row[own]]], s.place[row[own]]
+    return interval, text, place
 
 
 def window_spans(d, s, a, width: int) -> pa.RecordBatch:
@@ -370,14 +413,15 @@ def compare_windows(texts: DataFrame, width: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, removed (maximal spans of bytes) and kept_sha256 of the bytes that stay.
 
-    Bytes are those of UTF-8; a null text is empty.  Documents are ordered by
-    key, a null key last, and rows of equal keys by a hash of their text; rows
-    equal in both are one document and get the same result.  Columns of docs
-    called like the results are replaced.
+    Bytes are those of UTF-8; a null text is empty, and a text shorter than width
+    stays whole.  Documents are ordered by key (a whole number), a null key last, and
+    rows of equal keys by a hash of their text; rows equal in both are one document
+    and get the same result.  No rows give no rows.  Columns of docs called like the
+    results (in any case) are replaced, all others keep their values.
     """
     added = ("n_bytes", "n_removed", "removed", "kept_sha256")
-    rows = docs.drop(*added).withColumns({"doc": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "print": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    slim = rows.select("doc", "print", F.col(text).alias("text"))
+    rows = docs.select(*hidden(docs), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"), F.col(text).alias("text"))
+    slim = rows.select("doc", "print", "text")
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total * 2 // (width - ANCHOR + 2) // BUCKET_RUNS) + 1
     met = written(meet(run_table(slim, buckets, width), width), "spans")
@@ -392,11 +436,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         found = found.unionByName(compare_windows(texts.join(F.broadcast(full), "owner", "left_semi"), width))
     gone = met.where("kind = 0").select("doc", "print", "start", "end").unionByName(found.select("doc", "print", "start", "end"))
     gone = gone.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    joined = rows.join(gone.hint("merge"), ["doc", "print"], "left").drop("doc", "print")
-    names = [c for c in joined.columns if c != "gone"]
+    kept = shown(docs.columns, added)
+    own = {c.lower() for c in added}
+    # The text comes once: as its own column where docs keep it.
+    columns = [f"in__{i}" for i, c in enumerate(docs.columns) if c.lower() not in own]
+    named = [c for c in docs.columns if c.lower() not in own]
+    body = columns[named.index(text)] if text in named else "text"
+    joined = rows.join(gone.hint("merge"), ["doc", "print"], "left").select(*columns, *(["text"] if body == "text" else []), "gone")
 
     def run(batches):
-        for part, data, offsets in blocks(batches, text):
+        for part, data, offsets in blocks(batches, body):
             gone = part.column(part.schema.get_field_index("gone"))
             removed, count, digests = [], [], []
             for d in range(part.num_rows):
@@ -412,12 +461,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
                 digests.append(hashlib.sha256(own[~hit[:-1]].tobytes()).hexdigest())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(np.diff(offsets)), pa.array(count, pa.int64()), pa.array(removed, kind), pa.array(digests, pa.string())],
-                names=[*names, *added],
+                [*[part.column(part.schema.get_field_index(c)) for c in columns], pa.array(np.diff(offsets)), pa.array(count, pa.int64()), pa.array(removed, kind), pa.array(digests, pa.string())],
+                names=[*columns, *added],
             )
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names]
-    return joined.mapInArrow(run, ", ".join([*kept, "n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept_sha256 string"]))
+    fields = [f"{c} {joined.schema[c].dataType.simpleString()}" for c in columns]
+    out = joined.mapInArrow(run, ", ".join([*fields, "n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept_sha256 string"]))
+    return out.select(*kept, *added)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
