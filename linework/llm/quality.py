@@ -4,7 +4,10 @@ A linear-chain conditional random field with two labels, content and
 boilerplate, scores the lines of a document; Viterbi decoding gives the best
 label sequence.  The share of a document's words in content lines decides
 whether it is kept.  The weights are fitted by maximum likelihood on a bounded
-sample of labelled documents, whose quality label stands for all their lines.
+sample of labelled documents.  The labels of their lines are hidden: a document's
+quality label only says with which probability a line of it is content, so good
+documents may have boilerplate lines and bad ones content, and the transitions are
+learned from expected counts.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from linework.llm.textkernel import Words, blocks, constants, list_array, mix
 #: Labelled documents to fit on, and the most lines that one of them may have; bounds what the driver gets to about 25 MB.
 SAMPLE_DOCS = 2000
 SAMPLE_LINES = 200
+#: Probability that a line is content, in documents of quality 0 and 1.
+CONTENT_GIVEN = (0.2, 0.9)
 #: A document is kept if so many of its words, as a share, are in content lines.
 CONTENT_SHARE = 0.5
-FEATURES = ("one", "symbols", "capitals", "shouts", "bars", "echoes", "length", "digits", "stopped", "seen", "empty", "word size", "mostly capitals", "mostly symbols", "mostly echoes")
+FEATURES = ("one", "symbols", "capitals", "shouts", "bars", "echoes", "length", "digits", "stopped", "seen", "empty", "word size", "mostly capitals", "mostly symbols", "mostly echoes", "mostly bars", "mostly shouts")
 
 _bytes = np.arange(256)
 _SYMBOL = np.isin(_bytes, np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -91,7 +96,7 @@ class Lines:
         has = self.n_words > 0
         columns = [
             np.ones(len(n)), symbols, capitals, shouts, bars, echoes, np.log1p(self.n_words) / 4, count(_DIGIT, self.start, self.end) / size,
-            _STOP[final] & has, seen, ~has, np.minimum(line_chars / n, 20) / 10, capitals > 0.6, symbols > 0.1, echoes > 0.3,
+            _STOP[final] & has, seen, ~has, np.minimum(line_chars / n, 20) / 10, capitals > 0.6, symbols > 0.1, echoes > 0.3, bars > 0.2, shouts > 0.1,
         ]
         self.features = np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1)
 
@@ -142,8 +147,14 @@ class Chain:
         return out[::-1]
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood by Adam; every line of a sequence has its label.  Without both labels everything is content."""
+def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 100, rate: float = 0.15, decay: tuple[float, float] = (1e-4, 1e-2), given: tuple[float, float] = CONTENT_GIVEN) -> Chain:
+    """Maximum likelihood of the documents' labels over hidden line labels, by Adam.  Without both labels everything is content.
+
+    The gradient is the difference of expected counts with and without the
+    document's label, from one forward and one backward pass over both.  decay is
+    that of the line weights and that of the transitions, which is the larger, as the
+    labels say nothing about where in a document they change.
+    """
     width = len(FEATURES)
     if len(set(labels)) < 2:
         return Chain(np.eye(1, width)[0], np.zeros((2, 2)), np.zeros(2))
@@ -155,44 +166,58 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate:
         x[: len(s), i] = s
     lengths = np.array([len(s) for s in sequences])
     active = [int(np.sum(lengths > t)) for t in range(longest)]
+    # Per document, with its label or without, and line label: what a line's score is multiplied by.
+    evidence = np.ones((n, 2, 2))
+    evidence[:, 0, 1] = np.take(given, y)
+    evidence[:, 0, 0] = 1 - evidence[:, 0, 1]
     theta = np.zeros(width + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    sign, fade = np.array([1.0, -1.0]), np.repeat(decay, (width, 6))
     for step in range(1, rounds + 1):
-        emit, move, start = theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :]
-        score = np.stack([np.zeros((longest, n)), x @ emit], axis=2)
-        alpha, beta = np.full((longest, n, 2), -np.inf), np.zeros((longest, n, 2))
-        alpha[0] = start + score[0]
+        emit, move, start = theta[:width], np.exp(theta[width : width + 4]).reshape(2, 2), np.exp(theta[width + 4 :])
+        score = x @ emit
+        top = np.maximum(score, 0)
+        own = np.stack([np.exp(-top), np.exp(score - top)], axis=2)[:, :, None, :] * evidence
+        ahead, behind = np.zeros((longest, n, 2, 2)), np.ones((longest, n, 2, 2))
+        ahead[0] = start * own[0]
+        ahead[0] /= ahead[0].sum(axis=2, keepdims=True)
         for t in range(1, longest):
             k = active[t]
-            alpha[t, :k] = np.logaddexp.reduce(alpha[t - 1, :k, :, None] + move, axis=1) + score[t, :k]
+            a = (ahead[t - 1, :k] @ move) * own[t, :k]
+            ahead[t, :k] = a / a.sum(axis=2, keepdims=True)
         for t in range(longest - 2, -1, -1):
             k = active[t + 1]
-            beta[t, :k] = np.logaddexp.reduce(move + (score[t + 1, :k] + beta[t + 1, :k])[:, None, :], axis=2)
-        z = np.logaddexp.reduce(alpha[lengths - 1, np.arange(n)], axis=1)
+            b = (own[t + 1, :k] * behind[t + 1, :k]) @ move.T
+            behind[t, :k] = b / b.sum(axis=2, keepdims=True)
         gradient = np.zeros_like(theta)
         for t in range(longest):
             k = active[t]
-            p = np.exp(alpha[t, :k] + beta[t, :k] - z[:k, None])
-            gradient[:width] += (y[:k] - p[:, 1]) @ x[t, :k]
+            p = ahead[t, :k] * behind[t, :k]
+            p /= p.sum(axis=2, keepdims=True)
+            gradient[:width] += (p[:, 0, 1] - p[:, 1, 1]) @ x[t, :k]
             if t == 0:
-                gradient[width + 4 :] += [np.sum(y == 0) - p[:, 0].sum(), np.sum(y == 1) - p[:, 1].sum()]
+                gradient[width + 4 :] += sign @ p.sum(axis=0)
             else:
-                pair = np.exp(alpha[t - 1, :k, :, None] + move + (score[t, :k] + beta[t, :k])[:, None, :] - z[:k, None, None]).sum(axis=0)
-                pair[0, 0] -= np.sum(y[:k] == 0)
-                pair[1, 1] -= np.sum(y[:k] == 1)
-                gradient[width : width + 4] -= pair.reshape(-1)
-        gradient = gradient / lengths.sum() - decay * theta
+                pair = ahead[t - 1, :k, :, :, None] * move * (own[t, :k] * behind[t, :k])[:, :, None, :]
+                pair /= pair.sum(axis=(2, 3), keepdims=True)
+                gradient[width : width + 4] += np.tensordot(sign, pair.sum(axis=0), 1).reshape(-1)
+        gradient = gradient / lengths.sum() - fade * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return Chain(theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :])
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES, key: str = "doc_id", text: str = "text") -> Chain:
-    """The field fitted on up to sample labelled documents (those of the least hashes) of at most `lines` lines each."""
+    """The field fitted on up to sample labelled documents (those of the least hashes) of fewer than `lines` line breaks each.
+
+    A document labelled twice has its lesser label; of rows of one key the text of
+    the least hash counts.  Null keys, labels and blank texts take no part.
+    """
     picked = labels.select(F.col(key).alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     picked = picked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
     rows = rows.where((F.length(F.trim("text")) > 0) & (F.regexp_count("text", F.lit("\n")) < lines))
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("id", "y", "least.text")
 
     def run(batches):
         for part, data, offsets in blocks(batches, "text"):
@@ -200,8 +225,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lin
             packed = [found.features[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("id", "y")] + [pa.array(packed, pa.binary())], names=["id", "y", "x"])
 
-    got = rows.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, y int, x binary").limit(2 * sample).collect()
-    got = sorted(got, key=lambda r: (r["id"], bytes(r["x"])))
+    got = rows.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, y int, x binary").collect()
+    got = sorted(got, key=lambda r: r["id"])
     return fit([np.frombuffer(bytes(r["x"]), dtype=np.float32).reshape(-1, len(FEATURES)) for r in got], [int(r["y"] > 0) for r in got])
 
 
@@ -210,8 +235,10 @@ def label_lines(docs: DataFrame, chain: Chain, text: str = "text", share: float
 
     A null or blank text has no words, so it fails the base rules and has a
     content share of 0.  Lines are what \\n separates; a text without words
-    still has its lines labelled.  Columns of docs called like the results are
-    replaced.
+    still has its lines labelled.  Of two label sequences of one score that with
+    boilerplate last counts.  A text of any length is labelled whole; equal rows get
+    equal results; no rows give no rows.  Columns of docs called like the results (in
+    any case) are replaced, all others keep their values.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     added = [*counts, "content_share", "boilerplate_lines", "base_failed", "kept"]
