@@ -1,14 +1,15 @@
 """Operator 8: toxicity by the nearest labelled examples.
 
-A bounded sample of labelled documents is the set of examples.  They are indexed
-over all their words, weighted by tf-idf, document frequencies being counted over
-all documents; words and word beginnings that tell the labels apart (chi square on
-the sample) weigh more.  The most similar examples by exact cosine are found with a
-block-max inverted index: examples are numbered, cut in blocks, and each term has
-its largest weight in each block; blocks are opened in the order of their bounds
-until none can reach the k-th best.  The examples vote, weighted by similarity, a
-copy most, and isotonic regression on leave-one-out votes makes the share of votes
-a probability.
+A bounded sample of labelled documents is the set of examples.  Terms are all words
+of the sample and all word beginnings of 3 to 8 bytes that tell its labels apart
+(many languages put an ending to an insult).  Their weight is tf-idf, document
+frequencies being counted over all documents, times 1 + the root of their chi square
+on the sample where that is significant.  The most similar examples by exact cosine
+are found with a block-max inverted index: examples are numbered, cut in blocks, and
+each term has its largest weight in each block; blocks are opened in the order of
+their bounds until none can reach the k-th best.  The examples vote, weighted by
+similarity, a copy most, and isotonic regression on leave-one-out votes makes the
+share of votes a probability.  An example never votes on its own row.
 """
 
 from __future__ import annotations
@@ -21,27 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import table, written
+from linework.llm.common import hidden, shown, table, written
 from linework.llm.textkernel import WORD_ALNUM, Words, blocks, list_array
 
 #: Examples of each label, at most; bounds what the driver and the tasks hold (with 300 different words each, about 50 MB).
 SAMPLE_PER_LABEL = 2000
-#: Words and word beginnings that weigh more, at most.
-TERMS = 512
-#: Words and word beginnings of which these are picked.
-CANDIDATES = 4096
 #: Lengths in bytes of the word beginnings that are terms too: many languages put an ending to an insult.
 PREFIXES = range(3, 9)
-#: A term weighs more if it occurs in so many examples and its chi square is so high (p about 6e-7).
-MIN_EXAMPLES = 3
+#: A term weighs more if its chi square is so high (p about 6e-7): a level of significance, whatever the number of terms.
 MIN_CHI_SQUARE = 25.0
+#: The chi square of a term in fewer examples than this says nothing.
+MIN_EXAMPLES = 5
 NEIGHBOURS = 25
 BLOCK = 64
 #: Blocks opened at first; each later round opens up to four times as many.
 FIRST_BLOCKS = 8
 #: What the distance 1 - cosine is raised by in a vote of cosine / distance.
 NEAR = 1e-3
-#: Different texts whose scores a task remembers.
+#: Different texts whose scores a task remembers, each with NEIGHBOURS examples (about 10 MB in all).
 KNOWN = 4096
 #: Bytes of text handled at once: a word has up to seven terms, so the arrays are many times the text.
 TEXT_BYTES = 256 << 10
@@ -81,16 +79,24 @@ def places_in(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray
 
 def term_counts(words: Words, vocabulary: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count) in each row of the vocabulary's words (numbered from 0) and the prefixes (from there on); both are sorted hashes."""
-    held, word = places_in(vocabulary, words.hash)
-    rows, terms = [words.doc[held]], [word]
-    if len(prefixes):
-        value, row, _, _ = features(words)
-        value, row = value[len(words.hash) :], row[len(words.hash) :]
-        held, prefix = places_in(prefixes, value)
-        rows.append(row[held])
-        terms.append(len(vocabulary) + prefix)
     total = max(1, len(vocabulary) + len(prefixes))
-    pair, count = np.unique(np.concatenate(rows) * total + np.concatenate(terms), return_counts=True)
+    # Looked up once for each different word of the block.
+    distinct, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    held, word = places_in(vocabulary, distinct)
+    of, term = [np.flatnonzero(held)], [word]
+    start, size = words.starts[first], (words.ends - words.starts)[first]
+    for n in PREFIXES if len(prefixes) else ():
+        longer = np.flatnonzero(size > n)
+        held, prefix = places_in(prefixes, words.spans(start[longer], start[longer] + n) + np.uint64(1))
+        of.append(longer[held])
+        term.append(len(vocabulary) + prefix)
+    of, term = np.concatenate(of), np.concatenate(term)
+    order = np.argsort(of, kind="stable")
+    of, term = of[order], term[order]
+    at = np.searchsorted(of, np.arange(len(distinct) + 1))
+    low, high = at[:-1][number], at[1:][number]
+    row = np.repeat(words.doc, high - low)
+    pair, count = np.unique(row * total + term[ranges(low, high)], return_counts=True)
     return pair // total, pair % total, count
 
 
@@ -192,7 +198,8 @@ class Scorer:
         self.telling = np.zeros(len(weights), dtype=bool)
         self.telling[list(names)] = True
         full = [(i, y, self.vector(*c)) for i, y, c in examples if len(c[0])]
-        full.sort(key=lambda e: (int(e[2][0][np.argmax(e[2][1])]), e[0]))
+        # Alike examples share blocks; ids have no say, so that scores do not depend on them.
+        full.sort(key=lambda e: (int(e[2][0][np.argmax(e[2][1])]), e[2][0].tolist(), e[2][1].tolist(), e[1]))
         self.ids, self.labels = [e[0] for e in full], np.array([e[1] for e in full], dtype=np.int64)
         vectors = [e[2] for e in full]
         self.index = BlockMaxIndex(vectors, len(weights))
@@ -200,6 +207,7 @@ class Scorer:
         of = {y: share.get(y, 1.0) for y in (0, 1)}
         have, empty = [[sum(of[y] for _, y, c in examples if y == label and not (only and len(c[0]))) for label in (0, 1)] for only in (False, True)]
         self.prior = (empty[1] + have[1] / sum(have)) / (sum(empty) + 1) if examples else 0.0
+        self.number = {i: k for k, i in enumerate(self.ids)}
         raw = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)])
         w = np.array([of[int(y)] for y in self.labels])
         self.steps = isotonic(raw, self.labels, w) if len(raw) else (np.zeros(1), np.zeros(1))
@@ -213,8 +221,9 @@ class Scorer:
         total = sum(v for _, v in votes)
         return sum(v for i, v in votes if self.labels[i]) / total if total else 0.0
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(self.vector(terms, counts), NEIGHBOURS) if len(terms) else []
+    def score(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
+        """Of a text, leaving out one example."""
+        near = self.index.nearest(self.vector(terms, counts), NEIGHBOURS, without) if len(terms) else []
         if not near:
             return self.prior * (1 - RAW_SHARE), []
         raw = self.vote(near)
@@ -222,24 +231,12 @@ class Scorer:
         return float(y[max(0, np.searchsorted(x, raw, side="right") - 1)]) * (1 - RAW_SHARE) + RAW_SHARE * raw, near
 
 
-def telling(candidates: list[tuple[bytes, bool]], terms: int) -> list[int]:
-    """Places of up to terms candidates (spelling, whether a whole word), without those that only occur where a kept word beginning does.
+def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> Scorer:
+    """Fitted on up to per_label documents of each label (those of the least key hashes) outside the held-out fold.
 
-    A word beginning fires on longer words alone, and a whole word on itself, so
-    only a beginning that is shorter makes a candidate superfluous.
+    Keys are whole numbers.  Null keys and labels take no part; a document labelled
+    twice has its greater label; of rows of one key the text of the least hash counts.
     """
-    kept: list[int] = []
-    beginnings: set[bytes] = set()
-    for k, (name, word) in enumerate(candidates):
-        if len(kept) < terms and not any(name[:n] in beginnings for n in range(1, len(name))):
-            kept.append(k)
-            if not word:
-                beginnings.add(name)
-    return kept
-
-
-def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, terms: int = TERMS) -> Scorer:
-    """Fitted on up to per_label documents of each label (those of the least key hashes) outside the held-out fold."""
     rows = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     rows = rows.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     rows = rows.where("y IN (0, 1)")
@@ -247,7 +244,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sample = written(docs.join(F.broadcast(picked), "id"), "examples")
+    sample = docs.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    sample = written(sample.select("id", "y", F.col("least.text").alias("text")), "examples")
 
     def partial(batches):
         for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
@@ -266,9 +264,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     c, d = F.lit(p) - a, F.lit(n - p) - b
     under = (a + b).cast("double") * (c + d) * p * (n - p)
     chi = F.when(under > 0, n * F.pow((a * d - b * c).cast("double"), F.lit(2)) / under).otherwise(0.0)
-    chosen = by_term.where(F.col("df") >= MIN_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI_SQUARE)
-    top = chosen.orderBy(F.desc("chi"), "hash").limit(CANDIDATES).collect()
-    best, chi_of = np.array([r["hash"] for r in top], dtype=np.int64), {r["hash"]: r["chi"] for r in top}
+    top = by_term.withColumn("chi", chi).where((F.col("chi") >= MIN_CHI_SQUARE) & (F.col("df") >= MIN_EXAMPLES)).collect()
+    best, chi_of = np.array(sorted(r["hash"] for r in top), dtype=np.int64), {r["hash"]: r["chi"] for r in top}
 
     def spelled(batches):
         wanted = np.sort(best.view(np.uint64))
@@ -288,9 +285,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     distinct = sample.mapInArrow(different, "hash long").distinct().toArrow()
     vocabulary = np.sort(distinct.column("hash").to_numpy().view(np.uint64))
-    is_word, _ = places_in(vocabulary, best.view(np.uint64))
-    kept = telling([(spellings[h], bool(w)) for h, w in zip(best.tolist(), is_word)], terms)
-    names, hashes = [spellings[h] for h in best[kept].tolist()], best[kept].view(np.uint64)
+    names, hashes = [spellings[h] for h in best.tolist()], best.view(np.uint64)
     is_word, word = places_in(vocabulary, hashes)
     prefixes = np.sort(hashes[~is_word])
     number = np.zeros(len(hashes), dtype=np.int64)
@@ -322,50 +317,59 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     rows = sample.mapInArrow(vectors, "id long, y int, terms array<long>, counts array<long>").toArrow()
     lists = [[x.values.to_numpy() for x in rows.column(c)] for c in ("terms", "counts")]
     examples = list(zip(rows.column("id").to_pylist(), rows.column("y").to_pylist(), zip(*lists)))
-    examples.sort(key=lambda e: (e[0], e[1], e[2][0].tolist(), e[2][1].tolist()))
     have = {y: sum(1 for e in examples if e[1] == y) for y in (0, 1)}
     share = {y: totals.get(y, 0) / have[y] for y in (0, 1) if have[y]}
     return Scorer(vocabulary, prefixes, {t: n.decode("utf-8", "replace") for t, n in zip(number.tolist(), names)}, weights, examples, share)
 
 
-def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with score, predicted, terms (those found that tell the labels apart) and evidence: the nearest examples (id, label, similarity).
 
-    A null text is an empty one; a text that shares no word with any example gets
-    the share of toxic documents among such examples.  Without labelled documents every score
-    is 0.  Columns of docs called like the results are replaced.
+    A null text is an empty one; a text that shares no term with any example gets
+    the share of toxic documents among such examples.  Without labelled documents
+    every score is 0.  Examples of equal similarity count in a fixed order that does
+    not depend on ids.  The example that a row is (the one of its key, where docs has
+    one) has no vote on it; other copies of its text do.  Equal texts get equal scores
+    but for that; long texts are read whole; no rows give no rows.  Columns of docs
+    called like the results (in any case) are replaced, all others keep their values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    names = [c for c in docs.columns if c.lower() not in ("score", "predicted", "terms", "evidence")]
+    added = ("score", "predicted", "terms", "evidence")
+    rows = docs.select(*hidden(docs), F.col(text).alias("text"), (F.col(key).cast("long") if key in docs.columns else F.lit(None).cast("long")).alias("key"))
+    names = [f"in__{i}" for i in range(len(docs.columns))]
 
     def run(batches):
         model = shared.value
-        known: dict[bytes, tuple] = {}
-        for part, data, offsets in blocks(batches, text, TEXT_BYTES):
+        known: dict[tuple, tuple] = {}
+        for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
             row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.prefixes)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
-            scores, terms, evidence = [], [], []
+            keys = part.column(part.schema.get_field_index("key")).to_pylist()
+            scores, terms, near = [], [], []
             for d in range(part.num_rows):
                 own, times = term[at[d] : at[d + 1]], count[at[d] : at[d + 1]]
-                vector = hashlib.sha256(own.tobytes() + times.tobytes()).digest()
+                without = model.number.get(keys[d], -1)
+                vector = hashlib.sha256(own.tobytes() + times.tobytes()).digest(), without
                 if vector not in known:
                     if len(known) >= KNOWN:
                         known.clear()
-                    score, near = model.score(own, times)
-                    known[vector] = score, [model.names[t] for t in own[model.telling[own]].tolist()], [{"id": model.ids[i], "label": int(model.labels[i]), "similarity": s} for i, s in near]
-                score, found, near = known[vector]
-                scores.append(score)
-                terms.append(found)
-                evidence.append(near)
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+                    known[vector] = model.score(own, times, without)
+                scores.append(known[vector][0])
+                near.append(known[vector][1])
+                terms.append([model.names[t] for t in own[model.telling[own]].tolist()])
+            flat = [x for n in near for x in n]
+            which = np.array([i for i, _ in flat], dtype=np.int64)
+            ids, labels = np.array(model.ids, dtype=np.int64), model.labels
+            structs = pa.StructArray.from_arrays([pa.array(ids[which] if len(which) else which), pa.array((labels[which] if len(which) else which).astype(np.int32)), pa.array([s for _, s in flat], pa.float64())], names=["id", "label", "similarity"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(n) for n in near])]).astype(np.int32)), structs)
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(evidence, kind)],
-                names=[*names, "score", "predicted", "terms", "evidence"],
+                [*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(terms, pa.list_(pa.string())), evidence],
+                names=[*names, *added],
             )
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
+    kept = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)]
     schema = ", ".join([*kept, "score double, predicted int, terms array<string>, evidence array<struct<id:long,label:int,similarity:double>>"])
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*shown(docs.columns, added), *added)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
