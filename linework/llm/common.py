@@ -36,6 +36,11 @@ def hidden(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`").alias(f"in__{i}") for i, c in enumerate(df.columns)]
 
 
+def hidden_name(df: DataFrame, column: str) -> str:
+    """The name that hidden() gives a column."""
+    return f"in__{[c.lower() for c in df.columns].index(column.lower())}"
+
+
 def shown(columns: list[str], replaced: tuple[str, ...] = ()) -> list[Column]:
     """The columns that hidden() renamed, by their own names, without those replaced (in any case)."""
     gone = {c.lower() for c in replaced}
@@ -73,8 +78,9 @@ def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: st
 
     Keys of more than HOT_ROWS rows are joined by broadcast and their rows, dealt by
     the column spread, pass through the shuffle join of the others, so that no task
-    gets all rows of a key.
+    gets all rows of a key.  per_key is read twice, so it is written first.
     """
+    per_key = written(per_key, "counted")
     values = F.struct(*[c for c in per_key.columns if c not in (*keys, count)])
     hot = per_key.where(F.col(count) > HOT_ROWS).select(*keys, values.alias("hot__"))
     cold = per_key.where(F.col(count) <= HOT_ROWS).select(*keys, F.lit(0).cast("long").alias("deal__"), values.alias("cold__"))

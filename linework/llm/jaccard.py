@@ -252,7 +252,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # The least id of a class is taken over its sets; a set that links to no other has its own.
     linked = classes.groupBy("class").agg(F.min("least").alias("component"), F.count("*").alias("n_sets"))
     classes = join_counted(classes, linked.where("n_sets > 1"), ["class"], "n_sets", "node")
-    classes = written(classes.select("node", "copies", "class", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "classes")
+    classes = classes.select("node", "copies", "class", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
     full = join_counted(signed.where("n > 0").select("id", "print", "n", "node"), classes, ["node"], "copies", "print")
     full = full.select("id", "print", F.col("n").alias("n_shingles"), "class", "component")
     return full.unionByName(signed.where("n = 0").select("id", "print", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("id").alias("component")))
