@@ -18,34 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import table
+from linework.llm.common import hidden, hidden_name, shown, table
+from linework.llm.license_texts import TEMPLATES, tags
 from linework.llm.textkernel import WORD_ALNUM, Words, blocks, constants, mix, shingles
 
-#: Notices to look for (license, text); fixed values.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("proprietary", "All rights reserved."),
-)
 #: Words of a shingle; a template of fewer words is one shingle of its own length.
 SHINGLE = 5
 #: A notice is found where a window has so many of its shingles, as a share.
 CONTAINMENT = 0.8
 MISS = 1e-6
-#: What is sent to tasks is bounded by this many templates.
-MAX_TEMPLATES = 10_000
+#: Templates of one pass; more are searched in several passes, so what is sent to tasks has a bound.
+TEMPLATES_PER_PASS = 5_000
 
 
 def bands_of(similarity: float, miss: float = MISS) -> tuple[int, int]:
-    """(rows, bands) with the fewest hashes: one row.  Word shingles are so specific that one row brings few false candidates."""
+    """(rows, bands) with the fewest hashes for a miss of at most `miss`.
+
+    That is a band of one row, whatever the similarity: word shingles are so specific
+    that more rows would not pay for the bands that they cost.
+    """
     return 1, math.ceil(math.log(miss) / math.log(1 - similarity)) if similarity < 1 else 1
 
 
@@ -130,43 +121,71 @@ def classes_of(templates, k: int = SHINGLE, containment: float = CONTAINMENT) ->
     return [TemplateClass(own, most, members, containment) for (own, most), members in sorted(groups.items())]
 
 
-def find_licenses(docs: DataFrame, templates=TEMPLATES, text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """docs with licenses: an array of (license, template, start, end, containment), start and end in words, in order.
+FOUND = "array<struct<license:string,template:int,start:int,end:int,containment:double>>"
 
-    Of overlapping windows that find the same template the one with the highest
-    containment counts (the first of equals).  A null or wordless text has none,
-    and so has a template without words.  A column of docs called licenses is
-    replaced.
+
+def best_hits(hits: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Of (row, template, start, end, containment) in the order of their windows: of overlapping hits of a row and template the best, the first of equals.
+
+    Hits that follow each other overlapping are one notice, whatever other templates
+    are found between them; its ends are those of the best.
     """
-    templates = tuple(templates)
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    shared = docs.sparkSession.sparkContext.broadcast(classes_of(templates, k, containment))
-    names = [c for c in docs.columns if c.lower() != "licenses"]
+    out: dict[tuple[int, int], list] = {}
+    for row, number, start, end, share in hits:
+        own = out.setdefault((row, number), [])
+        if own and start < own[-1][2]:
+            own[-1][2] = max(own[-1][2], end)
+            if share > own[-1][0]:
+                own[-1][0], own[-1][1] = share, (start, end)
+        else:
+            own.append([share, (start, end), end])
+    return [(row, number, *span, share) for (row, number), own in out.items() for share, span, _ in own]
+
+
+def one_pass(docs: DataFrame, templates: list[tuple[int, str, str]], text: str, out: str, k: int, containment: float) -> DataFrame:
+    """docs with the notices of templates (number, license, text) added to the column out."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes_of([t[1:] for t in templates], k, containment))
     kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
+    again = out in docs.columns
+    names = [c for c in docs.columns if c != out]
+    labels = [(n, name) for n, name, _ in templates]
 
     def run(batches):
         for part, data, offsets in blocks(batches, text):
             words = Words(data, offsets, WORD_ALNUM, lower=True)
-            best: list[list] = [[] for _ in range(part.num_rows)]
+            best = part.column(part.schema.get_field_index(out)).to_pylist() if again else [[] for _ in range(part.num_rows)]
             made: dict[int, tuple] = {}
+            hits = []
             for c in shared.value:
                 if c.k not in made:
                     values, row = shingles(words, c.k)
                     made[c.k] = values, np.searchsorted(row, np.arange(part.num_rows + 1))
-                for row, number, start, end, share in c.scan(*made[c.k]):
-                    last = best[row][-1] if best[row] else None
-                    if last and last["template"] == number and start < last["end"]:
-                        if share > last["containment"]:
-                            last.update(start=start, end=end, containment=share)
-                    else:
-                        best[row].append({"license": templates[number][0], "template": number, "start": start, "end": end, "containment": share})
-            for hits in best:
-                hits.sort(key=lambda h: (h["start"], h["template"]))
-            yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(best, kind)], names=[*names, "licenses"])
+                hits += c.scan(*made[c.k])
+            for row, number, start, end, share in best_hits(hits):
+                best[row].append({"license": labels[number][1], "template": labels[number][0], "start": start, "end": end, "containment": share})
+            for own in best:
+                own.sort(key=lambda h: (h["start"], h["template"]))
+            yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(best, kind)], names=[*names, out])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, ", ".join([*kept, "licenses array<struct<license:string,template:int,start:int,end:int,containment:double>>"]))
+    return docs.select(*[f"`{c}`" for c in names], *([out] if again else [])).mapInArrow(run, ", ".join([*kept, f"`{out}` {FOUND}"]))
+
+
+def find_licenses(docs: DataFrame, templates=None, text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT, per_pass: int = TEMPLATES_PER_PASS) -> DataFrame:
+    """docs with licenses: an array of (license, template, start, end, containment), start and end in words, in order.
+
+    templates are (license, text); by default those of license_texts.  Of
+    overlapping windows that find the same template the one with the highest
+    containment counts (the first of equals).  A null or wordless text has none,
+    and so has a template without words.  Equal texts have equal notices, texts of
+    any length are searched whole, no rows give no rows.  A column of docs called
+    licenses (in any case) is replaced, all others keep their values.
+    """
+    numbered = [(i, name, body) for i, (name, body) in enumerate(TEMPLATES + tags() if templates is None else templates)]
+    out = docs.select(*hidden(docs))
+    for at in range(0, max(1, len(numbered)), per_pass):
+        out = one_pass(out, numbered[at : at + per_pass], hidden_name(docs, text), "found", k, containment)
+    return out.select(*shown(docs.columns, ("licenses",)), F.col("found").alias("licenses"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
