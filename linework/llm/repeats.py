@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import hidden, shown, table, written
+from linework.llm.common import hidden, hidden_name, shown, table, written
 from linework.llm.textkernel import BYTE_VALUES, blocks, mix, powers
 
 WIDTH = 100
@@ -436,13 +436,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         found = found.unionByName(compare_windows(texts.join(F.broadcast(full), "owner", "left_semi"), width))
     gone = met.where("kind = 0").select("doc", "print", "start", "end").unionByName(found.select("doc", "print", "start", "end"))
     gone = gone.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    kept = shown(docs.columns, added)
-    own = {c.lower() for c in added}
-    # The text comes once: as its own column where docs keep it.
-    columns = [f"in__{i}" for i, c in enumerate(docs.columns) if c.lower() not in own]
-    named = [c for c in docs.columns if c.lower() not in own]
-    body = columns[named.index(text)] if text in named else "text"
-    joined = rows.join(gone.hint("merge"), ["doc", "print"], "left").select(*columns, *(["text"] if body == "text" else []), "gone")
+    body, columns = hidden_name(docs, text), [f"in__{i}" for i in range(len(docs.columns))]
+    joined = rows.drop("text").join(gone.hint("merge"), ["doc", "print"], "left").select(*columns, "gone")
 
     def run(batches):
         for part, data, offsets in blocks(batches, body):
@@ -467,7 +462,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
 
     fields = [f"{c} {joined.schema[c].dataType.simpleString()}" for c in columns]
     out = joined.mapInArrow(run, ", ".join([*fields, "n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept_sha256 string"]))
-    return out.select(*kept, *added)
+    return out.select(*shown(docs.columns, added), *added)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import hidden, shown, table, written
+from linework.llm.common import hidden, hidden_name, shown, table, written
 from linework.llm.textkernel import WORD_ALNUM, Words, blocks, list_array
 
 #: Examples of each label, at most; bounds what the driver and the tasks hold (with 300 different words each, about 50 MB).
@@ -335,13 +335,14 @@ def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text", key: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     added = ("score", "predicted", "terms", "evidence")
-    rows = docs.select(*hidden(docs), F.col(text).alias("text"), (F.col(key).cast("long") if key in docs.columns else F.lit(None).cast("long")).alias("key"))
+    body = hidden_name(docs, text)
+    rows = docs.select(*hidden(docs), (F.col(key).cast("long") if key in docs.columns else F.lit(None).cast("long")).alias("key"))
     names = [f"in__{i}" for i in range(len(docs.columns))]
 
     def run(batches):
         model = shared.value
         known: dict[tuple, tuple] = {}
-        for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
+        for part, data, offsets in blocks(batches, body, TEXT_BYTES):
             row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.prefixes)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
             keys = part.column(part.schema.get_field_index("key")).to_pylist()
