@@ -7,10 +7,10 @@ the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import crc, free_name, table, written
+from linework.llm.common import crc, free_name, hidden, shown, table, written
 from linework.llm.decontaminate import contamination, is_contaminated
 from linework.llm.jaccard import similarity_classes
 from linework.llm.mixing import mix, training_order
@@ -22,7 +22,11 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are mostly boilerplate go."""
+    """Documents that fail the base rules or are mostly boilerplate go.
+
+    A null or blank text fails the base rules; equal rows have one fate; without
+    labels every line is content.  No rows give no rows.
+    """
     chain = fit_chain(docs, table(spark, sf_dir, "labels"))
     return label_lines(docs, chain).where("kept").select(*docs.columns)
 
@@ -46,19 +50,38 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go.
+
+    A null or blank text is clean; equal rows have one fate; without items all stay.
+    """
     return contamination(docs, table(spark, sf_dir, "benchmark")).where(~is_contaminated()).select(*docs.columns)
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per pass of a document that the mixture takes, in training order; whole documents only."""
+    """A row per pass of a document that the mixture takes, in training order; whole documents only.
+
+    A document without words is in no pass.  Rows of one document are equal, as only
+    the columns of docs are returned.  No rows give no rows.
+    """
     return training_order(mix(docs, cut="document")).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row; text_crc32 stands for the text."""
-    slim = docs.withColumn("text_crc32", crc(F.col("text"))).drop("text")
-    return interleave(slim, checksum="text_crc32")
+    """docs with text_crc32, shard and slot: the shards of the corpus, texts included.
+
+    Equal rows (the passes of a document) are numbered, so that each gets a place of
+    its own in the order.  Places are found without the texts, which are dealt once.
+    Columns of docs called like the results are replaced.  No rows give no rows.
+    """
+    added = ("text_crc32", "shard", "slot")
+    rows = docs.select(*hidden(docs), crc(F.col("text")).alias("text_crc32"), F.xxhash64(*docs.columns).alias("row"), "doc_id", "source")
+    same = ["row", "text_crc32"]
+    slim = rows.select(*same, "doc_id", "source")
+    slim = slim.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("doc_id")))
+    placed = interleave(slim, checksum="text_crc32", copy="copy").groupBy(*same).agg(F.collect_list(F.struct("shard", "slot")).alias("places"))
+    texts = rows.drop("doc_id", "source").dropDuplicates(same).join(placed, same)
+    out = texts.select(*shown(docs.columns, added), "text_crc32", F.explode("places").alias("place"))
+    return out.select(*[c for c in out.columns if c != "place"], "place.shard", "place.slot")
 
 
 STAGES = [
