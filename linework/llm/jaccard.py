@@ -11,10 +11,9 @@
    at least threshold * |set| of its tokens; a block is opened for the sets that
    pass this bound and for no others, and an open block gives exact
    intersections.
-4. Links within blocks, and between each block and the block of its group's least
-   set, go to connected components.  Only bands whose sets are then still in several
-   components have their other pairs of blocks compared; the links found there are
-   added.
+4. Blocks are compared within and with the block of their group's least set.  Only
+   bands whose sets are not known to be linked by then have their other pairs of
+   blocks compared.  All links go to connected components.
 Tasks see one or two blocks at a time, so a group of any size is spread over
 many tasks, and only spanning links leave a task.
 """
@@ -144,7 +143,7 @@ class Block:
 
 
 def links(queries: Block, block: Block, num: int, den: int, own: bool) -> list[tuple[int, int]]:
-    """Spanning links (id, id) among the pairs of a query and a member with den * intersection >= num * union."""
+    """Spanning links (id, id) of the pairs of a query and a member with den * intersection >= num * union; within a block, from each linked member to the least of its class."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -167,7 +166,7 @@ def links(queries: Block, block: Block, num: int, den: int, own: bool) -> list[t
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((a, b))
-    return out
+    return [(int(x), root(int(x))) for x in queries.ids if root(int(x)) != x] if own else out
 
 
 def block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -235,13 +234,19 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     held = token_sets(texts.select("block", "id", "text"), k, lower).where(F.length("tokens") > 0)
     grouped = written(held.groupBy("block").agg(F.collect_set(F.struct("id", "tokens")).alias("m")).select("block", F.col("m.id").alias("ids"), F.col("m.tokens").alias("tokens")), "blocks")
     right = grouped.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("tokens").alias("tokens2"))
-    inside = block_links(grouped.where(F.size("ids") > 1).select("ids", "tokens"), num, den)
+    inside = written(block_links(grouped.where(F.size("ids") > 1).select("ids", "tokens"), num, den), "inside")
     of_group = members.groupBy("group", "block").agg(F.max("first").alias("first"))
     stars = of_group.join(of_group.where("first IS NOT NULL").select("group", F.col("first").alias("block2")), "group").where("block <> block2").select("block", "block2")
-    early = written(inside.unionByName(block_links(stars.join(grouped, "block").join(right, "block2").select("ids", "tokens", "ids2", "tokens2"), num, den)), "links")
-    settled = connected_components(early).select(F.col("node").alias("id"), "component")
-    touching = shared.select("band", "id").join(members.select("id", "block"), "id").join(settled, "id", "left")
-    touching = touching.groupBy("band", "block").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high"))
+    outward = written(block_links(stars.join(grouped, "block").join(right, "block2").select("ids", "tokens", "ids2", "tokens2"), num, den), "outward")
+    early = inside.unionByName(outward)
+    # What a set is known to be linked to so far: the least set of its class in the first block, or else in its own.
+    root = lambda c: inside.select(F.col("src").alias(c), F.col("dst").alias(f"{c}_root"))
+    up = outward.join(root("src"), "src", "left").join(root("dst"), "dst", "left")
+    up = up.groupBy(F.coalesce("src_root", "src").alias("root")).agg(F.min(F.coalesce("dst_root", "dst")).alias("up"))
+    settled = members.select("id", "block").join(root("id"), "id", "left").withColumn("root", F.coalesce("id_root", "id"))
+    settled = settled.join(up, "root", "left").select("id", "block", F.coalesce("up", "root").alias("known"))
+    touching = shared.select("band", "id").join(settled, "id")
+    touching = touching.groupBy("band", "block").agg(F.min("known").alias("low"), F.max("known").alias("high"))
     several = touching.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("n > 1 AND low <> high").select("band")
     touching = touching.select("band", "block").join(several, "band")
     cells = touching.alias("a").join(touching.alias("b"), "band").where("a.block < b.block").select(F.col("a.block").alias("block"), F.col("b.block").alias("block2")).distinct()
