@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a new local one where the session names none (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or a new local one where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -39,9 +41,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _round(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their number and checksum, taken while they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), name)
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -53,13 +57,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     folder; rounds grow with the logarithm of the longest chain.
     """
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    now = written(now, "edges")
-    before = _print_of(now)
+    now, before = _round(now, "edges")
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = written(_small_star(_large_star(now)), "stars")
-        after = _print_of(now)
+        now, after = _round(_small_star(_large_star(now)), "stars")
         if after == before:
             break
         before = after
