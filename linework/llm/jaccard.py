@@ -224,11 +224,11 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = written(shared_bands(sets.select(F.col("node").alias("id"), F.explode("bands").alias("band"))), "meeting")
     members = shared.groupBy("id").agg(F.min("leader").alias("group"))
     members = members.join(sets.select(F.col("node").alias("id"), "n", "print", F.element_at("bands", 1).alias("near")), "id")
-    sizes = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"), F.count("*").alias("n_sets"))
+    sizes = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
     # Sets alike in their first band fall in one block as far as blocks of even size allow: half of the spread is left to the set itself.
     number = F.pmod(F.xxhash64("near") + F.pmod("id", F.greatest(F.lit(1), F.floor(F.col("blocks") / 2))), F.col("blocks"))
-    members = join_counted(members, sizes, ["group"], "n_sets", "id")
-    members = written(members.select("id", "print", "group", F.xxhash64("group", number).alias("block"), F.when(F.col("id") == F.col("group"), F.xxhash64("group", number)).alias("first")), "members")
+    # Narrow rows: where one group has most of them, adaptive execution splits the join.
+    members = written(members.join(sizes.hint("merge"), "group").select("id", "print", "group", F.xxhash64("group", number).alias("block"), F.when(F.col("id") == F.col("group"), F.xxhash64("group", number)).alias("first")), "members")
     # Always a merge join: a broadcast of the members would be right for small inputs only.
     texts = docs.select("print", "text").join(members.select("print", "id", "block").hint("merge"), "print")
     held = token_sets(texts.select("block", "id", "text"), k, lower).where(F.length("tokens") > 0)
@@ -255,8 +255,8 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     found = connected_components(early.unionByName(across)).withColumnRenamed("component", "class")
     classes = sets.select("node", "least", "copies").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     # The least id of a class is taken over its sets; a set that links to no other has its own.
-    linked = classes.groupBy("class").agg(F.min("least").alias("component"), F.count("*").alias("n_sets"))
-    classes = join_counted(classes, linked.where("n_sets > 1"), ["class"], "n_sets", "node")
+    linked = classes.groupBy("class").agg(F.min("least").alias("component"), F.count("*").alias("n_sets")).where("n_sets > 1")
+    classes = classes.join(linked.hint("merge"), "class", "left")
     classes = classes.select("node", "copies", "class", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
     full = join_counted(signed.where("n > 0").select("id", "print", "n", "node"), classes, ["node"], "copies", "print")
     full = full.select("id", "print", F.col("n").alias("n_shingles"), "class", "component")
