@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,44 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def least_labels(nodes: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of the nodes 0 to nodes - 1, with links u to v."""
+    label = np.arange(nodes)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def local_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, component) like connected_components, for edges (keys, src, dst) whose groups are of bounded size.
+
+    All keys and ids are long.  The edges of a group come as one row (a tile of
+    2048 x 2048 pixels at most), and a task handles the groups of a batch at once.
+    """
+    grouped = edges.where("src <> dst").groupBy(*keys).agg(F.collect_set(F.struct("src", "dst")).alias("e"))
+    grouped = grouped.select(*keys, F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+
+    def run(batches):
+        for batch in batches:
+            src, dst = batch.column(len(keys)), batch.column(len(keys) + 1)
+            group = np.repeat(np.arange(batch.num_rows), np.diff(src.offsets.to_numpy()))
+            pair = np.stack([np.concatenate([group, group]), np.concatenate([src.flatten().to_numpy(), dst.flatten().to_numpy()])], axis=1)
+            # Nodes sorted by group and id, so that the least number is the least id.
+            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (pair[order][1:] != pair[order][:-1]).any(axis=1)
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.cumsum(new) - 1
+            node = pair[order[new]]
+            label = least_labels(len(node), number[: len(group)], number[len(group) :])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(node[:, 0])) for k in range(len(keys))], pa.array(node[:, 1]), pa.array(node[label, 1])], names=[*keys, "node", "component"])
+
+    return grouped.mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "node", "component")))
