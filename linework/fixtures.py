@@ -22,10 +22,16 @@ _SPARK_STEPS = "(SELECT *, explode(sequence(0, 1)) AS j FROM (SELECT *, explode(
 _DUCK_STEPS = "(SELECT *, unnest(range(2)) AS j FROM (SELECT *, unnest(range(CAST(q % 12 + 1 AS BIGINT))) AS i FROM base))"
 
 #: The same tables as DuckDB common table expressions.
+DUCK_BASE = "base AS (" + _BASE.format(lineitem="lineitem") + ")"
 DUCK_SEG = "base AS (" + _BASE.format(lineitem="lineitem") + "), seg AS (" + SEGMENTS + ")"
 DUCK_PIX = "base AS (" + _BASE.format(lineitem="lineitem") + "), pix AS (" + PIXELS.format(steps=_DUCK_STEPS) + ")"
 
 
+def base_query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over base: ok, ln, pk, sk, q and rf of each order line."""
+    return spark.sql("WITH base AS (" + _BASE + ") " + sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, line_id, x1, y1, x2, y2, r, g, b."""
     return spark.sql("WITH base AS (" + _BASE + ") " + SEGMENTS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))

@@ -6,8 +6,10 @@ that the small drawings have several tiles.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from linework import fixtures
 from linework.fixtures import DUCK_PIX, DUCK_SEG
 from linework.functions import geometry as geo
 from linework.operators import chords, grid, links, runs, scoring
-from linework.operators.components import written
+from linework.operators.components import shared_dir, written
 from linework.params import DEFAULTS
-from linework.plans import connect, lines
+from linework.plans import connect, jobs, lines
 from linework.schema import TILE
 from linework.sources import catalog, images
 
@@ -94,6 +96,10 @@ attr AS (SELECT lk.*, a.volume AS va, b.volume AS vb, a.rgb AS ca, b.rgb AS cb,
   FROM lk JOIN tr a ON a.image_id = lk.image_id AND a.tile_r = lk.tile_r AND a.tile_c = lk.tile_c AND a.eline_id = src JOIN tr b ON b.image_id = lk.image_id AND b.tile_r = lk.tile_r AND b.tile_c = lk.tile_c AND b.eline_id = dst)"""
 
 
+def scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def trimmed(spark, d):
     return written(links.trim_overlaps(written(elines(spark, d), "strokes")), "elines")
 
@@ -150,6 +156,35 @@ def a4_lines_round_trip(spark, d):
     return rows.select("image_id", "line_id", F.explode(catalog.lines_from_json(F.col("json"))).alias("l")).select("image_id", "line_id", "l.*")
 
 
+@query(f"{SEG} SELECT image_id, line_id, x1, y1, x2, y2, rgb, 'image-' || image_id AS key FROM lines")
+def a4_lines_through_files(spark, d):
+    folder = scratch(spark, "lines")
+    rows = seg(spark, d).select("image_id", "line_id", "x1", "y1", "x2", "y2", "rgb", F.concat(F.lit("image-"), F.col("image_id").cast("string")).alias("key"))
+    catalog.write_lines(rows, folder, "line")
+    return catalog.read_lines(spark, folder, "line", jobs.LINE_COLUMNS)
+
+
+#: Height and width of the drawings as image files.
+SIDE = 128
+
+
+def drawings(spark, d):
+    """The drawings as image files, read back."""
+    folder = scratch(spark, "png")
+    images.write_images(fixtures.pixels(spark, d), folder, SIDE, SIDE)
+    return images.read_images(spark, folder).withColumn("image_id", F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long"))
+
+
+@query(f"{PIX} SELECT DISTINCT image_id, {SIDE} AS height, {SIDE} AS width, 3 AS channels, {3 * SIDE * SIDE}::BIGINT AS n_bytes FROM pix")
+def a1_read_images(spark, d):
+    return drawings(spark, d).select("image_id", "height", "width", "channels", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+@query(f"{PIX} SELECT * FROM pix")
+def a2_images_to_pixels(spark, d):
+    return images.images_to_pixels(drawings(spark, d))
+
+
 @query("""SELECT doc_id, source || '_' || doc_id || '.png' || '(' || CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE '(0, ' || n_chars || ')' END || ', ' || CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE '(5, ' || n_chars || ')' END || ')' AS key FROM documents""")
 def a5_catalog_key(spark, d):
     crop = lambda c: F.when(F.col("doc_id") % 2 != 0, c)
@@ -181,9 +216,9 @@ def b3_untile_lines(spark, d):
     return lines.untile_lines(elines(spark, d).select(*TILE, "eline_id", "x1", "y1", "x2", "y2"), TILE_SIZE)
 
 
-@query("SELECT l_orderkey, l_linenumber, c FROM (SELECT l_orderkey, l_linenumber, CAST((l_partkey * 97 + l_suppkey * 31) % 256 * 65536 + l_suppkey % 256 * 256 + 255 AS INT) AS c FROM lineitem) WHERE (c >> 16) + ((c >> 8) & 255) + (c & 255) <= 762")
+@query("SELECT l_orderkey, l_linenumber, c FROM (SELECT l_orderkey, l_linenumber, CAST((252 + l_partkey % 4) * 65536 + (252 + l_suppkey % 4) * 256 + 255 AS INT) AS c FROM lineitem) WHERE (c >> 16) + ((c >> 8) & 255) + (c & 255) <= 762")
 def b4_nonwhite(spark, d):
-    c = ((F.col("l_partkey") * 97 + F.col("l_suppkey") * 31) % 256 * 65536 + F.col("l_suppkey") % 256 * 256 + 255).cast("int")
+    c = ((252 + F.col("l_partkey") % 4) * 65536 + (252 + F.col("l_suppkey") % 4) * 256 + 255).cast("int")
     return runs.nonwhite(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("rgb"))).withColumnRenamed("rgb", "c")
 
 
@@ -215,9 +250,17 @@ def b8_thin_mask(spark, d):
 # Joins
 
 
-@query(f"{CT} SELECT * FROM ct")
+#: Filled squares of up to five pixels, so that many pixels lie inside.
+SQUARES = """SELECT image_id, row, col, max(rgb) AS rgb FROM (SELECT CAST(floor(ok / 16) AS BIGINT) AS image_id, CAST((sk * 11 + q * 5 + ln * 17) % 84 + i AS BIGINT) AS row, CAST((pk * 7 + ln * 13) % 84 + j AS BIGINT) AS col,
+  CASE rf WHEN 'A' THEN 16711680 WHEN 'N' THEN 65280 ELSE 255 END AS rgb FROM {steps}) GROUP BY image_id, row, col"""
+DUCK_SQUARES = SQUARES.format(steps="(SELECT *, unnest(range(CAST(q % 5 + 1 AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(q % 5 + 1 AS BIGINT))) AS i FROM base))")
+
+
+@query(f"""WITH {fixtures.DUCK_BASE}, pix AS ({DUCK_SQUARES}), px AS (SELECT image_id, row // {TILE_SIZE} AS tile_r, col // {TILE_SIZE} AS tile_c, row % {TILE_SIZE} AS row, col % {TILE_SIZE} AS col, rgb FROM pix),
+inside AS (SELECT {T}, row, col, rgb FROM (SELECT {T}, row + dr AS row, col + dc AS col, rgb FROM px, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc)) GROUP BY ALL HAVING count(*) = 4)
+SELECT * FROM px ANTI JOIN inside USING ({T}, row, col, rgb)""")
 def c1_contour_pixels(spark, d):
-    return contour(spark, d)
+    return runs.contour_pixels(runs.assign_tiles(fixtures.base_query(spark, d, SQUARES.replace("{steps}", "(SELECT *, explode(sequence(0, CAST(q % 5 AS INT))) AS j FROM (SELECT *, explode(sequence(0, CAST(q % 5 AS INT))) AS i FROM base))")), TILE_SIZE).repartition(*TILE))
 
 
 @query(f"{TOUCH} SELECT {T}, r1, c1, r2, c2, rgb, dir_pos, dir_neg FROM touched")
@@ -263,13 +306,34 @@ ANGLE = """CASE WHEN m1 * m2 = -1 THEN 90.0::DOUBLE ELSE degrees(atan(abs((m1 -
 APART = "(least(ax1, ax2) > greatest(bx1, bx2) OR greatest(ax1, ax2) < least(bx1, bx2) OR least(ay1, ay2) > greatest(by1, by2) OR greatest(ay1, ay2) < least(by1, by2))"
 
 
-@query(f"""{SEG}, ends AS (SELECT image_id, line_id, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, line_id, x2, y2 FROM lines), own AS (SELECT image_id, x, y, max(line_id) AS dst FROM ends GROUP BY ALL),
+#: Strokes in coordinates of the image, numbered: those cut by a tile border go on in each other.
+LINES = f"""{ELINES.replace("WITH ", "WITH RECURSIVE ", 1)}, moved AS (SELECT image_id, tile_r, tile_c, x1 + tile_c * {TILE_SIZE} AS x1, y1 + tile_r * {TILE_SIZE} AS y1, x2 + tile_c * {TILE_SIZE} AS x2, y2 + tile_r * {TILE_SIZE} AS y2, rgb FROM el),
+lines AS (SELECT * FROM (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY tile_r, tile_c, x1, y1, x2, y2, rgb) - 1 AS line_id, x1, y1, x2, y2, rgb FROM moved) WHERE (x2 - x1) ** 2 + (y2 - y1) ** 2 > 9)"""
+MERGES = f"""{LINES}, ends AS (SELECT image_id, line_id, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, line_id, x2, y2 FROM lines), own AS (SELECT image_id, x, y, max(line_id) AS dst FROM ends GROUP BY ALL),
 lk AS (SELECT DISTINCT e.image_id, line_id AS src, dst FROM (SELECT *, unnest(range(-3, 4)) AS dx FROM ends) e CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) o JOIN own ON own.image_id = e.image_id AND own.x = e.x + e.dx AND own.y = e.y + dy WHERE line_id <> dst),
 p AS (SELECT lk.*, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, a.rgb AS ca, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.rgb AS cb FROM lk JOIN lines a ON a.image_id = lk.image_id AND a.line_id = src JOIN lines b ON b.image_id = lk.image_id AND b.line_id = dst),
-s AS (SELECT *, {SLOPE.format("a")} AS sa, {SLOPE.format("b")} AS sb FROM p), m AS (SELECT *, CASE WHEN isinf(sa) THEN 99999999999 ELSE sa END AS m1, CASE WHEN isinf(sb) THEN 99999999999 ELSE sb END AS m2 FROM s)
-SELECT image_id, src, dst FROM m WHERE ca = cb AND {ANGLE} < 1 AND {APART} AND CASE WHEN isinf(sa) THEN ax1 = bx1 WHEN sa = 0 THEN ay1 = by1 ELSE true END""")
+s AS (SELECT *, {SLOPE.format("a")} AS sa, {SLOPE.format("b")} AS sb FROM p), m AS (SELECT *, CASE WHEN isinf(sa) THEN 99999999999 ELSE sa END AS m1, CASE WHEN isinf(sb) THEN 99999999999 ELSE sb END AS m2 FROM s),
+merges AS (SELECT image_id, src, dst FROM m WHERE ca = cb AND {ANGLE} < 1 AND {APART} AND CASE WHEN isinf(sa) THEN ax1 = bx1 WHEN sa = 0 THEN ay1 = by1 ELSE true END)"""
+
+
+def stroke_lines(spark, d):
+    moved = lines.untile_lines(elines(spark, d).select(*TILE, "x1", "y1", "x2", "y2", "rgb"), TILE_SIZE)
+    return written(lines.number_lines(moved).select("image_id", "line_id", "x1", "y1", "x2", "y2", "rgb"), "numbered")
+
+
+@query(f"{MERGES} SELECT * FROM merges")
 def c8_collinear_merge_edges(spark, d):
-    return links.collinear_merge_edges(seg(spark, d))
+    return links.collinear_merge_edges(links.drop_short_lines(stroke_lines(spark, d)))
+
+
+@query(f"""{MERGES}, sym AS (SELECT image_id, src AS u, dst AS v FROM merges UNION SELECT image_id, dst, src FROM merges),
+reach(image_id, x, y) AS (SELECT image_id, line_id, line_id FROM lines UNION SELECT r.image_id, r.x, s.v FROM reach r JOIN sym s ON s.image_id = r.image_id AND s.u = r.y),
+comp AS (SELECT image_id, x AS line_id, min(y) AS component FROM reach GROUP BY image_id, x),
+pt AS (SELECT DISTINCT image_id, component, rgb, x, y FROM (SELECT image_id, component, rgb, x1 AS x, y1 AS y FROM lines JOIN comp USING (image_id, line_id) UNION ALL SELECT image_id, component, rgb, x2, y2 FROM lines JOIN comp USING (image_id, line_id))),
+dd AS (SELECT a.image_id, a.component AS line_id, a.rgb, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON a.image_id = b.image_id AND a.component = b.component AND a.rgb = b.rgb AND (a.x, a.y) <= (b.x, b.y))
+SELECT image_id, line_id, rgb, x1, y1, x2, y2 FROM dd QUALIFY row_number() OVER (PARTITION BY image_id, line_id, rgb ORDER BY d2 DESC, x1, y1, x2, y2) = 1""")
+def j3_concat_lines(spark, d):
+    return lines.concat_lines(stroke_lines(spark, d))
 
 
 @query(f"{CELLS} SELECT image_id, cell_r, cell_c, line_id FROM cells")
@@ -369,9 +433,15 @@ def d8_hull_chord(spark, d):
     return chords.hull_chord(links.end_points(seg(spark, d), ["image_id", "rgb"], "line_id").select("image_id", "rgb", "x", "y"), ["image_id", "rgb"])
 
 
-@query()
+@query(f"""{SEG}, p AS (SELECT DISTINCT image_id, rgb, x, y FROM (SELECT image_id, rgb, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, rgb, x2, y2 FROM lines)),
+e AS (SELECT a.image_id, a.rgb, a.x, a.y, b.x AS next_x, b.y AS next_y FROM p a JOIN p b ON a.image_id = b.image_id AND a.rgb = b.rgb AND (a.x, a.y) <> (b.x, b.y)),
+c AS (SELECT e.*, (next_x - e.x) * (p.y - e.y) - (next_y - e.y) * (p.x - e.x) AS side, (p.x - e.x) * (p.x - next_x) + (p.y - e.y) * (p.y - next_y) AS between FROM e JOIN p ON p.image_id = e.image_id AND p.rgb = e.rgb)
+SELECT image_id, rgb, x, y, next_x, next_y FROM c GROUP BY ALL HAVING bool_and(side > 0 OR side = 0 AND between <= 0)
+UNION ALL SELECT image_id, rgb, min(x), min(y), min(x), min(y) FROM p GROUP BY image_id, rgb HAVING count(*) = 1""")
 def d9_hull(spark, d):
-    return chords.hull(links.end_points(seg(spark, d), ["image_id", "rgb"], "line_id").select("image_id", "rgb", "x", "y"), ["image_id", "rgb"])
+    found = chords.hull(links.end_points(seg(spark, d), ["image_id", "rgb"], "line_id").select("image_id", "rgb", "x", "y"), ["image_id", "rgb"])
+    edges = F.expr("transform(vertices, (v, i) -> struct(v.x AS x, v.y AS y, vertices[(i + 1) % size(vertices)].x AS next_x, vertices[(i + 1) % size(vertices)].y AS next_y))")
+    return found.select("image_id", "rgb", F.explode(edges).alias("e")).select("image_id", "rgb", "e.*")
 
 
 @query(f"{COMPONENTS} SELECT image_id, component, count(*) AS n, list(line_id ORDER BY line_id) AS lines FROM comp GROUP BY image_id, component")
@@ -590,6 +660,35 @@ def m3_linear_head(spark, d):
     return scored.select("image_id", F.col("class").cast("int").alias("class"), F.round("logit", 3).alias("logit"))
 
 
+#: Scaled by 16 each way, a value is the mean of the four pixels in the middle of its square.
+SMALL = f"""{PIX}, dark AS (SELECT image_id, row // 16 AS r, col // 16 AS c, sum(255 - (rgb >> 16)) AS d0, sum(255 - ((rgb >> 8) & 255)) AS d1, sum(255 - (rgb & 255)) AS d2 FROM pix WHERE row % 16 IN (7, 8) AND col % 16 IN (7, 8) GROUP BY ALL),
+grid AS (SELECT image_id, i.r, j.c, channel FROM (SELECT DISTINCT image_id FROM pix), (SELECT unnest(range(8)) AS r) i, (SELECT unnest(range(8)) AS c) j, (SELECT unnest(range(3)) AS channel) k),
+small AS (SELECT image_id, ((r * 8 + c) * 3 + channel)::INT AS place, 255 - coalesce(CASE channel WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END, 0)::DOUBLE / 4 AS value FROM grid LEFT JOIN dark USING (image_id, r, c))"""
+
+
+@query(f"{SMALL} SELECT * FROM small")
+def m4_resize_images(spark, d):
+    return images.resize_images(drawings(spark, d), SIDE // 16, whole_numbers=False).select("image_id", F.posexplode(F.col("values").cast("array<double>")).alias("place", "value"))
+
+
+def light_and_dark(values):
+    """Logits of two classes: how much light an image has, and how much is missing."""
+    light = values.astype("float64").sum(axis=1)
+    return np.stack([light, 255.0 * values.shape[1] - light], axis=1)
+
+
+@query(f"{SMALL}, light AS (SELECT image_id, sum(value) AS v FROM small GROUP BY image_id) SELECT image_id, CASE WHEN v >= 48960 - v THEN 0 ELSE 1 END AS label, greatest(v, 48960 - v) AS score FROM light")
+def m5_score_images(spark, d):
+    scored = scoring.score_images(images.resize_images(drawings(spark, d), SIDE // 16, whole_numbers=False), light_and_dark)
+    return scored.select("image_id", F.col("label").cast("int").alias("label"), "score")
+
+
+@query(f"""{LOGITS}, b AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS batch, {CE} AS loss, list_position(logits, list_max(logits)) - 1 = label AS ok FROM ls), p AS (SELECT batch, avg(loss) AS loss, sum(ok::INT) AS k, count(*) AS n FROM b GROUP BY batch)
+SELECT round(avg(loss), 4) AS loss, round(sum(k) * 100.0::DOUBLE / sum(n), 4) AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM p""")
+def m6_evaluate(spark, d):
+    return jobs.evaluate(logits(spark, d), batch=32).select(F.round("loss", 4).alias("loss"), F.round(F.col("accuracy").cast("double"), 4).alias("accuracy"), "n")
+
+
 # Jobs
 
 
@@ -598,6 +697,11 @@ def extract_elines(spark, d):
     return elines(spark, d)
 
 
+@query()
+def j2_detect_lines_in_tiles(spark, d):
+    return lines.detect_lines_in_tiles(tiles(spark, d), PARAMS)
+
+
 @query()
 def detect_lines(spark, d):
     return lines.detect_lines(fixtures.pixels(spark, d), PARAMS)

@@ -3,11 +3,5 @@
 from __future__ import annotations
 
 PIXELS = "image_id long, row long, col long, rgb int"
-LINES = "image_id long, line_id long, x1 long, y1 long, x2 long, y2 long, rgb int"
-LINES_RGB = "image_id long, line_id long, x1 long, y1 long, x2 long, y2 long, r int, g int, b int"
-EDGES = "image_id long, src long, dst long"
-CELLS = "image_id long, cell_r long, cell_c long, line_id long"
-CATALOG = "kind string, file string, r0 int, r1 int, c0 int, c1 int, key string"
-PREDICTIONS = "image_id long, label int, score double"
 #: Key of a tile of an image.
 TILE = ["image_id", "tile_r", "tile_c"]

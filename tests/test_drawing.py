@@ -229,3 +229,28 @@ def test_stream_computes_each_drawing_once(spark, tmp_path):
         pixel_rows(spark, {(3, c) for c in range(20)}).coalesce(1).write.mode("append").parquet(source)
         detect_stream(spark, source, folder, state, Params(tile=64)).awaitTermination()
     assert read_lines(spark, folder, "line", "image_id long, x1 long, x2 long").count() == 1
+
+
+def test_files_with_crops_are_computed_once(spark, tmp_path):
+    from linework.plans.jobs import detect_files
+    from linework.sources.images import write_images
+
+    rows = [(7, 3, c, 255) for c in range(20)] + [(7, r, 30, 65280) for r in range(5, 25)] + [(8, 2, c, 255) for c in range(9)]
+    write_images(spark.createDataFrame(rows, "image_id long, row long, col long, rgb int"), f"file://{tmp_path}/in", 32, 40)
+    ask = "path string, r0 int, r1 int, c0 int, c1 int, forced boolean"
+    path = f"file://{tmp_path}/in/7.png"
+    whole, crop = (path, None, None, None, None, False), (path, 0, 20, 25, 40, False)
+    lines, groups, todo = detect_files(spark.createDataFrame([whole, crop], ask), f"{tmp_path}/out", Params(tile=64))
+    got = sorted((r["key"], r["x1"], r["y1"], r["x2"], r["y2"], r["rgb"]) for r in lines.collect())
+    assert todo.count() == 2 and groups.count() == 3
+    assert got == [("7.png((0, 20), (25, 40))", 5, 5, 5, 19, 65280), ("7.png(None, None)", 0, 3, 19, 3, 255), ("7.png(None, None)", 30, 5, 30, 24, 65280)]
+    again = detect_files(spark.createDataFrame([whole, crop, (f"file://{tmp_path}/in/8.png", 20, 30, None, None, False)], ask), f"{tmp_path}/out", Params(tile=64))
+    assert again[2].count() == 1 and again[0].count() == 3  # the new crop is empty
+    last = detect_files(spark.createDataFrame([whole[:5] + (True,), (f"file://{tmp_path}/in/8.png", 20, 30, None, None, False)], ask), f"{tmp_path}/out", Params(tile=64))
+    assert last[2].count() == 1 and last[0].count() == 2  # forced, and replaced
+
+
+def test_one_exchange_from_tiles_to_runs(spark):
+    df = spark.createDataFrame([(1, 0, 0, 255)], "image_id long, row long, col long, rgb int")
+    plan = runs.horizontal_runs(runs.contour_pixels(runs.assign_tiles(df, 8).repartition("image_id", "tile_r", "tile_c")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
