@@ -1,8 +1,9 @@
 """A training corpus from raw documents: quality, near duplicates, benchmark, mixture, shards.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns
-a DataFrame.  All but the last return the columns of documents.  Between stages
-the rows are written as Parquet and read again.
+a DataFrame.  All but the last return the columns of documents, whatever their
+names, and keep their values.  Between stages the rows are written as Parquet and
+read again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import crc, free_name, hidden, shown, table, written
+from linework.llm.common import crc, free_name, hidden, hidden_name, shown, table, written
 from linework.llm.decontaminate import contamination, is_contaminated
 from linework.llm.jaccard import similarity_classes
 from linework.llm.mixing import mix, training_order
@@ -28,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels every line is content.  No rows give no rows.
     """
     chain = fit_chain(docs, table(spark, sf_dir, "labels"))
-    return label_lines(docs, chain).where("kept").select(*docs.columns)
+    return label_lines(docs.select(*hidden(docs)), chain, text=hidden_name(docs, "text")).where("kept").select(*shown(docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     A null or blank text is clean; equal rows have one fate; without items all stay.
     """
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where(~is_contaminated()).select(*docs.columns)
+    found = contamination(docs.select(*hidden(docs)), table(spark, sf_dir, "benchmark"), text=hidden_name(docs, "text"))
+    return found.where(~is_contaminated()).select(*shown(docs.columns))
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,8 @@ def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str)
     A document without words is in no pass.  Rows of one document are equal, as only
     the columns of docs are returned.  No rows give no rows.
     """
-    return training_order(mix(docs, cut="document")).select(*docs.columns)
+    source, key, text = (hidden_name(docs, c) for c in ("source", "doc_id", "text"))
+    return training_order(mix(docs.select(*hidden(docs)), "document", source, key, text)).select(*shown(docs.columns))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
