@@ -23,8 +23,8 @@ from linework.llm.textkernel import Words, blocks, constants, list_array, mix
 #: Labelled documents to fit on, and the most lines that one of them may have; bounds what the driver gets to about 25 MB.
 SAMPLE_DOCS = 2000
 SAMPLE_LINES = 200
-#: Probability that a line is content, in documents of quality 0 and 1.
-CONTENT_GIVEN = (0.2, 0.9)
+#: Probability that a line is content, in documents of quality 0 and 1: a good document says little about one of its lines.
+CONTENT_GIVEN = (0.1, 0.6)
 #: A document is kept if so many of its words, as a share, are in content lines.
 CONTENT_SHARE = 0.5
 FEATURES = ("one", "symbols", "capitals", "shouts", "bars", "echoes", "length", "digits", "stopped", "seen", "empty", "word size", "mostly capitals", "mostly symbols", "mostly echoes", "mostly bars", "mostly shouts")
