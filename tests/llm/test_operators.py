@@ -63,6 +63,7 @@ def test_line_counts(docs, rows):
             seen.add(line)
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), again, len(hit)), t
+        assert r["n_symbols"] == len(re.findall("[#*$%&|<>]", t))
         assert r["base_failed"] == (len(words) < 50 or 100 * len(hit) > 50 * len(words))
 
 
@@ -78,6 +79,29 @@ def test_decoding_against_all_sequences():
     assert chain.decode([]) == []
 
 
+def test_a_planted_footer_is_found(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    good = lambda: " ".join(word() for _ in range(12)).capitalize() + "."
+    junk = lambda: " ".join(word() + rng.choice(["***", "$$$", "%%%"]) for _ in range(12))
+    rows, labels = [], []
+    for i in range(200):
+        bad = i % 4 == 0
+        lines = [junk() for _ in range(7)] if bad else [good() for _ in range(8)] + ([junk()] if i % 3 == 0 else [])
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = quality.fit_chain(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    mixed = 0
+    for r in quality.label_lines(docs, chain).collect():
+        lines = r["text"].split("\n")
+        assert r["boilerplate_lines"] == [k for k, t in enumerate(lines) if re.search("[*$%]{3}", t)]
+        share = 1 - len(r["boilerplate_lines"]) / len(lines)
+        assert abs(r["content_share"] - share) < 1e-9 and r["kept"] == (not r["base_failed"] and share >= 0.5)
+        mixed += 0 < share < 1
+    assert mixed == sum(i % 3 == 0 and i % 4 > 0 for i in range(200))
+
+
 def test_fit_tells_junk_from_text():
     good, bad = quality.Lines(*pack(["A plain line of words.\nAnother one follows it."])), quality.Lines(*pack(["BUY!! NOW!! ### $$$\nAA!! BB!! ***"]))
     chain = quality.fit([good.features, bad.features] * 5, [1, 0] * 5)
@@ -177,6 +201,64 @@ def test_edited_notice_is_found(spark):
     assert [h["license"] for h in hit] == ["MIT"] and 0.8 <= hit[0]["containment"] < 1
 
 
+def brute_licenses(text, templates, k=5, containment=0.8):
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    words, out = split(text), []
+    for number, (_, t) in enumerate(templates):
+        w = split(t)
+        own = min(k, len(w))
+        if not own:
+            continue
+        wanted = {tuple(w[i : i + own]) for i in range(len(w) - own + 1)}
+        most = 1
+        while most < len(wanted):
+            most *= 2
+        step = max(1, most // 4)
+        size = -(-(most + step) // step) * step
+        have = [tuple(words[i : i + own]) for i in range(len(words) - own + 1)]
+        found = []
+        for at in range(0, len(have), step):
+            place = [i for i in range(at, min(at + size, len(have))) if have[i] in wanted]
+            share = len({have[i] for i in place}) / len(wanted)
+            if share >= containment:
+                a, b = place[0], place[-1] + own
+                if found and a < found[-1][0]:
+                    found[-1][0] = max(found[-1][0], b)
+                    if share > found[-1][1]:
+                        found[-1][1:] = [share, a, b]
+                else:
+                    found.append([b, share, a, b])
+        out += [(a, number, b, round(share, 9)) for _, share, a, b in found]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("per_pass", [5000, 3])
+def test_licenses_against_brute_force(spark, per_pass):
+    rng = random.Random(12)
+    templates = licenses.TEMPLATES[:16] + (("nested", licenses.TEMPLATES[3][1].split(", to any")[0]), ("none", "..."), ("null", None)) + licenses.tags()[:4]
+    noise = lambda n: " ".join(rng.choice(["a", "the", "software", "license", "zeta", "q"]) for _ in range(n))
+    texts = [None, "", noise(50)]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            w = (rng.choice(templates)[1] or "").split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if w:
+                    w[rng.randrange(len(w))] = "zeta"
+            parts += [noise(rng.randrange(30)), " ".join(w)]
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.find_licenses(df, templates, per_pass=per_pass).collect():
+        got = sorted((h["start"], h["template"], h["end"], round(h["containment"], 9)) for h in r["licenses"])
+        assert got == brute_licenses(texts[r["doc_id"]], templates), r["doc_id"]
+
+
+def test_nested_templates_are_one_notice_each(spark):
+    templates = (("outer", " ".join(f"w{i}" for i in range(60))), ("inner", " ".join(f"w{i}" for i in range(20, 40))))
+    df = spark.createDataFrame([(1, templates[0][1])], "doc_id long, text string")
+    assert [(h["license"], h["start"], h["end"]) for h in licenses.find_licenses(df, templates).first()["licenses"]] == [("outer", 0, 60), ("inner", 20, 40)]
+
+
 # 5
 
 
@@ -242,11 +324,21 @@ def test_url_rules(spark):
     assert urlfilter.judge(df, rules.limit(0)).where("rule IS NOT NULL OR listed").count() == 0
 
 
-def test_url_filter_as_a_table(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "LITERAL_BLOCKS", 0)
-    many = spark.range(500).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".org")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
-    df = spark.range(1000).select(F.concat(F.lit("http://a.h"), F.col("id").cast("string"), F.lit(".org/")).alias("url"))
-    assert urlfilter.judge(df, many).where("rule_verdict = 'block'").count() == 500
+def test_url_filter_of_thousands(spark):
+    many = spark.range(5000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".org")).alias("host"), F.lit("/a").alias("path"), F.lit(None).cast("string").alias("verdict"))
+    urls = spark.range(10_000).select("id", F.concat(F.lit("http://u:p@x.H"), F.col("id").cast("string"), F.lit(".org.:80/abc?q#"), F.repeat(F.lit("x"), 5000 * (F.col("id") == 3).cast("int"))).alias("url"))
+    got = urlfilter.judge(urls, many)
+    assert got.count() == 10_000 and got.where("listed").agg(F.count("*"), F.max("id")).first()[:] == (5000, 4999)
+    twice = urls.unionByName(urls).where("id = 7").union(spark.createDataFrame([(7, None)], "id long, url string"))
+    assert sorted(r["listed"] for r in urlfilter.judge(twice, many).collect()) == [False, True, True]
+    assert urlfilter.judge(urls.limit(0), many).count() == 0
+
+
+def test_longest_rule_wins_and_lists_are_canonical(spark):
+    rules = spark.createDataFrame([("com", "/a/long/path", "allow"), ("x.com", "/", "block"), ("x.com", "/a/long/path", "block"), ("y.com", "/", None), ("y.com", "/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    urls = ["http://x.com/a/long/path", "http://z.com/a/long/path", "http://q.x.com/b", "http://y.com", "http://y.com./", "https://me@y.com:8080"]
+    got = [(r["rule"], r["rule_verdict"], r["listed"]) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "id int, url string"), rules).orderBy("id").collect()]
+    assert got == [("x.com/a/long/path", "block", False), ("com/a/long/path", "allow", False), ("x.com/", "block", False), (None, None, True), (None, None, True), (None, None, True)]
 
 
 # 8
@@ -286,7 +378,6 @@ def test_a_term_does_not_hide_what_it_does_not_fire_on(spark, strong, weak, clea
     alone = toxicity.score_texts(spark.createDataFrame([(1, weak)], "doc_id long, text string"), scorer).first()
     assert weak in alone["terms"] or any(weak.startswith(t) and len(t) < len(weak) for t in alone["terms"])
     assert alone["predicted"] == 1
-    assert toxicity.telling([(b"ass", True), (b"asshole", True), (b"asshole", False), (b"vil", False), (b"vil", True), (b"vile", True)], 9) == [0, 1, 2, 3, 4]
 
 
 def test_copy_of_an_example_is_its_nearest(spark):
@@ -296,12 +387,47 @@ def test_copy_of_an_example_is_its_nearest(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
     scorer = toxicity.fit_scorer(docs, marks)
-    got = {r["doc_id"]: r for r in toxicity.score_texts(docs, scorer).collect()}
+    copies = {r["doc_id"]: r for r in toxicity.score_texts(docs.withColumn("doc_id", F.col("doc_id") + 1000), scorer).collect()}
+    own = {r["doc_id"]: r for r in toxicity.score_texts(docs, scorer).collect()}
     toxic = [i for i in scorer.ids if i % 10 == 0]
-    assert len(toxic) > 10 and not scorer.names
+    assert len(toxic) > 10
     for i in toxic:
-        near = got[i]["evidence"][0]
+        near = copies[i + 1000]["evidence"][0]
         assert (near["id"], near["label"]) == (i, 1) and abs(near["similarity"] - 1) < 1e-9
+        assert i not in [e["id"] for e in own[i]["evidence"]]  # labels are no input of their own row's score
+
+
+def test_similarities_are_cosines_over_all_terms(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
+    scorer = toxicity.fit_scorer(docs, marks)
+    learned = sorted(scorer.ids)
+    prefixes = {n for t, n in scorer.names.items() if t >= len(scorer.vocabulary)}
+    known = {w for i in learned for w in texts[i].split()}
+
+    def terms(t):
+        c = Counter()
+        for w in t.split():
+            c[("w", w)] += w in known
+            for n in range(3, 9):
+                c[("p", w[:n])] += len(w) > n and w[:n] in prefixes
+        return {k: v for k, v in c.items() if v}
+
+    of = [terms(t) for t in texts]
+    df = Counter(k for c in of for k in c)
+    extra = {(("p" if t >= len(scorer.vocabulary) else "w"), n): scorer.weights[t] / (np.log((1 + len(texts)) / (1 + df[("p" if t >= len(scorer.vocabulary) else "w", n)])) + 1) for t, n in scorer.names.items()}
+    assert all(v > 1 for v in extra.values())
+    vector = lambda c: {k: (1 + np.log(v)) * (np.log((1 + len(texts)) / (1 + df[k])) + 1) * extra.get(k, 1) for k, v in c.items()}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    vectors = [vector(c) for c in of]
+    for r in toxicity.score_texts(docs, scorer).collect():
+        i = r["doc_id"]
+        best = sorted((sum(x * vectors[e].get(k, 0) for k, x in vectors[i].items()) / (norm(vectors[i]) * norm(vectors[e])) for e in learned if e != i), reverse=True)
+        want = [s for s in best if s > 1e-12][: toxicity.NEIGHBOURS]
+        assert np.allclose([e["similarity"] for e in r["evidence"]], want, atol=1e-9), i
 
 
 def test_index_against_brute_force():
