@@ -34,9 +34,10 @@ MIN_CHI_SQUARE = 25.0
 #: The chi square of a term in fewer examples than this says nothing.
 MIN_EXAMPLES = 5
 NEIGHBOURS = 25
-BLOCK = 64
-#: Blocks opened at first; each later round opens up to four times as many.
-FIRST_BLOCKS = 8
+BLOCK = 256
+#: Blocks opened at first; each later round opens up to GROWTH times as many.
+FIRST_BLOCKS = 2
+GROWTH = 16
 #: What the distance 1 - cosine is raised by in a vote of cosine / distance.
 NEAR = 1e-3
 #: Different texts whose scores a task remembers, each with NEIGHBOURS examples (about 10 MB in all).
@@ -151,7 +152,7 @@ class BlockMaxIndex:
             now = now[(bound[now] > 0) & (bound[now] >= least)]
             if not len(now):
                 break
-            at, size = at + size, size * 4
+            at, size = at + size, size * GROWTH
             opened = np.zeros(self.blocks, dtype=bool)
             opened[now] = True
             mine = opened[block]
