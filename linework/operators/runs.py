@@ -88,6 +88,23 @@ def all_runs(horizontal: DataFrame, vertical: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def runs_of(pixels: DataFrame) -> DataFrame:
+    """all_runs of the pixels' horizontal and vertical runs, from one pass over the pixels.
+
+    A pixel stands in its column and in its row; a run of one pixel in both is met twice.
+    """
+    ways = F.expr("explode(array(struct(0 AS rank, col AS fixed, row AS along), struct(1 AS rank, row AS fixed, col AS along)))")
+    stood = pixels.select(*TILE, "rgb", ways.alias("w__")).select(*TILE, "rgb", "w__.*")
+    islands = stood.withColumn("island", F.col("along") - F.row_number().over(Window.partitionBy(*TILE, "rank", "fixed", "rgb").orderBy("along")))
+    found = islands.groupBy(*TILE, "rank", "fixed", "rgb", "island").agg(F.min("along").alias("a"), F.max("along").alias("b"))
+    at = lambda end: (F.expr(f"CASE WHEN rank = 0 THEN {end} ELSE fixed END"), F.expr(f"CASE WHEN rank = 0 THEN fixed ELSE {end} END"))
+    (r1, c1), (r2, c2) = at("a"), at("b")
+    found = found.select(*TILE, r1.alias("r1"), c1.alias("c1"), r2.alias("r2"), c2.alias("c2"), "rgb", "rank")
+    met = found.groupBy(*TILE, "r1", "c1", "r2", "c2", "rgb").agg(F.count("*").alias("n"), F.min("rank").alias("rank"))
+    long = "NOT (r1 = r2 AND c1 = c2)"
+    return met.where(f"{long} OR n = 2").select(*TILE, "r1", "c1", "r2", "c2", "rgb", F.expr(f"CASE WHEN {long} THEN rank ELSE 2 END").alias("rank"))
+
+
 def dominant_color(runs: DataFrame, pixels: DataFrame) -> DataFrame:
     """runs (r1, c1, r2, c2) with the most frequent colour of their pixels, the first met of equals."""
     cells = runs.withColumn("p__", F.explode(F.expr("sequence(0L, greatest(r2 - r1, c2 - c1))")))
@@ -108,7 +125,8 @@ def diagonal_touch(runs: DataFrame, contour: DataFrame) -> DataFrame:
     corners = F.expr("array(struct(r1 - 1 AS row, c1 - 1 AS col, true AS pos), struct(r2 + 1 AS row, c2 + 1 AS col, true AS pos), struct(r2 + 1 AS row, c1 - 1 AS col, false AS pos), struct(r1 - 1 AS row, c2 + 1 AS col, false AS pos))")
     own = [*TILE, "r1", "c1", "r2", "c2", "rgb", "rank"]
     spread = runs.select(*own, F.explode(corners).alias("k")).select(*own, F.col("k.row").alias("row"), F.col("k.col").alias("col"), F.col("k.pos").alias("pos"))
-    hits = spread.join(contour.select(*TILE, "row", "col", "rgb", F.lit(True).alias("hit")), [*TILE, "row", "col", "rgb"], "left")
+    # Merge joins here and below: what a plan expects of exploded rows is too little to broadcast by.
+    hits = spread.join(contour.select(*TILE, "row", "col", "rgb", F.lit(True).alias("hit")).hint("merge"), [*TILE, "row", "col", "rgb"], "left")
     touch = lambda side: F.coalesce(F.bool_or(F.col("hit") & (F.col("pos") == F.lit(side))), F.lit(False))
     return hits.groupBy(*own).agg(touch(True).alias("dir_pos"), touch(False).alias("dir_neg"))
 
@@ -133,8 +151,7 @@ def extract_elines(pixels: DataFrame) -> DataFrame:
     """Strokes of tiled pixels (image_id, tile_r, tile_c, row, col, rgb)."""
     contour = contour_pixels(nonwhite(pixels).repartition(*TILE))
     ink = ink_mask(contour)
-    runs = all_runs(horizontal_runs(ink), vertical_runs(ink))
-    return number_elines(split_both_ways(run_attributes(diagonal_touch(runs, contour)))).select(*ELINE)
+    return number_elines(split_both_ways(run_attributes(diagonal_touch(runs_of(ink), contour)))).select(*ELINE)
 
 
 def lines_to_pixels(elines: DataFrame, interior: bool = False) -> DataFrame:
@@ -147,7 +164,7 @@ def lines_to_pixels(elines: DataFrame, interior: bool = False) -> DataFrame:
 
 def residue_pixels(contour: DataFrame, elines: DataFrame) -> DataFrame:
     """Contour pixels that no stroke covers."""
-    return contour.join(lines_to_pixels(elines).distinct(), [*TILE, "row", "col"], "left_anti")
+    return contour.join(lines_to_pixels(elines).distinct().hint("merge"), [*TILE, "row", "col"], "left_anti")
 
 
 def volume_histogram(elines: DataFrame) -> DataFrame:
@@ -158,19 +175,20 @@ def thin_mask(ink: DataFrame) -> DataFrame:
     """Pixels that a 3 x 3 closing of the ink adds; ink is (image_id, row, col) and the image is the box of its ink.
 
     Dilation spreads each pixel to its nine neighbours in the image; erosion
-    keeps a pixel whose neighbours in the image are all set.
+    keeps a pixel whose neighbours in the image are all set.  Pixels keep whether
+    they are ink themselves, so the ink is read once and once for the boxes.
     """
     box = ink.groupBy("image_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    near = F.expr("explode(flatten(transform(sequence(-1, 1), dr -> transform(sequence(-1, 1), dc -> struct(dr, dc)))))")
-    inside = "row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1"
+    near = F.expr(f"explode(array({', '.join(f'struct({dr} AS dr, {dc} AS dc)' for dr in (-1, 0, 1) for dc in (-1, 0, 1))}))")
+    limits = ["r0", "r1", "c0", "c1"]
 
     def spread(df: DataFrame) -> DataFrame:
-        out = df.select("image_id", "row", "col", near.alias("o"))
-        out = out.select("image_id", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-        return out.join(box, "image_id").where(inside)
+        """Each pixel's set neighbours by their number n; own: whether it is ink."""
+        out = df.select("image_id", "row", "col", "own", *limits, near.alias("o"))
+        out = out.select("image_id", F.expr("row + o.dr").alias("row"), F.expr("col + o.dc").alias("col"), F.expr("own AND o.dr = 0 AND o.dc = 0").alias("own"), *limits)
+        out = out.where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+        return out.groupBy("image_id", "row", "col").agg(F.count("*").alias("n"), F.bool_or("own").alias("own"), *[F.min(c).alias(c) for c in limits])
 
-    wide = spread(ink).select("image_id", "row", "col").distinct()
-    held = spread(wide).groupBy("image_id", "row", "col", "r0", "r1", "c0", "c1").agg(F.count("*").alias("n"))
+    held = spread(spread(ink.join(box.hint("merge"), "image_id").withColumn("own", F.lit(True))))
     expected = "(least(row + 1, r1) - greatest(row - 1, r0) + 1) * (least(col + 1, c1) - greatest(col - 1, c0) + 1)"
-    closed = held.where(f"n = {expected}").select("image_id", "row", "col")
-    return closed.join(ink, ["image_id", "row", "col"], "left_anti")
+    return held.where(f"n = {expected} AND NOT own").select("image_id", "row", "col")

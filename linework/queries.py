@@ -266,8 +266,7 @@ def c1_contour_pixels(spark, d):
 @query(f"{TOUCH} SELECT {T}, r1, c1, r2, c2, rgb, dir_pos, dir_neg FROM touched")
 def c2_diagonal_touch(spark, d):
     edge = contour(spark, d)
-    found = runs.all_runs(runs.horizontal_runs(edge), runs.vertical_runs(edge))
-    return runs.diagonal_touch(found, edge).drop("rank")
+    return runs.diagonal_touch(runs.runs_of(edge), edge).drop("rank")
 
 
 @query(f"{TRIMMED} SELECT {ELINE} FROM tr")
@@ -605,7 +604,7 @@ def h9_same_orientation(spark, d):
 @query(f"{RUNS} SELECT {T}, r1, c1, r2, c2, rgb, c2 - c1 AS k1, r2 - r1 AS k2, greatest(c2 - c1, r2 - r1) + 1 AS volume, CASE WHEN r1 = r2 AND c1 = c2 THEN 'dot' ELSE 'line' END AS kind FROM runs")
 def h10_run_attributes(spark, d):
     edge = contour(spark, d)
-    found = runs.run_attributes(runs.all_runs(runs.horizontal_runs(edge), runs.vertical_runs(edge)))
+    found = runs.run_attributes(runs.runs_of(edge))
     return found.select(*TILE, "r1", "c1", "r2", "c2", "rgb", "k1", "k2", "volume", "kind")
 
 

@@ -254,3 +254,39 @@ def test_one_exchange_from_tiles_to_runs(spark):
     df = spark.createDataFrame([(1, 0, 0, 255)], "image_id long, row long, col long, rgb int")
     plan = runs.horizontal_runs(runs.contour_pixels(runs.assign_tiles(df, 8).repartition("image_id", "tile_r", "tile_c")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def random_tile_pixels(spark, seed):
+    rng = random.Random(seed)
+    cells = {(i, r, c): rng.choice((255, 65280)) for i in (1, 2) for r in range(14) for c in range(14) if rng.random() < 0.6}
+    return cells, spark.createDataFrame([(*k, v) for k, v in cells.items()], "image_id long, row long, col long, rgb int")
+
+
+def test_runs_in_one_pass_are_those_of_both_ways(spark):
+    _, df = random_tile_pixels(spark, 5)
+    ink = runs.assign_tiles(df, 8).repartition("image_id", "tile_r", "tile_c")
+    one, two = runs.runs_of(ink), runs.all_runs(runs.horizontal_runs(ink), runs.vertical_runs(ink))
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(*one.columns).collect()))
+    assert runs.runs_of(ink.where("rgb < 0")).count() == 0
+
+
+def test_strokes_are_not_joined_by_broadcast(spark):
+    _, df = random_tile_pixels(spark, 6)
+    elines = runs.extract_elines(runs.assign_tiles(df, 8))
+    for made in (elines, links.trim_overlaps(elines), runs.thin_mask(df), links.link_endpoints(elines, ["image_id", "tile_r", "tile_c"], "eline_id", 1)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closing_against_brute_force(spark):
+    cells, df = random_tile_pixels(spark, 7)
+    want = set()
+    for i in (1, 2):
+        ink = {(r, c) for k, r, c in cells if k == i}
+        rows, cols = [r for r, _ in ink], [c for _, c in ink]
+        box = {(r, c) for r in range(min(rows), max(rows) + 1) for c in range(min(cols), max(cols) + 1)}
+        around = lambda p: {(p[0] + dr, p[1] + dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)} & box  # noqa: B023, E731
+        wide = {q for p in ink for q in around(p)}
+        want |= {(i, *p) for p in box - ink if around(p) <= wide}
+    assert {tuple(r) for r in runs.thin_mask(df.select("image_id", "row", "col")).collect()} == want and want
+    assert runs.thin_mask(df.select("image_id", "row", "col").limit(0)).count() == 0
