@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import table
+from linework.llm.common import WORD_PATTERN, table
 from linework.llm.textkernel import Words, blocks, constants, list_array, mix
 
 #: Labelled documents to fit on, and the most lines that one of them may have; bounds what the driver gets to about 25 MB.
@@ -216,7 +216,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lin
     picked = labels.select(F.col(key).alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     picked = picked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
-    rows = rows.where((F.length(F.trim("text")) > 0) & (F.regexp_count("text", F.lit("\n")) < lines))
+    rows = rows.where(F.col("text").rlike(WORD_PATTERN) & (F.regexp_count("text", F.lit("\n")) < lines))
     rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("id", "y", "least.text")
 
     def run(batches):
