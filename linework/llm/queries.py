@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linework.llm import decontaminate, jaccard, licenses, mixing, quality, repeats, sharding, toxicity, urlfilter, warc
+from linework.llm import decontaminate, jaccard, licenses, mixing, packing, quality, repeats, resampling, sharding, toxicity, urlfilter, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_repeats": repeats.op10_repeats,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLES = {
@@ -24,4 +27,5 @@ ORACLES = {
     "op6_mixing": mixing.OP6_SQL,
     "op7_urlfilter": urlfilter.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_resampling": resampling.OP11_SQL,
 }
