@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import bisect
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.llm.common import table, written
-from linework.llm.textkernel import Words, blocks
+from linework.llm.textkernel import WORD_NON_BLANK, blocks
 
 CAPACITY = 2048
 #: Id that ends a document.
@@ -44,45 +46,85 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_bytes = np.arange(256)
+_LETTER = ((_bytes | 32) >= 97) & ((_bytes | 32) <= 122) & (_bytes < 128)
+_MARK = (_bytes < 128) & WORD_NON_BLANK & ~_LETTER
+#: Letters up to here have neither combining marks nor special rules of case.
+_LATIN = "\u0250"
+#: The characters by which byte-level vocabularies spell bytes: printable ones themselves, the others from 256 on.
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_printable)))}
+
+
 class Encoder:
-    """Ids of blocks of texts for a tokenizer that never joins words across blanks; each spelling is encoded once."""
+    """Ids of blocks of texts, each spelling encoded once, for a tokenizer that splits at blanks and between letters, digits and marks, with contractions as 's apart.
+
+    Texts are cut at blanks and between ASCII letters and marks, but for the letters
+    behind an apostrophe.  Pieces of Latin letters alone are one word to the tokenizer
+    and go to its model directly.
+    """
 
     def __init__(self, path: str):
         self.path = path
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, spellings: list[str]) -> None:
-        new = [s for s in spellings if s not in self.known]
-        if not new:
-            return
-        found = [e.ids for e in tokenizer(self.path).encode_batch(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], dtype=np.int64)])
+    def learn(self, new: pa.Array) -> None:
+        full = tokenizer(self.path)
+        model, found, rest = full.model.tokenize, [], []
+        for k, s in enumerate(new.to_pylist()):
+            if s.isalpha() and s.isascii():
+                found.append([t.id for t in model(s.lower())])
+            elif s.isalpha() and max(s) < _LATIN and "\u0130" not in s:
+                found.append([t.id for t in model(s.lower().encode().decode("latin-1").translate(_SPELLED))])
+            else:
+                rest.append((k, s))
+                found.append(None)
+        for (k, _), e in zip(rest, full.encode_batch([s for _, s in rest], add_special_tokens=False)):
+            found[k] = e.ids
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), dtype=np.int64)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in found])])
 
+    def codes(self, spellings: pa.Array) -> np.ndarray:
+        """The numbers of spellings, new ones learnt."""
+        held = pc.index_in(spellings, value_set=self.known)
+        code = held.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            code[new] = len(self.known) + np.arange(len(new))
+            self.learn(spellings.take(pa.array(new)))
+        return code
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, each with end at its end, and the rows' offsets."""
-        words = Words(data, offsets)
         rows = len(offsets) - 1
         if len(self.known) > CACHE:
             self.clear()
-        # A word reaches to the next word's start; the blanks behind it have no ids.
-        at = np.append(words.starts, len(data)).astype(np.int64)
-        spelled = pa.LargeStringArray.from_buffers(len(words.starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        spellings = spelled.dictionary.to_pylist()
-        self.learn(spellings)
-        code = np.array([self.known[s] for s in spellings], dtype=np.int64)[spelled.indices.to_numpy(zero_copy_only=False)] if spellings else np.zeros(0, np.int64)
-        # Each row has its end as one more item behind its words.
+        inside = WORD_NON_BLANK[data]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        if b"<|" not in data.tobytes():  # such may begin a special token
+            letter, mark = _LETTER[data], _MARK[data]
+            begin[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & (data[:-1] != 39) & letter[1:])
+        edges = offsets[:-1][offsets[:-1] < len(data)]
+        begin[edges] = inside[edges]
+        starts = np.flatnonzero(begin)
+        begins = np.searchsorted(starts, offsets)
+        # Without the blanks the pieces follow each other, as Arrow has strings.
+        at = np.append(np.cumsum(inside)[starts] - 1, np.count_nonzero(inside)).astype(np.int64)
+        spelled = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data[inside])).dictionary_encode()
+        code = self.codes(spelled.dictionary)[spelled.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
+        # Each row has its end as one more item behind its pieces.
         first, size = self.ends[code], np.diff(self.ends)[code] if len(code) else np.zeros(0, np.int64)
-        first = np.insert(first, words.first[1:], -1)
-        size = np.insert(size, words.first[1:], 1)
+        first = np.insert(first, begins[1:], -1)
+        size = np.insert(size, begins[1:], 1)
         begun = np.concatenate([[0], np.cumsum(size)])
         place = np.repeat(first - begun[:-1], size) + np.arange(begun[-1])
-        closing = begun[words.first[1:] + np.arange(rows)]
+        closing = begun[begins[1:] + np.arange(rows)]
         place[closing] = 0
         ids = self.flat[place] if len(self.flat) else np.zeros(len(place), np.int64)
         ids[closing] = end

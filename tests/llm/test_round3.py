@@ -208,3 +208,14 @@ def test_spellings_are_forgotten(monkeypatch):
     for text in ("one two three four", "two five", "", "six seven eight nine ten"):
         data = np.frombuffer(text.encode(), np.uint8)
         assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_ids_are_the_tokenizer_s():
+    rng = random.Random(4)
+    pieces = ["don't", "''s", "'S", "it's", "!!'t", "--", "x9", "9", "é", "É", "ß", "İ", "ΑΣ", "Σ", "e\u0301", "\u0301", "日本", "ab", "ABC", ".", "'", "<|", "|>", "<|endoftext|>", "\x85", "\u2003", "ñandú", "Ǆ", "ŉ", "\x00", "_", "𝒜", "\xad", "ª", "naïve", "'ll", "'re", "q'", "ſ"]
+    encoder, plain = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    for k in range(400):
+        text = "".join(rng.choice([*pieces, " ", "\n"]) for _ in range(rng.randrange(0, 30)))
+        text = text.replace("<|", "") if k % 2 else text
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids + [1], text
