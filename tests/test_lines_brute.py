@@ -196,6 +196,8 @@ def test_local_components_are_the_components(spark):
     for t in range(5):
         want = {r["node"]: r["component"] for r in connected_components(df.where(f"t = {t}")).collect()}
         assert {n: c for (k, n), c in got.items() if k == t} == want
+    for chunk in (1, 7, 45):  # stars take the place of edges ever so often
+        assert {((r["t"], r["node"]), r["component"]) for r in local_components(df, ["t"], chunk).collect()} == set(got.items())
     assert local_components(df.limit(0), ["t"]).count() == 0
     import numpy as np
 
