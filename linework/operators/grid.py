@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linework.operators.components import written
+
 NEIGHBOURHOODS = {
     "plus": [(0, 0), (0, -1), (1, 0), (0, 1), (-1, 0)],
     "full": [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)],
@@ -34,15 +36,18 @@ def lines_to_cells(lines: DataFrame, grid: int) -> DataFrame:
     The cells are the first one and one for each grid line crossed.  Crossing k
     of a vertical grid line lies at a share a_k / |dx| of the way and crossing m
     of a horizontal one at b_m / |dy|; the cell after a crossing counts the
-    crossings of the other axis before it, a tie going to the row first.
+    crossings of the other axis before it, a tie going to the row first.  As a_k and
+    b_m grow by one cell each time, that count is a whole division, so a line costs as
+    much as it has cells.
     """
     rows = lines.join(grid_shape(lines, grid), "image_id")
     rows = rows.withColumns({k: cell_of(F.col(v), F.col(n), grid) for k, v, n in (("i0", "x1", "grid_x"), ("i1", "x2", "grid_x"), ("j0", "y1", "grid_y"), ("j1", "y2", "grid_y"))})
     rows = rows.withColumns({"adx": F.expr("abs(x2 - x1)"), "ady": F.expr("abs(y2 - y1)"), "sx": F.expr("CASE WHEN i1 >= i0 THEN 1L ELSE -1L END"), "sy": F.expr("CASE WHEN j1 >= j0 THEN 1L ELSE -1L END")})
-    rows = rows.withColumn("ax", F.expr(f"CASE WHEN i1 = i0 THEN array() ELSE transform(sequence(0L, abs(i1 - i0) - 1), k -> abs((i0 + CASE WHEN sx > 0 THEN 1 ELSE 0 END + sx * k) * {grid} - x1)) END"))
-    rows = rows.withColumn("ay", F.expr(f"CASE WHEN j1 = j0 THEN array() ELSE transform(sequence(0L, abs(j1 - j0) - 1), k -> abs((j0 + CASE WHEN sy > 0 THEN 1 ELSE 0 END + sy * k) * {grid} - y1)) END"))
-    over_x = "transform(ax, (a, k) -> struct(i0 + sx * (k + 1) AS i, j0 + sy * size(filter(ay, b -> b * adx <= a * ady)) AS j))"
-    over_y = "transform(ay, (b, m) -> struct(i0 + sx * size(filter(ax, a -> a * ady < b * adx)) AS i, j0 + sy * (m + 1) AS j))"
+    rows = rows.withColumns({"nx": F.expr("abs(i1 - i0)"), "ny": F.expr("abs(j1 - j0)"), "a0": F.expr(f"abs((i0 + CASE WHEN sx > 0 THEN 1 ELSE 0 END) * {grid} - x1)"), "b0": F.expr(f"abs((j0 + CASE WHEN sy > 0 THEN 1 ELSE 0 END) * {grid} - y1)")})
+    before_x = f"greatest(0L, least(ny, ((a0 + k * {grid}) * ady - b0 * adx + {grid} * adx) div ({grid} * adx)))"
+    before_y = f"greatest(0L, least(nx, ((b0 + m * {grid}) * adx - a0 * ady + {grid} * ady - 1) div ({grid} * ady)))"
+    over_x = f"CASE WHEN nx = 0 THEN array() ELSE transform(sequence(0L, nx - 1), k -> struct(i0 + sx * (k + 1) AS i, j0 + sy * {before_x} AS j)) END"
+    over_y = f"CASE WHEN ny = 0 THEN array() ELSE transform(sequence(0L, ny - 1), m -> struct(i0 + sx * {before_y} AS i, j0 + sy * (m + 1) AS j)) END"
     rows = rows.withColumn("cell", F.explode(F.expr(f"array_distinct(concat(array(struct(i0 AS i, j0 AS j)), {over_x}, {over_y}))")))
     return rows.select("image_id", F.col("cell.j").alias("cell_r"), F.col("cell.i").alias("cell_c"), "line_id")
 
@@ -65,18 +70,68 @@ def line_centres(cells: DataFrame, neighbourhood: str = "plus") -> DataFrame:
     return spread.distinct().join(occupied, ["image_id", "cr", "cc"], "left_semi")
 
 
-def pair_join(lines: DataFrame, grid: int, pattern, neighbourhood: str = "plus", equal: tuple[str, ...] = ()) -> DataFrame:
+#: A cell of more lines is compared by several tasks, and by finer cells where the pattern has a reach.
+CELL_LINES = 2_000
+#: Finer cells are so many times narrower, but no narrower than the reach.
+FINER = 16
+
+
+def _side(rows: DataFrame, keys: list[str], blocks: DataFrame | None, own: str, other: str) -> DataFrame:
+    """rows dealt for one side of a join of cells with themselves: a row is in one of the blocks of its cell and meets each of the other side's."""
+    if blocks is None:
+        return rows.withColumns({own: F.lit(0), other: F.lit(0)})
+    dealt = rows.join(blocks.hint("merge"), keys, "left").withColumn("k__", F.coalesce("k__", F.lit(1)))
+    return dealt.withColumns({own: F.pmod(F.xxhash64("line_id"), F.col("k__")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col("k__") - 1))}).drop("k__")
+
+
+def _blocks(rows: DataFrame, keys: list[str], bound: int) -> DataFrame | None:
+    """(keys, k__): how many blocks the cells of more than bound lines are cut in; None without such cells."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n__")).where(F.col("n__") > bound)
+    full = written(counted.select(*keys, F.ceil(F.col("n__") / F.lit(bound)).cast("int").alias("k__")), "full-cells")
+    return None if full.isEmpty() else full
+
+
+def _meeting(left: DataFrame, right: DataFrame, keys: list[str], blocks: DataFrame | None, pattern) -> DataFrame:
+    """(image_id, src, dst), src < dst, of rows of a shared cell for which pattern holds; each pair of blocks of a cell is a key of its own."""
+    a, b = _side(left, keys, blocks, "ca", "cb").alias("a"), _side(right, keys, blocks, "cb", "ca").alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "ca", "cb")]
+    pairs = a.join(b, [*on, F.col("a.line_id") < F.col("b.line_id")]).where(pattern("a", "b"))
+    return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.line_id").alias("src"), F.col("b.line_id").alias("dst")).distinct()
+
+
+def _close_pairs(lines: DataFrame, side: int, pattern, equal: tuple[str, ...]) -> DataFrame:
+    """Pairs for which pattern holds among lines no farther apart than side: they run through the same or neighbouring cells of that side."""
+    cells = written(lines_to_cells(lines, side).join(lines, ["image_id", "line_id"]), "fine-cells")
+    near = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in NEIGHBOURHOODS["full"]])
+    around = cells.withColumn("o__", F.explode(near)).withColumns({"cell_r": F.col("cell_r") + F.col("o__.dr"), "cell_c": F.col("cell_c") + F.col("o__.dc")}).drop("o__").distinct()
+    keys = ["image_id", "cell_r", "cell_c", *equal]
+    return _meeting(cells, around, keys, _blocks(around, keys, CELL_LINES), pattern)
+
+
+def pair_join(lines: DataFrame, grid: int, pattern, neighbourhood: str = "plus", equal: tuple[str, ...] = (), reach: int | None = None) -> DataFrame:
     """(image_id, src, dst) with src < dst: pairs sharing a cell neighbourhood for which pattern holds.
 
     pattern takes the aliases of the two sides and returns a Column.  Columns in
     equal must be the same on both sides and are part of the join key.  The
     predicate is applied before pairs met in several cells are made distinct.
+
+    Cells of more than CELL_LINES lines have other ways with the same outcome.  With a
+    reach, the most that lines can be apart where pattern holds, their lines are
+    compared by finer cells, and a pair counts if both share such a cell's
+    neighbourhood.  Without one, and where finer cells are too full as well, a cell's
+    lines are cut in blocks, and each two blocks are a key of their own.
     """
-    keyed = line_centres(lines_to_cells(lines, grid), neighbourhood).join(lines, ["image_id", "line_id"])
-    a, b = keyed.alias("a"), keyed.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("image_id", "cr", "cc", *equal)]
-    pairs = a.join(b, [*on, F.col("a.line_id") < F.col("b.line_id")]).where(pattern("a", "b"))
-    return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.line_id").alias("src"), F.col("b.line_id").alias("dst")).distinct()
+    keyed = written(line_centres(lines_to_cells(lines, grid), neighbourhood).join(lines, ["image_id", "line_id"]), "centres")
+    keys = ["image_id", "cr", "cc", *equal]
+    full = _blocks(keyed, keys, CELL_LINES)
+    if full is None or reach is None:
+        return _meeting(keyed, keyed, keys, full, pattern)
+    light = keyed.join(full.hint("merge"), keys, "left_anti")
+    dense = written(keyed.join(full.drop("k__").hint("merge"), keys), "dense")
+    close = _close_pairs(dense.select(*lines.columns).distinct(), max(reach, grid // FINER), pattern, equal)
+    of = lambda c: dense.select("image_id", "cr", "cc", F.col("line_id").alias(c))
+    shared = close.join(of("src"), ["image_id", "src"]).join(of("dst"), ["image_id", "dst", "cr", "cc"], "left_semi").select("image_id", "src", "dst")
+    return _meeting(light, light, keys, None, pattern).unionByName(shared).distinct()
 
 
 def grid_candidates(lines: DataFrame, grid: int, neighbourhood: str = "plus") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def drop_black_lines(lines: DataFrame) -> DataFrame:
 def connect_pairs(lines: DataFrame, params: Params = DEFAULTS, ends: bool = True, middles: bool = True, crossing: bool = False, colour: bool = True, neighbourhood: str = "plus") -> DataFrame:
     """(image_id, src, dst): pairs of lines that connect."""
     rule = lambda a, b: connected(segment(a), segment(b), params.connect_eps, ends, middles, crossing)
-    return pair_join(with_rgb(lines), params.grid, rule, neighbourhood, ("rgb",) if colour else ())
+    return pair_join(with_rgb(lines), params.grid, rule, neighbourhood, ("rgb",) if colour else (), max(1, math.ceil(params.connect_eps)))
 
 
 def line_components(edges: DataFrame) -> DataFrame:
@@ -50,9 +52,9 @@ def group_members(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("line_id")).alias("lines"))
 
 
-def detect_pairs(lines: DataFrame, pattern, params: Params = DEFAULTS, neighbourhood: str = "plus") -> DataFrame:
-    """Pairs for which the caller's pattern holds."""
-    return pair_join(lines, params.grid, pattern, neighbourhood)
+def detect_pairs(lines: DataFrame, pattern, params: Params = DEFAULTS, neighbourhood: str = "plus", reach: int | None = None) -> DataFrame:
+    """Pairs for which the caller's pattern holds; reach as for pair_join()."""
+    return pair_join(lines, params.grid, pattern, neighbourhood, reach=reach)
 
 
 def neighbor_lists(edges: DataFrame) -> DataFrame:
