@@ -300,21 +300,111 @@ def c7_leftover_hits(spark, d):
     return links.leftover_hits(all_of.where("volume <= 3"), all_of.where("volume > 3").withColumnRenamed("eline_id", "line_id"))
 
 
+#: For each order line two dashes of one slope or nearly, and between or beside them a leftover that meets one of them, both, or none.
+DASHES = """SELECT CAST(ok AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS tile_r, CAST(0 AS BIGINT) AS tile_c, CAST(2 * ln AS BIGINT) AS line_id, CAST(pk % 7 AS BIGINT) AS x1, CAST(60 * ln AS BIGINT) AS y1,
+  CAST(pk % 7 + 5 AS BIGINT) AS x2, CAST(60 * ln + 5 + sk % 4 AS BIGINT) AS y2, CASE WHEN rf = 'A' THEN 255 ELSE 65280 END AS rgb FROM base
+UNION ALL SELECT CAST(ok AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(2 * ln + 1 AS BIGINT), CAST(pk % 7 + 7 AS BIGINT), CAST(60 * ln + 7 + sk % 4 AS BIGINT), CAST(pk % 7 + 12 AS BIGINT), CAST(60 * ln + 12 + sk % 4 + q % 6 AS BIGINT), CASE WHEN rf = 'R' THEN 65280 WHEN rf = 'A' THEN 255 ELSE 65280 END FROM base"""
+LEFT = """SELECT CAST(ok AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS tile_r, CAST(0 AS BIGINT) AS tile_c, CAST(ln AS BIGINT) AS eline_id, CAST(pk % 7 + CASE q % 3 WHEN 0 THEN 6 WHEN 1 THEN 13 ELSE 30 END AS BIGINT) AS x1, CAST(60 * ln + sk % 4 + CASE q % 3 WHEN 0 THEN 6 WHEN 1 THEN 12 + q % 6 ELSE 30 END AS BIGINT) AS y1,
+  CAST(pk % 7 + CASE q % 3 WHEN 0 THEN 6 WHEN 1 THEN 15 ELSE 31 END AS BIGINT) AS x2, CAST(60 * ln + sk % 4 + CASE q % 3 WHEN 0 THEN 6 WHEN 1 THEN 12 + q % 6 ELSE 30 END AS BIGINT) AS y2, CASE WHEN rf = 'A' THEN 255 ELSE 65280 END AS rgb FROM base"""
 SLOPE = "CASE WHEN {0}x1 = {0}x2 THEN 'inf'::DOUBLE ELSE ({0}y2 - {0}y1)::DOUBLE / ({0}x2 - {0}x1) END"
 ANGLE = """CASE WHEN m1 * m2 = -1 THEN 90.0::DOUBLE ELSE degrees(atan(abs((m1 - m2) / (1 + m1 * m2)))) END"""
 APART = "(least(ax1, ax2) > greatest(bx1, bx2) OR greatest(ax1, ax2) < least(bx1, bx2) OR least(ay1, ay2) > greatest(by1, by2) OR greatest(ay1, ay2) < least(by1, by2))"
 
 
-#: Strokes in coordinates of the image, numbered: those cut by a tile border go on in each other.
-LINES = f"""{ELINES.replace("WITH ", "WITH RECURSIVE ", 1)}, moved AS (SELECT image_id, tile_r, tile_c, x1 + tile_c * {TILE_SIZE} AS x1, y1 + tile_r * {TILE_SIZE} AS y1, x2 + tile_c * {TILE_SIZE} AS x2, y2 + tile_r * {TILE_SIZE} AS y2, rgb FROM el),
-lines AS (SELECT * FROM (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY tile_r, tile_c, x1, y1, x2, y2, rgb) - 1 AS line_id, x1, y1, x2, y2, rgb FROM moved) WHERE (x2 - x1) ** 2 + (y2 - y1) ** 2 > 9)"""
-MERGES = f"""{LINES}, ends AS (SELECT image_id, line_id, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, line_id, x2, y2 FROM lines), own AS (SELECT image_id, x, y, max(line_id) AS dst FROM ends GROUP BY ALL),
-lk AS (SELECT DISTINCT e.image_id, line_id AS src, dst FROM (SELECT *, unnest(range(-3, 4)) AS dx FROM ends) e CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) o JOIN own ON own.image_id = e.image_id AND own.x = e.x + e.dx AND own.y = e.y + dy WHERE line_id <> dst),
-p AS (SELECT lk.*, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, a.rgb AS ca, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.rgb AS cb FROM lk JOIN lines a ON a.image_id = lk.image_id AND a.line_id = src JOIN lines b ON b.image_id = lk.image_id AND b.line_id = dst),
+TS = ", ".join("{0}." + c for c in TILE)
+
+
+def on(a: str, b: str, keys=TILE) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+
+
+def reach_sql(name: str, nodes: str, node: str, edges: str, keys=TILE) -> str:
+    """SQL: name (keys, node, component) of the nodes linked by edges (keys, src, dst); the recursion gathers all that a node reaches."""
+    k = ", ".join(keys)
+    return f"""{name}_sym AS (SELECT {k}, src AS u, dst AS v FROM {edges} UNION SELECT {k}, dst, src FROM {edges}),
+{name}_reach({k}, x, y) AS (SELECT {k}, {node}, {node} FROM {nodes} UNION SELECT {", ".join("r." + c for c in keys)}, r.x, s.v FROM {name}_reach r JOIN {name}_sym s ON {on("r", "s", keys)} AND s.u = r.y),
+{name} AS (SELECT {k}, x AS {node}, min(y) AS component FROM {name}_reach GROUP BY {k}, x)"""
+
+
+def chord_sql(name: str, points: str, group: str, keys=TILE) -> str:
+    """SQL: name (keys, group, rgb, x1, y1, x2, y2), the points (keys, group, rgb, x, y) of a group farthest apart."""
+    k = ", ".join("a." + c for c in keys)
+    return f"""{name} AS (SELECT {k}, a.{group}, a.rgb, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {points} a JOIN {points} b ON {on("a", "b", keys)} AND a.{group} = b.{group} AND a.rgb = b.rgb AND (a.x, a.y) <= (b.x, b.y)
+  QUALIFY row_number() OVER (PARTITION BY {k}, a.{group}, a.rgb ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) DESC, a.x, a.y, b.x, b.y) = 1)"""
+
+
+def points_sql(rows: str, columns: str) -> str:
+    return f"SELECT {columns}, x1 AS x, y1 AS y FROM {rows} UNION SELECT {columns}, x2, y2 FROM {rows}"
+
+
+def attach_sql(alone: str, known: str) -> str:
+    """SQL: hits, joined and links of leftovers (alone) at the ends of lines (known, with line_id)."""
+    return f"""k_own AS (SELECT {T}, x, y, max(line_id) AS line_id FROM ({points_sql(known, T + ", line_id")}) GROUP BY {T}, x, y),
+a_ends AS (SELECT {T}, eline_id, rgb, x1 AS x, y1 AS y FROM {alone} UNION ALL SELECT {T}, eline_id, rgb, x2, y2 FROM {alone}),
+hits AS (SELECT {TS.format("e")}, eline_id, o.line_id, count(*) AS times FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM a_ends) e CROSS JOIN (VALUES (-1), (0), (1)) d(dy)
+  JOIN k_own o ON {on("o", "e")} AND o.x = e.x + e.dx AND o.y = e.y + dy JOIN {known} k ON {on("k", "e")} AND k.line_id = o.line_id AND k.rgb = e.rgb GROUP BY ALL),
+totals AS (SELECT {T}, eline_id, sum(times) AS total FROM hits GROUP BY {T}, eline_id),
+joined AS (SELECT {T}, eline_id, line_id FROM hits JOIN totals USING ({T}, eline_id) WHERE total = 1),
+met AS (SELECT DISTINCT {TS.format("a")}, a.line_id AS src, b.line_id AS dst FROM hits a JOIN hits b ON {on("a", "b")} AND a.eline_id = b.eline_id AND a.line_id <> b.line_id),
+turns AS (SELECT m.*, {CHORD.format("a", "b")} AS s1, {CHORD.format("b", "a")} AS s2, a.x1 AS px, a.y1 AS py, b.x1 AS qx, b.y1 AS qy FROM met m JOIN {known} a ON {on("a", "m")} AND a.line_id = src JOIN {known} b ON {on("b", "m")} AND b.line_id = dst),
+a_links AS (SELECT {T}, src, dst FROM turns WHERE NOT isinf(s1) AND NOT isinf(s2) AND abs(s1 - s2) < 1 AND abs((py - s1 * px) - (qy - s2 * qx)) < 1 AND abs(s1) BETWEEN 1 AND 999)"""
+
+
+#: Slope from the first end of one to the second end of the other.
+CHORD = "CASE WHEN {0}.x1 = {1}.x2 THEN 'inf'::DOUBLE ELSE ({1}.y2 - {0}.y1)::DOUBLE / ({1}.x2 - {0}.x1) END"
+
+
+def merging_sql(moved: str) -> str:
+    """SQL: lines, those of moved (tile, x1, y1, x2, y2, rgb in coordinates of the image) numbered and longer than 3, and merges (image_id, src, dst)."""
+    return f"""lines AS (SELECT * FROM (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY tile_r, tile_c, x1, y1, x2, y2, rgb) - 1 AS line_id, x1, y1, x2, y2, rgb FROM {moved}) WHERE (x2 - x1) ** 2 + (y2 - y1) ** 2 > 9),
+m_ends AS (SELECT image_id, line_id, x1 AS x, y1 AS y FROM lines UNION ALL SELECT image_id, line_id, x2, y2 FROM lines), m_own AS (SELECT image_id, x, y, max(line_id) AS dst FROM m_ends GROUP BY ALL),
+m_lk AS (SELECT DISTINCT e.image_id, line_id AS src, dst FROM (SELECT *, unnest(range(-3, 4)) AS dx FROM m_ends) e CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) o JOIN m_own ON m_own.image_id = e.image_id AND m_own.x = e.x + e.dx AND m_own.y = e.y + dy WHERE line_id <> dst),
+p AS (SELECT k.*, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, a.rgb AS ca, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.rgb AS cb FROM m_lk k JOIN lines a ON a.image_id = k.image_id AND a.line_id = src JOIN lines b ON b.image_id = k.image_id AND b.line_id = dst),
 s AS (SELECT *, {SLOPE.format("a")} AS sa, {SLOPE.format("b")} AS sb FROM p), m AS (SELECT *, CASE WHEN isinf(sa) THEN 99999999999 ELSE sa END AS m1, CASE WHEN isinf(sb) THEN 99999999999 ELSE sb END AS m2 FROM s),
 merges AS (SELECT image_id, src, dst FROM m WHERE ca = cb AND {ANGLE} < 1 AND {APART} AND CASE WHEN isinf(sa) THEN ax1 = bx1 WHEN sa = 0 THEN ay1 = by1 ELSE true END)"""
 
 
+def merged_sql(moved: str) -> str:
+    """SQL: merging_sql(), and merged (image_id, line_id, rgb, x1, y1, x2, y2), the lines that merges make."""
+    return f"""{merging_sql(moved)}, {reach_sql("of", "lines", "line_id", "merges", ["image_id"])},
+of_pt AS ({points_sql("(SELECT l.image_id, component AS line_id, rgb, x1, y1, x2, y2 FROM lines l JOIN of USING (image_id, line_id))", "image_id, line_id, rgb")}), {chord_sql("merged", "of_pt", "line_id", ["image_id"])}"""
+
+
+def moved_sql(rows: str) -> str:
+    return f"moved AS (SELECT image_id, tile_r, tile_c, x1 + tile_c * {TILE_SIZE} AS x1, y1 + tile_r * {TILE_SIZE} AS y1, x2 + tile_c * {TILE_SIZE} AS x2, y2 + tile_r * {TILE_SIZE} AS y2, rgb FROM {rows})"
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+#: Detection in tiles: two passes of linking, chords, leftovers, and chords again.
+IN_TILES = f"""{recursive(LINKED)}, e1 AS (SELECT {T}, src, dst FROM attr WHERE va BETWEEN 1 AND 5 AND va = vb AND ca = cb AND dirs AND (va = 1 OR turned)),
+{reach_sql("c1", "tr", "eline_id", "e1")}, z1 AS (SELECT *, count(*) OVER (PARTITION BY {T}, component) AS size FROM c1), taken AS (SELECT * FROM z1 WHERE size >= {PARAMS.long_run}), rest AS (SELECT * FROM z1 WHERE size < {PARAMS.long_run}),
+e2 AS (SELECT {TS.format("a")}, src, dst FROM attr a JOIN rest x ON {on("x", "a")} AND x.eline_id = src JOIN rest y ON {on("y", "a")} AND y.eline_id = dst WHERE abs(va - vb) <= 1 AND ca = cb AND dirs AND (va = 1 OR turned)),
+{reach_sql("c2", "rest", "eline_id", "e2")}, z2 AS (SELECT c2.*, volume, count(*) OVER (PARTITION BY {T}, component) AS size FROM c2 JOIN tr USING ({T}, eline_id)),
+alone AS (SELECT tr.* FROM tr JOIN z2 USING ({T}, eline_id) WHERE size = 1 AND z2.volume <= {PARAMS.leftover_volume}),
+grp AS (SELECT {T}, eline_id, component, 1 AS pass FROM taken UNION ALL SELECT {T}, eline_id, component, 2 FROM z2 WHERE size > 1 OR volume > {PARAMS.leftover_volume}),
+num AS (SELECT tr.*, dense_rank() OVER (PARTITION BY {T} ORDER BY pass, component) - 1 AS line_id FROM grp JOIN tr USING ({T}, eline_id)),
+num_pt AS ({points_sql("num", T + ", line_id, rgb")}), {chord_sql("chords", "num_pt", "line_id")}, {attach_sql("alone", "chords")}, {reach_sql("c3", "chords", "line_id", "a_links")},
+final_pt AS ({points_sql(f"(SELECT {TS.format('c')}, component AS line_id, rgb, x1, y1, x2, y2 FROM chords c JOIN c3 USING ({T}, line_id))", T + ", line_id, rgb")}
+  UNION {points_sql(f"(SELECT {TS.format('a')}, component AS line_id, rgb, x1, y1, x2, y2 FROM alone a JOIN joined USING ({T}, eline_id) JOIN c3 USING ({T}, line_id))", T + ", line_id, rgb")}),
+{chord_sql("found", "final_pt", "line_id")}"""
+DETECTED = f"{IN_TILES}, {moved_sql('found')}, {merged_sql('moved')}"
+
+#: Strokes in coordinates of the image, numbered: those cut by a tile border go on in each other.
+STROKES = f"{recursive(ELINES)}, {moved_sql('el')}"
+MERGES = f"{STROKES}, {merging_sql('moved')}"
+
+
+@query(f"""WITH {fixtures.DUCK_BASE}, dashes AS ({DASHES}), remains AS ({LEFT}), {attach_sql("remains", "dashes")}
+SELECT {T}, 'joined' AS kind, eline_id AS a, line_id AS b FROM joined UNION ALL SELECT {T}, 'linked', src, dst FROM a_links""")
+def c7_attach_leftovers(spark, d):
+    joined, pairs = links.attach_leftovers(fixtures.base_query(spark, d, LEFT), fixtures.base_query(spark, d, DASHES))
+    joined = joined.select(*TILE, F.lit("joined").alias("kind"), F.col("eline_id").alias("a"), F.col("line_id").alias("b"))
+    return joined.unionByName(pairs.select(*TILE, F.lit("linked").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def stroke_lines(spark, d):
     moved = lines.untile_lines(elines(spark, d).select(*TILE, "x1", "y1", "x2", "y2", "rgb"), TILE_SIZE)
     return written(lines.number_lines(moved).select("image_id", "line_id", "x1", "y1", "x2", "y2", "rgb"), "numbered")
@@ -325,12 +415,7 @@ def c8_collinear_merge_edges(spark, d):
     return links.collinear_merge_edges(links.drop_short_lines(stroke_lines(spark, d)))
 
 
-@query(f"""{MERGES}, sym AS (SELECT image_id, src AS u, dst AS v FROM merges UNION SELECT image_id, dst, src FROM merges),
-reach(image_id, x, y) AS (SELECT image_id, line_id, line_id FROM lines UNION SELECT r.image_id, r.x, s.v FROM reach r JOIN sym s ON s.image_id = r.image_id AND s.u = r.y),
-comp AS (SELECT image_id, x AS line_id, min(y) AS component FROM reach GROUP BY image_id, x),
-pt AS (SELECT DISTINCT image_id, component, rgb, x, y FROM (SELECT image_id, component, rgb, x1 AS x, y1 AS y FROM lines JOIN comp USING (image_id, line_id) UNION ALL SELECT image_id, component, rgb, x2, y2 FROM lines JOIN comp USING (image_id, line_id))),
-dd AS (SELECT a.image_id, a.component AS line_id, a.rgb, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON a.image_id = b.image_id AND a.component = b.component AND a.rgb = b.rgb AND (a.x, a.y) <= (b.x, b.y))
-SELECT image_id, line_id, rgb, x1, y1, x2, y2 FROM dd QUALIFY row_number() OVER (PARTITION BY image_id, line_id, rgb ORDER BY d2 DESC, x1, y1, x2, y2) = 1""")
+@query(f"{STROKES}, {merged_sql('moved')} SELECT image_id, line_id, rgb, x1, y1, x2, y2 FROM merged")
 def j3_concat_lines(spark, d):
     return lines.concat_lines(stroke_lines(spark, d))
 
@@ -696,16 +781,47 @@ def extract_elines(spark, d):
     return elines(spark, d)
 
 
-@query()
+@query(f"{IN_TILES} SELECT {T}, rgb, x1, y1, x2, y2 FROM found")
 def j2_detect_lines_in_tiles(spark, d):
     return lines.detect_lines_in_tiles(tiles(spark, d), PARAMS)
 
 
-@query()
+@query(f"{DETECTED} SELECT image_id, line_id, rgb, x1, y1, x2, y2 FROM merged")
 def detect_lines(spark, d):
     return lines.detect_lines(fixtures.pixels(spark, d), PARAMS)
 
 
+@query(f"""{DETECTED}, beside AS (SELECT a.image_id, a.line_id AS src, b.line_id AS dst, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM merged a JOIN merged b ON a.image_id = b.image_id AND a.rgb = b.rgb AND a.line_id < b.line_id),
+touching AS (SELECT image_id, src, dst FROM beside WHERE {NEAR}), {reach_sql("grouped", "merged", "line_id", "touching", ["image_id"])}
+SELECT image_id || '.png(None, None)' AS key, line_id, x1, y1, x2, y2, rgb, component, 0 AS computed FROM merged JOIN grouped USING (image_id, line_id)""")
+def j7_detect_files(spark, d):
+    """Lines and groups of image files, as a second call finds them that has nothing left to compute."""
+    files = drawings(spark, d).select("path", *[F.lit(None).cast("int").alias(c) for c in ("r0", "r1", "c0", "c1")], F.lit(False).alias("forced"))
+    folder = scratch(spark, "results")
+    jobs.detect_files(files, folder, PARAMS)
+    _, groups, todo = jobs.detect_files(files, folder, PARAMS)
+    return groups.select("key", "line_id", "x1", "y1", "x2", "y2", "rgb", "component", F.lit(todo.count()).cast("int").alias("computed"))
+
+
+def channel_sums(values):
+    """Logits of three classes: the sum of each channel."""
+    return values.astype("float64").reshape(len(values), -1, 3).sum(axis=1)
+
+
+@query(f"""{SMALL}, v AS (SELECT image_id, (place % 3)::INT AS channel, sum((round_even(value, 0) / 255.0::DOUBLE - ([0.485, 0.456, 0.406])[place % 3 + 1]::DOUBLE) / ([0.229, 0.224, 0.225])[place % 3 + 1]::DOUBLE) AS v FROM small GROUP BY ALL),
+best AS (SELECT image_id, arg_max(channel, v) AS prediction, max(v) AS score FROM v GROUP BY image_id), n AS (SELECT count(*) AS n FROM best)
+SELECT image_id, 'class-' || image_id % 3 AS class_name, (image_id % 3)::INT AS label, prediction, round(score, 4) AS score, n * 8 // 10 AS n_training FROM best, n""")
+def j8_classify_folder(spark, d):
+    """Classes, split and scores of a folder with a folder for each class."""
+    folder, pixels = scratch(spark, "classes"), fixtures.pixels(spark, d)
+    for k in range(3):
+        images.write_images(pixels.where(F.col("image_id") % 3 == k), f"{folder}/class-{k}", SIDE, SIDE)
+    found, _ = jobs.classify_folder(spark, folder, channel_sums, SIDE // 16)
+    found = written(found, "classified")
+    image = F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long")
+    return found.select(image.alias("image_id"), "class_name", "label", F.col("prediction").cast("int").alias("prediction"), F.round("score", 4).alias("score"), F.lit(found.where("training").count()).cast("long").alias("n_training"))
+
+
 @query(f"{COMPONENTS} SELECT image_id, line_id, x1, y1, x2, y2, rgb, component FROM comp JOIN col USING (image_id, line_id)")
 def detect_connect(spark, d):
     return connect.detect_connect(seg(spark, d)).select("image_id", "line_id", "x1", "y1", "x2", "y2", "rgb", "component")
