@@ -84,6 +84,7 @@ class Lines:
         seen_sums = prefix(seen)
         self.n_dup_lines = seen_sums[self.first[1:]] - seen_sums[self.first[:-1]]
         self.n_repeat_words = self.repeats()
+        self.base_failed = (self.doc_words < 50) | (100 * self.n_repeat_words > 50 * self.doc_words)
 
         n = np.maximum(self.n_words, 1)
         size = np.maximum(self.end - self.start, 1)
@@ -211,7 +212,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lin
     """The field fitted on up to sample labelled documents (those of the least hashes) of fewer than `lines` line breaks each.
 
     A document labelled twice has its lesser label; of rows of one key the text of
-    the least hash counts.  Null keys, labels and blank texts take no part.
+    the least hash counts.  Null keys, labels and blank texts take no part, and neither
+    do texts that fail the base rules: the field never decides on such.
     """
     picked = labels.select(F.col(key).alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     picked = picked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -222,8 +224,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lin
     def run(batches):
         for part, data, offsets in blocks(batches, "text"):
             found = Lines(data, offsets)
-            packed = [found.features[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("id", "y")] + [pa.array(packed, pa.binary())], names=["id", "y", "x"])
+            able = np.flatnonzero(~found.base_failed)
+            packed = [found.features[a:b].tobytes() for a, b in zip(found.first[able], found.first[able + 1])]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).take(pa.array(able)) for c in ("id", "y")] + [pa.array(packed, pa.binary())], names=["id", "y", "x"])
 
     got = rows.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, y int, x binary").collect()
     got = sorted(got, key=lambda r: r["id"])
@@ -255,7 +258,7 @@ def label_lines(docs: DataFrame, chain: Chain, text: str = "text", share: float
             words = prefix(np.where(content, found.n_words, 0))
             n = found.doc_words
             good = (words[found.first[1:]] - words[found.first[:-1]]) / np.maximum(n, 1)
-            failed = (n < 50) | (100 * found.n_repeat_words > 50 * n)
+            failed = found.base_failed
             bad = np.flatnonzero(~content)
             ends = np.searchsorted(bad, found.first)
             numbers = bad - found.first[found.doc[bad]]
