@@ -43,7 +43,8 @@ def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", min_by
     """pages with sha1 (hex) and refers_to: the largest key among the rows of an equal payload, null for that row itself.
 
     Equal means equal in SHA-1, SHA-256 and size.  A null payload is empty.  Rows
-    that share the largest key are all responses, and so is a row with a null key.
+    that share the largest key are all responses.  A row with a null key refers to the
+    largest key like any other; of rows that all have null keys each is a response.
     Columns of pages called sha1 or refers_to (in any
     case) are replaced, all others keep their values.
     """
@@ -53,7 +54,7 @@ def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", min_by
     same = rows.groupBy(*digests).agg(F.max("key__").alias("first__"), F.count("*").alias("n__"))
     same = same.where((F.col("n__") > 1) & (F.col("bytes__") >= min_bytes))
     rows = join_counted(rows, same, digests, "n__", "key__")
-    return rows.select(*shown(pages.columns, ("sha1", "refers_to")), F.col("sha1__").alias("sha1"), F.when(F.col("key__") != F.col("first__"), F.col("first__")).alias("refers_to"))
+    return rows.select(*shown(pages.columns, ("sha1", "refers_to")), F.col("sha1__").alias("sha1"), F.when(~F.col("key__").eqNullSafe(F.col("first__")), F.col("first__")).alias("refers_to"))
 
 
 def header(kind: str, record: str, uri: str, sha1: str, refers_to: str | None, size: int, date: str) -> tuple[bytes, bytes]:
@@ -201,5 +202,5 @@ bits AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(up
 d AS (SELECT page_id, payload_bytes, b, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, (i * 5 + k + 1)::BIGINT, 1) AS BIGINT) << (4 - k)))::BIGINT, 1)), '') AS payload_digest FROM bits),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS keep FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS intact FROM m
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to, true AS intact FROM m
 """
