@@ -9,7 +9,7 @@ are found with a block-max inverted index: examples are numbered, cut in blocks,
 each term has its largest weight in each block; blocks are opened in the order of
 their bounds until none can reach the k-th best.  The examples vote, weighted by
 similarity, a copy most, and isotonic regression on leave-one-out votes makes the
-share of votes a probability.  An example never votes on its own row.
+share of votes a probability.  A score depends on the text alone.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ FIRST_BLOCKS = 2
 GROWTH = 16
 #: What the distance 1 - cosine is raised by in a vote of cosine / distance.
 NEAR = 1e-3
+#: Votes of the share of toxic documents among all, which hold where nothing is similar.
+PRIOR_VOTES = 2.0
 #: Different texts whose scores a task remembers, each with NEIGHBOURS examples (about 10 MB in all).
 KNOWN = 4096
 #: Bytes of text handled at once: a word has up to seven terms, so the arrays are many times the text.
@@ -78,13 +80,16 @@ def places_in(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray
     return held, at[held]
 
 
-def term_counts(words: Words, vocabulary: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) in each row of the vocabulary's words (numbered from 0) and the prefixes (from there on); both are sorted hashes."""
+def term_counts(words: Words, vocabulary: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) in each row of the vocabulary's words (numbered from 0) and the prefixes (from there on), both sorted hashes; and per row the sum of (1 + ln count)^2 over its other words."""
     total = max(1, len(vocabulary) + len(prefixes))
     # Looked up once for each different word of the block.
     distinct, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
     held, word = places_in(vocabulary, distinct)
     of, term = [np.flatnonzero(held)], [word]
+    other = ~held[number] if len(number) else np.zeros(0, dtype=bool)
+    pair, count = np.unique(words.doc[other] * max(1, len(distinct)) + number[other], return_counts=True)
+    unknown = np.bincount(pair // max(1, len(distinct)), weights=(1 + np.log(count)) ** 2, minlength=len(words.first) - 1)
     start, size = words.starts[first], (words.ends - words.starts)[first]
     for n in PREFIXES if len(prefixes) else ():
         longer = np.flatnonzero(size > n)
@@ -98,7 +103,7 @@ def term_counts(words: Words, vocabulary: np.ndarray, prefixes: np.ndarray) -> t
     low, high = at[:-1][number], at[1:][number]
     row = np.repeat(words.doc, high - low)
     pair, count = np.unique(row * total + term[ranges(low, high)], return_counts=True)
-    return pair // total, pair % total, count
+    return pair // total, pair % total, count, unknown
 
 
 def as_arrays(vector) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +176,7 @@ class BlockMaxIndex:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted isotonic regression: (thresholds, values), the value of a threshold holding from there on."""
+    """Weighted isotonic regression: (thresholds, values), the value of a threshold holding from there on; thresholds are midway between the values that two steps were fitted on."""
     order = np.argsort(x, kind="stable")
     steps: list[list[float]] = []
     for i in order:
@@ -179,7 +184,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             steps[-1][1] += w[i] * y[i]
             steps[-1][2] += w[i]
         else:
-            steps.append([float(x[i]), w[i] * y[i], w[i]])
+            steps.append([float(x[i]), w[i] * y[i], w[i], float(x[i])])
     merged: list[list[float]] = []
     for s in steps:
         merged.append(list(s))
@@ -187,14 +192,17 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             last = merged.pop()
             merged[-1][1] += last[1]
             merged[-1][2] += last[2]
-    return np.array([m[0] for m in merged]), np.array([(m[1] + 0.5) / (m[2] + 1) for m in merged])
+            merged[-1][3] = last[3]
+    starts = [m[0] if not k else (merged[k - 1][3] + m[0]) / 2 for k, m in enumerate(merged)]
+    return np.array(starts), np.array([(m[1] + 0.5) / (m[2] + 1) for m in merged])
 
 
 class Scorer:
     """Vocabulary, weights, index, votes and calibration."""
 
-    def __init__(self, vocabulary: np.ndarray, prefixes: np.ndarray, names: dict[int, str], weights: np.ndarray, examples: list[tuple], share: dict[int, float]):
-        """names: the spellings of the terms that tell the labels apart; examples: (id, label, (terms, counts)); share: how many labelled documents an example of a label stands for."""
+    def __init__(self, vocabulary: np.ndarray, prefixes: np.ndarray, names: dict[int, str], weights: np.ndarray, examples: list[tuple], share: dict[int, float], unseen: float = 0.0):
+        """names: the spellings of the terms that tell the labels apart; examples: (id, label, (terms, counts)); share: how many labelled documents an example of a label stands for; unseen: weight of a word that no example has."""
+        self.unseen = unseen
         self.vocabulary, self.prefixes, self.names, self.weights = vocabulary, prefixes, names, weights
         self.telling = np.zeros(len(weights), dtype=bool)
         self.telling[list(names)] = True
@@ -208,23 +216,21 @@ class Scorer:
         of = {y: share.get(y, 1.0) for y in (0, 1)}
         have, empty = [[sum(of[y] for _, y, c in examples if y == label and not (only and len(c[0]))) for label in (0, 1)] for only in (False, True)]
         self.prior = (empty[1] + have[1] / sum(have)) / (sum(empty) + 1) if examples else 0.0
-        self.number = {i: k for k, i in enumerate(self.ids)}
         raw = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)])
         w = np.array([of[int(y)] for y in self.labels])
         self.steps = isotonic(raw, self.labels, w) if len(raw) else (np.zeros(1), np.zeros(1))
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, terms: np.ndarray, counts: np.ndarray, unknown: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The known part of a text's vector of length 1; its other words, which no example has, count in the length."""
         v = (1 + np.log(counts)) * self.weights[terms]
-        return terms, v / math.sqrt(float((v * v).sum()))
+        return terms, v / math.sqrt(float((v * v).sum()) + self.unseen**2 * unknown)
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         votes = [(i, s / (1 + NEAR - min(s, 1.0))) for i, s in near]
-        total = sum(v for _, v in votes)
-        return sum(v for i, v in votes if self.labels[i]) / total if total else 0.0
+        return (sum(v for i, v in votes if self.labels[i]) + PRIOR_VOTES * self.prior) / (sum(v for _, v in votes) + PRIOR_VOTES)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """Of a text, leaving out one example."""
-        near = self.index.nearest(self.vector(terms, counts), NEIGHBOURS, without) if len(terms) else []
+    def score(self, terms: np.ndarray, counts: np.ndarray, unknown: float = 0.0) -> tuple[float, list[tuple[int, float]]]:
+        near = self.index.nearest(self.vector(terms, counts, unknown), NEIGHBOURS) if len(terms) else []
         if not near:
             return self.prior * (1 - RAW_SHARE), []
         raw = self.vote(near)
@@ -296,7 +302,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     def frequencies(batches):
         total, seen = np.zeros(size, dtype=np.int64), 0
         for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
-            _, term, _ = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, prefixes)
+            _, term, _, _ = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, prefixes)
             total += np.bincount(term, minlength=size)
             seen += part.num_rows
         found = np.flatnonzero(total)
@@ -310,7 +316,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def vectors(batches):
         for part, data, offsets in blocks(batches, "text", TEXT_BYTES):
-            row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, prefixes)
+            row, term, count, _ = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), vocabulary, prefixes)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
             ids = [part.column(part.schema.get_field_index(c)) for c in ("id", "y")]
             yield pa.RecordBatch.from_arrays([*ids, *[list_array(v, at, pa.int64()) for v in (term, count)]], names=["id", "y", "terms", "counts"])
@@ -320,42 +326,41 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     examples = list(zip(rows.column("id").to_pylist(), rows.column("y").to_pylist(), zip(*lists)))
     have = {y: sum(1 for e in examples if e[1] == y) for y in (0, 1)}
     share = {y: totals.get(y, 0) / have[y] for y in (0, 1) if have[y]}
-    return Scorer(vocabulary, prefixes, {t: n.decode("utf-8", "replace") for t, n in zip(number.tolist(), names)}, weights, examples, share)
+    return Scorer(vocabulary, prefixes, {t: n.decode("utf-8", "replace") for t, n in zip(number.tolist(), names)}, weights, examples, share, math.log((1 + seen[-1]) / 2) + 1)
 
 
-def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """docs with score, predicted, terms (those found that tell the labels apart) and evidence: the nearest examples (id, label, similarity).
 
     A null text is an empty one; a text that shares no term with any example gets
     the share of toxic documents among such examples.  Without labelled documents
     every score is 0.  Examples of equal similarity count in a fixed order that does
-    not depend on ids.  The example that a row is (the one of its key, where docs has
-    one) has no vote on it; other copies of its text do.  Equal texts get equal scores
-    but for that; long texts are read whole; no rows give no rows.  Columns of docs
+    not depend on ids.  Words that no example has count in the length of a text's vector
+    as if one document had them.  Equal texts get equal scores, whatever their ids, so
+    an example votes on its own text and on copies of it; only the calibration leaves it
+    out.  Long texts are read whole; no rows give no rows.  Columns of docs
     called like the results (in any case) are replaced, all others keep their values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     added = ("score", "predicted", "terms", "evidence")
     body = hidden_name(docs, text)
-    rows = docs.select(*hidden(docs), (F.col(key).cast("long") if key in docs.columns else F.lit(None).cast("long")).alias("key"))
+    rows = docs.select(*hidden(docs))
     names = [f"in__{i}" for i in range(len(docs.columns))]
 
     def run(batches):
         model = shared.value
         known: dict[tuple, tuple] = {}
         for part, data, offsets in blocks(batches, body, TEXT_BYTES):
-            row, term, count = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.prefixes)
+            row, term, count, unknown = term_counts(Words(data, offsets, WORD_ALNUM, lower=True), model.vocabulary, model.prefixes)
             at = np.searchsorted(row, np.arange(part.num_rows + 1))
-            keys = part.column(part.schema.get_field_index("key")).to_pylist()
             scores, terms, near = [], [], []
             for d in range(part.num_rows):
                 own, times = term[at[d] : at[d + 1]], count[at[d] : at[d + 1]]
-                without = model.number.get(keys[d], -1)
-                vector = hashlib.sha256(own.tobytes() + times.tobytes()).digest(), without
+                vector = hashlib.sha256(own.tobytes() + times.tobytes() + unknown[d].tobytes()).digest()
                 if vector not in known:
                     if len(known) >= KNOWN:
                         known.clear()
-                    known[vector] = model.score(own, times, without)
+                    known[vector] = model.score(own, times, float(unknown[d]))
                 scores.append(known[vector][0])
                 near.append(known[vector][1])
                 terms.append([model.names[t] for t in own[model.telling[own]].tolist()])
