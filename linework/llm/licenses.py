@@ -1,8 +1,9 @@
 """Operator 4: license notices found by MinHash bands over overlapping text windows.
 
-Templates are put in classes by the number of their shingles.  A class of up to S
-shingles looks at windows of S + g shingles that begin every g = S / 4 shingles,
-so every occurrence lies whole in some window.  That bounds the similarity of
+Templates are put in classes by their length in shingles, repeats included, and the
+number of different ones.  A class of up to S shingles looks at windows of S + g
+shingles that begin every g = S / 4 shingles, so every occurrence of a template's
+length lies whole in some window.  That bounds the similarity of
 such a window and the template from below, and the bands of the class are chosen
 so that a window with a match shares a band with probability 1 - MISS at least.
 Windows that share a band with a template are compared exactly: the share of the
@@ -41,7 +42,7 @@ def bands_of(similarity: float, miss: float = MISS) -> tuple[int, int]:
 
 
 class TemplateClass:
-    """Templates of k-word shingles whose sets have more than half of `most` and at most `most` shingles."""
+    """Templates of more than half of `most` and at most `most` k-word shingles each, and with sets of like size."""
 
     def __init__(self, k: int, most: int, members: list[tuple[int, np.ndarray]], containment: float):
         self.k, self.members, self.containment = k, members, containment
@@ -116,9 +117,11 @@ def classes_of(templates, k: int = SHINGLE, containment: float = CONTAINMENT) ->
         words = Words(data, np.array([0, len(data)]), WORD_ALNUM, lower=True)
         if len(words.hash):
             own = min(k, len(words.hash))
-            values = np.unique(shingles(words, own)[0])
-            groups.setdefault((own, 1 << (len(values) - 1).bit_length()), []).append((number, values))
-    return [TemplateClass(own, most, members, containment) for (own, most), members in sorted(groups.items())]
+            every = shingles(words, own)[0]
+            values = np.unique(every)
+            size = lambda n: 1 << (n - 1).bit_length()
+            groups.setdefault((own, size(len(every)), size(len(values))), []).append((number, values))
+    return [TemplateClass(own, most, members, containment) for (own, most, _), members in sorted(groups.items())]
 
 
 FOUND = "array<struct<license:string,template:int,start:int,end:int,containment:double>>"

@@ -211,7 +211,7 @@ def brute_licenses(text, templates, k=5, containment=0.8):
             continue
         wanted = {tuple(w[i : i + own]) for i in range(len(w) - own + 1)}
         most = 1
-        while most < len(wanted):
+        while most < len(w) - own + 1:
             most *= 2
         step = max(1, most // 4)
         size = -(-(most + step) // step) * step
@@ -253,6 +253,17 @@ def test_licenses_against_brute_force(spark, per_pass):
         assert got == brute_licenses(texts[r["doc_id"]], templates), r["doc_id"]
 
 
+def test_a_template_that_repeats_itself_is_found_whole(spark):
+    rng = random.Random(8)
+    clauses = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(12)) for _ in range(12)]
+    template = " ".join(rng.choice(clauses) for _ in range(48))
+    noise = " ".join(f"n{i}" for i in range(700))
+    df = spark.createDataFrame([(i, f"{' '.join(noise.split()[: 37 * i])} {template} {noise}") for i in range(12)], "doc_id long, text string")
+    for r in licenses.find_licenses(df, (("long", template), ("other", clauses[0]))).collect():
+        hit = next(h for h in r["licenses"] if h["license"] == "long")
+        assert hit["containment"] == 1 and hit["start"] >= 37 * r["doc_id"] and hit["end"] <= 37 * r["doc_id"] + 576
+
+
 def test_nested_templates_are_one_notice_each(spark):
     templates = (("outer", " ".join(f"w{i}" for i in range(60))), ("inner", " ".join(f"w{i}" for i in range(20, 40))))
     df = spark.createDataFrame([(1, templates[0][1])], "doc_id long, text string")
@@ -394,7 +405,7 @@ def test_copy_of_an_example_is_its_nearest(spark):
     for i in toxic:
         near = copies[i + 1000]["evidence"][0]
         assert (near["id"], near["label"]) == (i, 1) and abs(near["similarity"] - 1) < 1e-9
-        assert i not in [e["id"] for e in own[i]["evidence"]]  # labels are no input of their own row's score
+        assert own[i][1:] == copies[i + 1000][1:]  # ids are no input of a score
 
 
 def test_similarities_are_cosines_over_all_terms(spark):
@@ -411,7 +422,7 @@ def test_similarities_are_cosines_over_all_terms(spark):
     def terms(t):
         c = Counter()
         for w in t.split():
-            c[("w", w)] += w in known
+            c[("w" if w in known else "u", w)] += 1
             for n in range(3, 9):
                 c[("p", w[:n])] += len(w) > n and w[:n] in prefixes
         return {k: v for k, v in c.items() if v}
@@ -420,14 +431,42 @@ def test_similarities_are_cosines_over_all_terms(spark):
     df = Counter(k for c in of for k in c)
     extra = {(("p" if t >= len(scorer.vocabulary) else "w"), n): scorer.weights[t] / (np.log((1 + len(texts)) / (1 + df[("p" if t >= len(scorer.vocabulary) else "w", n)])) + 1) for t, n in scorer.names.items()}
     assert all(v > 1 for v in extra.values())
-    vector = lambda c: {k: (1 + np.log(v)) * (np.log((1 + len(texts)) / (1 + df[k])) + 1) * extra.get(k, 1) for k, v in c.items()}
+    idf = lambda k: np.log((1 + len(texts)) / (1 + (df[k] if k[0] != "u" else 1))) + 1
+    vector = lambda c: {k: (1 + np.log(v)) * idf(k) * extra.get(k, 1) for k, v in c.items()}
     norm = lambda v: sum(x * x for x in v.values()) ** 0.5
     vectors = [vector(c) for c in of]
+    cosine = lambda i, e: sum(x * vectors[e].get(k, 0) for k, x in vectors[i].items()) / (norm(vectors[i]) * norm(vectors[e]))
+    prior = sum(e % 3 == 0 for e in learned) / len(learned)  # all labelled documents outside the held-out fold are examples
+
+    def raw(i, of):
+        near = sorted(((-round(cosine(i, e), 12), e) for e in of), key=lambda p: p[0])[: toxicity.NEIGHBOURS]
+        votes = [(e, -s / (1 + toxicity.NEAR - min(-s, 1.0))) for s, e in near if s < 0]
+        return (sum(v for e, v in votes if e % 3 == 0) + toxicity.PRIOR_VOTES * prior) / (sum(v for _, v in votes) + toxicity.PRIOR_VOTES)
+
+    left_out = sorted((raw(e, [x for x in learned if x != e]), int(e % 3 == 0)) for e in learned)
+    x, y = np.array([a for a, _ in left_out]), np.array([b for _, b in left_out], dtype=float)
+    fitted = np.array([round(max(min(y[a : b + 1].mean() for b in range(i, len(y))) for a in range(i + 1)), 12) for i in range(len(y))])
+    levels = np.unique(fitted)
+    starts = [(x[fitted == v].min() + (x[fitted == levels[k - 1]].max() if k else x[fitted == v].min())) / 2 for k, v in enumerate(levels)]
+    steps = [(at, (y[fitted == v].sum() + 0.5) / ((fitted == v).sum() + 1)) for at, v in zip(starts, levels)]
     for r in toxicity.score_texts(docs, scorer).collect():
         i = r["doc_id"]
-        best = sorted((sum(x * vectors[e].get(k, 0) for k, x in vectors[i].items()) / (norm(vectors[i]) * norm(vectors[e])) for e in learned if e != i), reverse=True)
+        best = sorted((cosine(i, e) for e in learned), reverse=True)
         want = [s for s in best if s > 1e-12][: toxicity.NEIGHBOURS]
         assert np.allclose([e["similarity"] for e in r["evidence"]], want, atol=1e-9), i
+        vote = raw(i, learned)
+        step = [v for at, v in steps if at <= vote + 1e-12]
+        assert abs(r["score"] - ((step[-1] if step else steps[0][1]) * (1 - toxicity.RAW_SHARE) + toxicity.RAW_SHARE * vote)) < 1e-6, i
+
+
+def test_one_known_word_among_many_unknown_ones(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["vile"] * (i % 3 == 0) + [rng.choice("abcdefgh") * 3 for _ in range(12)])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = toxicity.fit_scorer(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    texts = ["vile", "vile " + " ".join(f"unknown{i}" for i in range(1000)), " ".join(f"unknown{i}" for i in range(50))]
+    alone, among, none = (r for r in toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scorer).orderBy("doc_id").collect())
+    assert alone["evidence"][0]["similarity"] > 3 * among["evidence"][0]["similarity"] > 0 and alone["score"] > among["score"] and not none["evidence"]
 
 
 def test_index_against_brute_force():
