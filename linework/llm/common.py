@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.operators.components import shared_dir, written  # noqa: F401
+from linework.sources.files import local_fs  # noqa: F401
 
 #: A run of characters that are neither the blank nor \t \n \v \f \r.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -69,21 +69,28 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(own), F.lit(0))).drop(b, v, before)
 
 
-#: A key of more rows than this is joined by a broadcast; there is at most one for each HOT_ROWS rows.
-HOT_ROWS = 50_000
+#: A key of more than HOT_ROWS rows and more than one in HOT_KEYS of all rows is joined by a broadcast, so there are fewer than HOT_KEYS of them, whatever the table's size.
+HOT_ROWS, HOT_KEYS = 50_000, 4096
+
+
+def hot_bound(per_key: DataFrame, count: str, least: int | None = None) -> int:
+    """The rows beyond which a key is hot."""
+    return max(HOT_ROWS if least is None else least, (per_key.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS)
 
 
 def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, spread: str) -> DataFrame:
     """rows left-joined with per_key, which has a row per keys and in count how many of rows have them.
 
-    Keys of more than HOT_ROWS rows are joined by broadcast and their rows, dealt by
-    the column spread, pass through the shuffle join of the others, so that no task
-    gets all rows of a key.  per_key is read twice, so it is written first.
+    Hot keys are joined by broadcast and their rows, dealt by the column spread, pass
+    through the shuffle join of the others, so that no task gets all rows of a key, nor
+    more than a HOT_KEYSth of the table for one.  per_key is read thrice, so it is
+    written first.
     """
     per_key = written(per_key, "counted")
     values = F.struct(*[c for c in per_key.columns if c not in (*keys, count)])
-    hot = per_key.where(F.col(count) > HOT_ROWS).select(*keys, values.alias("hot__"))
-    cold = per_key.where(F.col(count) <= HOT_ROWS).select(*keys, F.lit(0).cast("long").alias("deal__"), values.alias("cold__"))
+    most = hot_bound(per_key, count)
+    hot = per_key.where(F.col(count) > most).select(*keys, values.alias("hot__"))
+    cold = per_key.where(F.col(count) <= most).select(*keys, F.lit(0).cast("long").alias("deal__"), values.alias("cold__"))
     dealt = rows.join(F.broadcast(hot), keys, "left")
     dealt = dealt.withColumn("deal__", F.when(F.col("hot__").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 40))).cast("long"))
     out = dealt.join(cold.hint("merge"), [*keys, "deal__"], "left").withColumn("hot__", F.coalesce("hot__", "cold__"))
@@ -92,14 +99,3 @@ def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: st
 
 def crc(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
-
-
-def local_fs(path: str):
-    """pyarrow file system and path of a Hadoop-style path."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:") and not path.startswith("file://"):
-            path = "file://" + path.removeprefix("file:")
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path)

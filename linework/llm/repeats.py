@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import hidden, hidden_name, shown, table, written
+from linework.llm.common import hidden, hidden_name, hot_bound, shown, table, written
 from linework.llm.textkernel import BYTE_VALUES, blocks, mix, powers
 
 WIDTH = 100
@@ -48,6 +48,8 @@ SPLIT_TEXTS = 64
 SPREAD_TEXTS = 8
 #: Texts of one key of step 3 with more bytes than this are compared by window.
 OWNER_BYTES = 1 << 20
+#: Over-full owners known to all tasks by broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_OWNERS = 65_536
 #: Windows that occur more often than this are looked up by a broadcast join, as one key is one task of a shuffle.
 HOT_COPIES = 10_000
 #: Window starts handled at once; positions within fit the low bits of a key.
@@ -398,7 +400,9 @@ def compare_windows(texts: DataFrame, width: int) -> DataFrame:
     place = F.struct("doc", "print", "at")
     least = windows.groupBy("left", "right").agg(F.min(place).alias("least"), F.count("*").alias("n"))
     least = written(least.where("n > 1"), "windows")
-    hot, cold = least.where(F.col("n") > HOT_COPIES), least.where(F.col("n") <= HOT_COPIES)
+    # Few enough to broadcast, whatever the number of windows (see hot_bound).
+    most = hot_bound(least, "n", HOT_COPIES)
+    hot, cold = least.where(F.col("n") > most), least.where(F.col("n") <= most)
     dealt = windows.join(F.broadcast(hot.drop("n")), ["left", "right"], "left")
     rest = dealt.where("least IS NULL").drop("least").join(cold.drop("n").hint("merge"), ["left", "right"])
     gone = dealt.where("least IS NOT NULL").unionByName(rest).where(place != F.col("least")).select("doc", "print", "at")
@@ -429,11 +433,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     size = wanted.agg(F.sum(F.octet_length("start") / 4)).first()[0] or 0
     texts = run_texts(slim, wanted, int(size * (2 * width - ANCHOR) // BUCKET_BYTES) + 1, width)
     texts = written(texts, "texts")
-    # At most one row per OWNER_BYTES of text.
     full = written(texts.groupBy("owner").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > OWNER_BYTES).select("owner"), "full")
-    found = compare(texts.join(F.broadcast(full), "owner", "left_anti"), width)
-    if not full.isEmpty():
-        found = found.unionByName(compare_windows(texts.join(F.broadcast(full), "owner", "left_semi"), width))
+    owners = full.count()
+    # Their number grows with the text, so they are broadcast only up to a bound.
+    full = F.broadcast(full) if owners <= BROADCAST_OWNERS else full.hint("merge")
+    found = compare(texts.join(full, "owner", "left_anti"), width)
+    if owners:
+        found = found.unionByName(compare_windows(texts.join(full, "owner", "left_semi"), width))
     gone = met.where("kind = 0").select("doc", "print", "start", "end").unionByName(found.select("doc", "print", "start", "end"))
     gone = gone.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     body, columns = hidden_name(docs, text), [f"in__{i}" for i in range(len(docs.columns))]
