@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,55 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Tables written so far by this driver, in order.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession):
+    """Joins planned inside take rows that lie together by some of the join's keys as they are, if both sides do.
+
+    So what was dealt by tile once is joined by tile and pixel without being dealt
+    again.  Only for keys of which none can have most of the rows.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables that written() makes inside go at the end; for jobs whose outcome is stored elsewhere by then."""
+    first = len(_tables)
+    try:
+        yield
+    finally:
+        gone = _tables[first:]
+        del _tables[first:]
+        for path in gone:
+            remove(spark, path)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

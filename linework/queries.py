@@ -171,7 +171,7 @@ SIDE = 128
 def drawings(spark, d):
     """The drawings as image files, read back."""
     folder = scratch(spark, "png")
-    images.write_images(fixtures.pixels(spark, d), folder, SIDE, SIDE)
+    fixtures.write_images(fixtures.pixels(spark, d), folder, SIDE, SIDE)
     return images.read_images(spark, folder).withColumn("image_id", F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long"))
 
 
@@ -786,6 +786,16 @@ def j2_detect_lines_in_tiles(spark, d):
     return lines.detect_lines_in_tiles(tiles(spark, d), PARAMS)
 
 
+@query(f"""{IN_TILES}, in_groups AS (SELECT {TS.format("n")}, n.eline_id, n.line_id, p.pass FROM num n JOIN grp p ON {on("n", "p")} AND n.eline_id = p.eline_id),
+left_over AS (SELECT {TS.format("a")}, a.eline_id, j.line_id FROM alone a LEFT JOIN joined j ON {on("a", "j")} AND a.eline_id = j.eline_id)
+SELECT {TS.format("g")}, eline_id, pass, component AS line_id FROM in_groups g JOIN c3 ON {on("g", "c3")} AND g.line_id = c3.line_id
+UNION ALL SELECT {TS.format("g")}, eline_id, 0, component FROM left_over g LEFT JOIN c3 ON {on("g", "c3")} AND g.line_id = c3.line_id""")
+def j2_strokes_of_lines(spark, d):
+    """Which strokes each line in a tile is made of: by the pass that grouped them, or 0 for leftovers, with the line that they joined or null."""
+    found = lines.detect_in_tiles(tiles(spark, d), PARAMS)
+    return found.groups.select(*TILE, "eline_id", "pass", "line_id").unionByName(found.leftovers.select(*TILE, "eline_id", F.lit(0).alias("pass"), "line_id"))
+
+
 @query(f"{DETECTED} SELECT image_id, line_id, rgb, x1, y1, x2, y2 FROM merged")
 def detect_lines(spark, d):
     return lines.detect_lines(fixtures.pixels(spark, d), PARAMS)
@@ -803,20 +813,36 @@ def j7_detect_files(spark, d):
     return groups.select("key", "line_id", "x1", "y1", "x2", "y2", "rgb", "component", F.lit(todo.count()).cast("int").alias("computed"))
 
 
+#: Sums of the normalised values of each channel.
+SUMS = f"{SMALL}, v AS (SELECT image_id, (place % 3)::INT AS channel, sum((round_even(value, 0) / 255.0::DOUBLE - ([0.485, 0.456, 0.406])[place % 3 + 1]::DOUBLE) / ([0.229, 0.224, 0.225])[place % 3 + 1]::DOUBLE) AS v FROM small GROUP BY ALL)"
+
+
+def class_folders(spark, d):
+    """The drawings as image files in three folders."""
+    folder, pixels = scratch(spark, "classes"), fixtures.pixels(spark, d)
+    for k in range(3):
+        fixtures.write_images(pixels.where(F.col("image_id") % 3 == k), f"{folder}/class-{k}", SIDE, SIDE)
+    return folder
+
+
+@query(f"""{SUMS}, l AS (SELECT image_id, list(v ORDER BY channel) AS logits, (image_id % 3)::INT AS label FROM v GROUP BY image_id), e AS (SELECT {CE} AS loss, list_position(logits, list_max(logits)) - 1 = label AS ok FROM l)
+SELECT round(avg(loss), 4) AS loss, round(sum(ok::INT) * 100.0::DOUBLE / count(*), 4) AS accuracy, count(*) AS n FROM e""")
+def m6_evaluate_folder(spark, d):
+    """Loss and accuracy over a folder of classes, all images in one batch."""
+    found = jobs.evaluate_folder(spark, class_folders(spark, d), channel_sums, SIDE // 16, batch=1 << 40)
+    return found.select(F.round("loss", 4).alias("loss"), F.round(F.col("accuracy").cast("double"), 4).alias("accuracy"), "n")
+
+
 def channel_sums(values):
     """Logits of three classes: the sum of each channel."""
     return values.astype("float64").reshape(len(values), -1, 3).sum(axis=1)
 
 
-@query(f"""{SMALL}, v AS (SELECT image_id, (place % 3)::INT AS channel, sum((round_even(value, 0) / 255.0::DOUBLE - ([0.485, 0.456, 0.406])[place % 3 + 1]::DOUBLE) / ([0.229, 0.224, 0.225])[place % 3 + 1]::DOUBLE) AS v FROM small GROUP BY ALL),
-best AS (SELECT image_id, arg_max(channel, v) AS prediction, max(v) AS score FROM v GROUP BY image_id), n AS (SELECT count(*) AS n FROM best)
+@query(f"""{SUMS}, best AS (SELECT image_id, arg_max(channel, v) AS prediction, max(v) AS score FROM v GROUP BY image_id), n AS (SELECT count(*) AS n FROM best)
 SELECT image_id, 'class-' || image_id % 3 AS class_name, (image_id % 3)::INT AS label, prediction, round(score, 4) AS score, n * 8 // 10 AS n_training FROM best, n""")
 def j8_classify_folder(spark, d):
     """Classes, split and scores of a folder with a folder for each class."""
-    folder, pixels = scratch(spark, "classes"), fixtures.pixels(spark, d)
-    for k in range(3):
-        images.write_images(pixels.where(F.col("image_id") % 3 == k), f"{folder}/class-{k}", SIDE, SIDE)
-    found, _ = jobs.classify_folder(spark, folder, channel_sums, SIDE // 16)
+    found, _ = jobs.classify_folder(spark, class_folders(spark, d), channel_sums, SIDE // 16)
     found = written(found, "classified")
     image = F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long")
     return found.select(image.alias("image_id"), "class_name", "label", F.col("prediction").cast("int").alias("prediction"), F.round("score", 4).alias("score"), F.lit(found.where("training").count()).cast("long").alias("n_training"))

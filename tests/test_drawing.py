@@ -233,7 +233,7 @@ def test_stream_computes_each_drawing_once(spark, tmp_path):
 
 def test_files_with_crops_are_computed_once(spark, tmp_path):
     from linework.plans.jobs import detect_files
-    from linework.sources.images import write_images
+    from linework.fixtures import write_images
 
     rows = [(7, 3, c, 255) for c in range(20)] + [(7, r, 30, 65280) for r in range(5, 25)] + [(8, 2, c, 255) for c in range(9)]
     write_images(spark.createDataFrame(rows, "image_id long, row long, col long, rgb int"), f"file://{tmp_path}/in", 32, 40)

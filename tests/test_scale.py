@@ -1,20 +1,23 @@
 """Skew: hubs, long chains, narrow keys, over-full cells, each with the answers of the plain way."""
 
 import random
+import re
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linework.operators import chords, components, grid, scoring
+from linework import fixtures
+from linework.operators import chords, components, grid, links, runs, scoring
 from linework.operators.components import connected_components
 from linework.operators.ranks import ranked
 from linework.operators.scoring import exact_split, score_images
 from linework.params import DEFAULTS, Params
-from linework.plans.connect import connect_pairs
-from linework.plans.jobs import evaluate
-from linework.sources import catalog, images
+from linework.plans.connect import connect_pairs, detect_pairs
+from linework.plans.jobs import detect_cached, evaluate
+from linework.schema import TILE
+from linework.sources import catalog
 from linework.streaming.incremental import detect_file_batch, detect_image_stream
 from tests.test_drawing import LINES, brute_near, edges
 
@@ -203,7 +206,7 @@ def test_results_are_pruned_and_compacted(spark, tmp_path, monkeypatch):
 
 def test_a_stream_of_image_files(spark, tmp_path):
     source, folder, state = (str(tmp_path / x) for x in ("in", "out", "state"))
-    draw = lambda i, n: images.write_images(spark.createDataFrame([(i, 3, c, 255) for c in range(n)], "image_id long, row long, col long, rgb int"), f"file://{source}", 32, 40)
+    draw = lambda i, n: fixtures.write_images(spark.createDataFrame([(i, 3, c, 255) for c in range(n)], "image_id long, row long, col long, rgb int"), f"file://{source}", 32, 40)
     versions = lambda: sorted((r["key"], r["kind"]) for r in spark.read.parquet(f"{folder}/catalog").collect())
     draw(7, 20)
     run = lambda at: detect_image_stream(spark, source, folder, at, Params(tile=64)).awaitTermination()
@@ -217,3 +220,35 @@ def test_a_stream_of_image_files(spark, tmp_path):
     for number in (1, 17):
         detect_file_batch(batch, number, folder, Params(tile=64))
     assert len(versions()) == 4
+
+
+def test_a_python_predicate(spark):
+    @F.pandas_udf("boolean")
+    def alike(a, b):
+        return (a - b).abs() <= 3
+
+    rng = random.Random(6)
+    rows = [(1, i, rng.randrange(90), rng.randrange(90), rng.randrange(90), rng.randrange(90), 255) for i in range(60)]
+    found = detect_pairs(lines(spark, rows), lambda a, b: alike(F.col(f"{a}.x1"), F.col(f"{b}.x1")), replace(DEFAULTS, grid=1000))
+    assert edges(found) == {(i, j) for i in range(60) for j in range(i + 1, 60) if abs(rows[i][2] - rows[j][2]) <= 3}
+
+
+def test_cached_detection_leaves_no_tables(spark, tmp_path):
+    pixels = spark.createDataFrame([(1, 3, c, 255) for c in range(20)], "image_id long, row long, col long, rgb int")
+    before = len(components._tables)
+    got = detect_cached(spark.createDataFrame([("one", 1, False)], "key string, image_id long, forced boolean"), pixels, str(tmp_path), Params(tile=64))
+    assert len(components._tables) == before + 1 and [d.count() for d in got] == [1, 1, 1]
+
+
+def test_one_exchange_of_pixels_and_one_of_strokes(spark):
+    px = runs.assign_tiles(spark.createDataFrame([(1, 0, 0, 255)], "image_id long, row long, col long, rgb int"), 8)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with components.co_partitioned(spark):
+        strokes = plan(runs.extract_elines(px))
+        assert len(set(re.findall("Exchange hashpartitioning[^\\n]*?plan_id=([0-9]+)", strokes))) - strokes.count("ReusedExchange") <= 2
+        assert "row#" not in "".join(re.findall("Exchange hashpartitioning\\(([^)]*)", strokes))
+        known = components.written(runs.extract_elines(px), "strokes")
+        for df in (links.trim_overlaps(known), links.link_endpoints(known, TILE, "eline_id", 1)):
+            keys = re.findall("Exchange hashpartitioning\\(([^)]*?), [0-9]+\\)", plan(df))
+            assert keys and all("x" not in k.replace("hashpartitioning", "") for k in keys), keys
+    assert "." in plan(px)
