@@ -13,6 +13,7 @@ template's shingles that the window has.
 from __future__ import annotations
 
 import math
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -177,17 +178,21 @@ def one_pass(docs: DataFrame, templates: list[tuple[int, str, str]], text: str,
 def find_licenses(docs: DataFrame, templates=None, text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT, per_pass: int = TEMPLATES_PER_PASS) -> DataFrame:
     """docs with licenses: an array of (license, template, start, end, containment), start and end in words, in order.
 
-    templates are (license, text); by default those of license_texts.  Of
+    templates are (license, text), in a list or a table (in the order of both; a pass of
+    them at a time comes to the driver); by default those of license_texts.  Of
     overlapping windows that find the same template the one with the highest
     containment counts (the first of equals).  A null or wordless text has none,
     and so has a template without words.  Equal texts have equal notices, texts of
     any length are searched whole, no rows give no rows.  A column of docs called
     licenses (in any case) is replaced, all others keep their values.
     """
-    numbered = [(i, name, body) for i, (name, body) in enumerate(TEMPLATES + tags() if templates is None else templates)]
-    out = docs.select(*hidden(docs))
-    for at in range(0, max(1, len(numbered)), per_pass):
-        out = one_pass(out, numbered[at : at + per_pass], hidden_name(docs, text), "found", k, containment)
+    if isinstance(templates, DataFrame):
+        templates = templates.select("license", "text").orderBy("license", "text").toLocalIterator()
+    numbered = ((i, name, body) for i, (name, body) in enumerate(TEMPLATES + tags() if templates is None else templates))
+    out, own = docs.select(*hidden(docs)), list(islice(numbered, per_pass))
+    while own or "found" not in out.columns:
+        out = one_pass(out, own, hidden_name(docs, text), "found", k, containment)
+        own = list(islice(numbered, per_pass))
     return out.select(*shown(docs.columns, ("licenses",)), F.col("found").alias("licenses"))
 
 

@@ -264,6 +264,14 @@ def test_a_template_that_repeats_itself_is_found_whole(spark):
         assert hit["containment"] == 1 and hit["start"] >= 37 * r["doc_id"] and hit["end"] <= 37 * r["doc_id"] + 576
 
 
+def test_templates_of_a_table(spark):
+    templates = sorted(licenses.TEMPLATES[:5])
+    df = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(templates)], "doc_id long, text string")
+    known = spark.createDataFrame([*templates, (None, None)], "license string, text string").repartition(2)
+    got, want = ({r["doc_id"]: [(h["license"], h["start"], h["end"]) for h in r["licenses"]] for r in licenses.find_licenses(df, t, per_pass=2).collect()} for t in (known, templates))
+    assert got == want and all(got.values())
+
+
 def test_nested_templates_are_one_notice_each(spark):
     templates = (("outer", " ".join(f"w{i}" for i in range(60))), ("inner", " ".join(f"w{i}" for i in range(20, 40))))
     df = spark.createDataFrame([(1, templates[0][1])], "doc_id long, text string")
