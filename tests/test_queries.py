@@ -9,7 +9,7 @@ import __spark_entry__
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["detect_connect", "c9_lines_to_cells", "c4_link_endpoints", "extract_elines", "d8_hull_chord", "w4_exact_split", "d13_classification_metrics", "a5_catalog_key", "a1_read_images", "a2_images_to_pixels", "a4_lines_through_files", "b4_nonwhite", "c1_contour_pixels", "c8_collinear_merge_edges", "j3_concat_lines", "d9_hull", "m4_resize_images", "m5_score_images", "m6_evaluate"]
+NAMES = ["detect_connect", "c9_lines_to_cells", "c4_link_endpoints", "extract_elines", "d8_hull_chord", "w4_exact_split", "d13_classification_metrics", "a5_catalog_key", "a1_read_images", "a2_images_to_pixels", "a4_lines_through_files", "b4_nonwhite", "c1_contour_pixels", "c8_collinear_merge_edges", "j3_concat_lines", "d9_hull", "m4_resize_images", "m5_score_images", "m6_evaluate", "c7_attach_leftovers", "m6_evaluate_folder", "j8_classify_folder"]
 
 
 def plain(v):
