@@ -11,9 +11,13 @@
    at least threshold * |set| of its tokens; a block is opened for the sets that
    pass this bound and for no others, and an open block gives exact
    intersections.
-4. Blocks are compared within and with the block of their group's least set.  Only
-   bands whose sets are not known to be linked by then have their other pairs of
-   blocks compared.  All links go to connected components.
+4. Blocks are compared within and with the block of their group's least set.
+5. Sets of bands that are not known to be linked by then are bounded by the union of
+   all of them: a set with fewer than threshold * |set| tokens that any other has
+   links with none.  Of the others, two can link only if they share one of their
+   rarest tokens, so only pairs of blocks with such a token in common are opened.
+   Texts that are similar and yet not linked, however many, differ in rare tokens
+   and open none.  All links go to connected components.
 Tasks see one or two blocks at a time, so a group of any size is spread over
 many tasks, and only spanning links leave a task.
 """
@@ -200,6 +204,42 @@ def shared_bands(pairs: DataFrame) -> DataFrame:
     return join_counted(pairs, meeting, ["band"], "n", "id").where("leader IS NOT NULL")
 
 
+def chosen_tokens(rows: DataFrame) -> DataFrame:
+    """rows (ids, tokens, chosen) as (id, n, token): each token of the chosen ids' sets, and the set's size."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, tokens, chosen = (batch.column(k)[i].as_py() for k in range(3))
+                chosen = set(chosen)
+                for one, held in zip(ids, tokens):
+                    if one in chosen:
+                        values = np.frombuffer(held, dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), one)), pa.array(np.full(len(values), len(values))), pa.array(values)], names=["id", "n", "token"])
+
+    return rows.mapInArrow(run, "id long, n long, token long")
+
+
+def open_cells(sets: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (block, block2) of blocks that hold sets (id, block, known) which can link and are of different known classes.
+
+    Two sets that link share at least need = num / den of the larger one's tokens, so
+    with all tokens in one order (how many of the sets have them, then the token) they
+    have a common token among the first n - need + 1 of each.  Tokens of one set alone
+    come first and are no set's common token.
+    """
+    chosen = sets.groupBy("block").agg(F.collect_list("id").alias("chosen"))
+    tokens = written(chosen_tokens(grouped.join(chosen.hint("merge"), "block").select("ids", "tokens", "chosen")), "open")
+    held = tokens.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1").withColumn("held", F.col("n_sets"))
+    common = join_counted(tokens, held, ["token"], "n_sets", "id").where("held IS NOT NULL")
+    common = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("common"))
+    first = F.expr(f"size(common) + 1 - cast((n * {num} + {den - 1}) div {den} as int)")
+    rare = common.withColumn("first", first).where("first > 0").select("id", F.explode(F.slice("common", 1, F.col("first"))).alias("rare"))
+    marks = written(rare.select("id", F.col("rare.token").alias("token")).join(sets.hint("merge"), "id").select("token", "block", "known").distinct(), "marks")
+    meet = F.expr("a.token = b.token AND a.block < b.block AND a.known <> b.known")
+    return marks.alias("a").join(marks.alias("b").hint("merge"), meet).select(F.col("a.block").alias("block"), F.col("b.block").alias("block2")).distinct()
+
+
 def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True, key: str = "doc_id", text: str = "text", rows: int = BAND_ROWS) -> DataFrame:
     """(id, print, n_shingles, class, component) of each row of docs.
 
@@ -244,12 +284,12 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     up = outward.join(root("src"), "src", "left").join(root("dst"), "dst", "left")
     up = up.groupBy(F.coalesce("src_root", "src").alias("root")).agg(F.min(F.coalesce("dst_root", "dst")).alias("up"))
     settled = members.select("id", "block").join(root("id"), "id", "left").withColumn("root", F.coalesce("id_root", "id"))
-    settled = settled.join(up, "root", "left").select("id", "block", F.coalesce("up", "root").alias("known"))
+    settled = written(settled.join(up, "root", "left").select("id", "block", F.coalesce("up", "root").alias("known")), "settled")
     touching = shared.select("band", "id").join(settled, "id")
-    touching = touching.groupBy("band", "block").agg(F.min("known").alias("low"), F.max("known").alias("high"))
-    several = touching.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("n > 1 AND low <> high").select("band")
-    touching = touching.select("band", "block").join(several, "band")
-    cells = touching.alias("a").join(touching.alias("b"), "band").where("a.block < b.block").select(F.col("a.block").alias("block"), F.col("b.block").alias("block2")).distinct()
+    several = touching.groupBy("band").agg(F.count("*").alias("n"), F.min("known").alias("low"), F.max("known").alias("high"), F.min("block").alias("least"), F.max("block").alias("most"))
+    several = several.where("low <> high AND least <> most").select("band", "n", F.lit(True).alias("several"))
+    open_sets = written(join_counted(touching, several, ["band"], "n", "id").where("several").select("id", "block", "known").distinct(), "unsettled")
+    cells = open_cells(open_sets, grouped, num, den)
     cells = cells.join(stars.select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")), ["block", "block2"], "left_anti")
     across = block_links(cells.join(grouped, "block").join(right, "block2").select("ids", "tokens", "ids2", "tokens2"), num, den)
     found = connected_components(early.unionByName(across)).withColumnRenamed("component", "class")

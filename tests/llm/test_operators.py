@@ -180,6 +180,62 @@ def test_jaccard_blocks_and_empty(spark, empty, docs, rows, monkeypatch):
     assert jaccard.similarity_classes(empty).count() == 0
 
 
+def unlinked_family(spark, size):
+    """Texts of 300 common and 60 own words: similar, so that they meet in bands, and yet not linked. Every 100th has a near copy, every 150th also one of that."""
+    common = [f"c{i}" for i in range(300)]
+    out = []
+    for d in range(size):
+        own = [f"w{d}x{i}" for i in range(60)]
+        out.append((d, " ".join(common + own), d))
+        if d % 100 == 0:
+            own[30] = "edited"
+            out.append((size + d, " ".join(common + own), d))
+            if d % 150 == 0:
+                own[10] = "again"
+                out.append((2 * size + d, " ".join(common + own), d))
+    return spark.createDataFrame(out, "doc_id long, text string, expected long").repartition(4)
+
+
+def test_jaccard_unlinked_family_opens_few_blocks(spark, monkeypatch):
+    opened = []
+    plain = jaccard.block_links
+
+    def counted(rows, num, den):
+        if "ids2" in rows.columns:
+            opened.append(rows.count())
+        return plain(rows, num, den)
+
+    monkeypatch.setattr(jaccard, "block_links", counted)
+    pairs = []
+    for size in (1500, 3000):
+        df = unlinked_family(spark, size)
+        opened.clear()
+        got = {r["id"]: r["component"] for r in jaccard.similarity_classes(df, 3, 90).collect()}
+        assert got == {r["doc_id"]: r["expected"] for r in df.collect()}
+        pairs.append(tuple(opened))
+    print("block pairs opened: to the first block, among others", pairs)
+    (star, rest), (star2, rest2) = pairs
+    assert star >= 4 and star2 <= 3 * star
+    # Near copies in different blocks are found by rare tokens; a pair of blocks for each at most.
+    assert rest <= 25 and rest2 <= 50
+
+
+def test_jaccard_rare_tokens_lose_no_link(spark, monkeypatch):
+    """Random subsets of few words at every similarity around the threshold, in small blocks, against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 200)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for d in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(60)] = f"e{rng.randrange(8)}"
+        rows.append((d, " ".join(words[: rng.randrange(50, 61)]), None))
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string, source string"), 3, 90).collect()}
+    want = brute_classes(rows, 3, 90)
+    assert len({c for _, c in want.values()}) > 20 and got == want
+
+
 # 4
 
 
