@@ -235,8 +235,10 @@ def open_cells(sets: DataFrame, grouped: DataFrame, num: int, den: int) -> DataF
     common = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("common"))
     first = F.expr(f"size(common) + 1 - cast((n * {num} + {den - 1}) div {den} as int)")
     rare = common.withColumn("first", first).where("first > 0").select("id", F.explode(F.slice("common", 1, F.col("first"))).alias("rare"))
-    marks = written(rare.select("id", F.col("rare.token").alias("token")).join(sets.hint("merge"), "id").select("token", "block", "known").distinct(), "marks")
-    meet = F.expr("a.token = b.token AND a.block < b.block AND a.known <> b.known")
+    # One row per block and token, however many sets of the block have it.
+    marks = rare.select("id", F.col("rare.token").alias("token")).join(sets.hint("merge"), "id").groupBy("token", "block").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    marks = written(marks, "marks")
+    meet = F.expr("a.token = b.token AND a.block < b.block AND least(a.low, b.low) <> greatest(a.high, b.high)")
     return marks.alias("a").join(marks.alias("b").hint("merge"), meet).select(F.col("a.block").alias("block"), F.col("b.block").alias("block2")).distinct()
 
 
