@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame.  All but the last return the columns of documents, whatever their
 names, and keep their values.  Between stages the rows are written as Parquet and
-read again.
+read again.  Stages that hand texts to Python workers bound the session's batches.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import crc, free_name, hidden, hidden_name, shown, table, written
+from linework.llm.common import bounded_batches, crc, free_name, hidden, hidden_name, shown, table, written
 from linework.llm.decontaminate import contamination, is_contaminated
 from linework.llm.jaccard import similarity_classes
 from linework.llm.mixing import mix, training_order
@@ -28,6 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or blank text fails the base rules; equal rows have one fate; without
     labels every line is content.  No rows give no rows.
     """
+    bounded_batches(spark)
     chain = fit_chain(docs, table(spark, sf_dir, "labels"))
     return label_lines(docs.select(*hidden(docs)), chain, text=hidden_name(docs, "text")).where("kept").select(*shown(docs.columns))
 
@@ -39,6 +40,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     that order, and of a class of such rows alone that of the least hash stays.
     Blank and null texts are in no class and stay.  No rows give no rows.
     """
+    bounded_batches(spark)
     classes = similarity_classes(docs, k=5, num=80)
     # A row of a class and its text have one print, so each class keeps the print of its least row.
     order = F.struct(F.col("id").isNull(), "id", "print")
@@ -55,6 +57,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     A null or blank text is clean; equal rows have one fate; without items all stay.
     """
+    bounded_batches(spark)
     found = contamination(docs.select(*hidden(docs)), table(spark, sf_dir, "benchmark"), text=hidden_name(docs, "text"))
     return found.where(~is_contaminated()).select(*shown(docs.columns))
 
