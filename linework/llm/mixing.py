@@ -118,11 +118,15 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, summed up from the mixed corpus: the passes in training order, which hold a document's row in place of its text."""
     docs = table(spark, sf_dir, "documents")
-    # Words are counted once; the texts take no part in what follows.
-    slim = written(docs.select("doc_id", "source", word_count().alias("n"), crc(F.col("text")).alias("crc")), "sizes")
-    mixed = mix(slim, counted=("n", "crc"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("passes", F.lit(1))["position"], 6).alias("first_position"))
+    # Words are counted once; the texts take no part in what follows.  row tells documents of equal keys apart.
+    slim = written(docs.select("doc_id", "source", word_count().alias("n"), crc(F.col("text")).alias("crc"), F.monotonically_increasing_id().alias("row")), "sizes")
+    mixed = written(mix(slim, counted=("n", "crc")), "mixed")
+    order = written(training_order(mixed.select("row", "passes")), "order")
+    found = order.groupBy("row").agg(F.sum("words").alias("taken"), F.round(F.min("position"), 6).alias("first_position"))
+    # A document that is in no pass comes back with nothing taken.
+    return mixed.drop("taken").join(found, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_position")
 
 
 OP6_SQL = f"""

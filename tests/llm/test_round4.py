@@ -1,11 +1,42 @@
-"""The pipeline hands texts to Python workers in bounded batches."""
+"""The mixing query's rows come from the range-sorted corpus; the pipeline hands texts to Python workers in bounded batches."""
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linework.llm import common, decontaminate, jaccard, quality
+from linework.llm import common, decontaminate, jaccard, mixing, quality
+
+
+def test_mixing_query_is_summed_from_the_training_order(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["a", "b", "b", "b", None])) for k in range(600)]
+    rows += [(7, "w w w", "a"), (7, "w w w", "a"), (None, "w w", "b"), (None, "w w", "b"), (None, None, "b"), (8, "", "blank")]
+    at = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    tables, plain = {}, mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    got = mixing.op6_mixing(spark, at).collect()
+    assert len(got) == len(rows)
+
+    # Each file of the corpus is sorted, and no two files overlap.
+    order = [(r["file"], r["position"]) for r in tables["order"].select(F.input_file_name().alias("file"), "position").collect()]
+    files = {}
+    for file, position in order:
+        files.setdefault(file, []).append(position)
+    ranges = sorted((v[0], v[-1]) for v in files.values())
+    assert all(v == sorted(v) for v in files.values()) and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    passes = tables["order"].groupBy("row").count().where("count = 2").count()
+    assert passes > 0 and tables["order"].agg(F.sum("words")).first()[0] == sum(r["taken"] for r in got)
+    assert any(r["taken"] > r["size"] for r in got) and all((r["first_position"] is None) == (r["taken"] == 0) for r in got)
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    key = lambda r: (r[0] is None, r[0] or 0, *[x or 0 for x in r[1:]])
+    sql = sorted((r[:6] for r in con.sql(mixing.OP6_SQL).fetchall()), key=key)
+    assert [r[:3] + r[4:] for r in sql] == [r[:3] + r[4:] for r in sorted((tuple(r) for r in got), key=key)]
 
 
 @pytest.mark.parametrize("stage, module", [(corpus_pipeline.quality_rules, quality), (corpus_pipeline.ngram_jaccard_join, jaccard), (corpus_pipeline.benchmark_decontamination, decontaminate)])
