@@ -60,5 +60,5 @@ def test_boxes_tell_most_pairs_apart(spark):
     assert [r[0] for r in df.select(rule).collect()] == want and 300 < sum(want) < 2700
     boxes = [r[0] for r in df.select(geo.boxes_near(a, b, 3)).collect()]
     assert all(near for near, met in zip(boxes, want) if met)
-    # The rule stands there once, not for each end: else the join's code is too long for Java to compile.
+    # The rule stands there once, not for each end, which keeps the join's code short.
     assert df.select(rule)._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 2
